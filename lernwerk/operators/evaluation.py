@@ -30,25 +30,27 @@ def align_lines(actual: DataFrame, expected: DataFrame, max_shift: int = MAX_SHI
     shows at the line it found, and what finds no partner stays. A program is one group, the bound of its size.
     """
     both = actual.select("program", "lineno", F.lit(True).alias("is_actual"), "label").unionByName(expected.select("program", "lineno", F.lit(False).alias("is_actual"), "label"))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = dict(pdf.loc[pdf.is_actual, ["lineno", "label"]].itertuples(index=False, name=None))
-        want = dict(pdf.loc[~pdf.is_actual, ["lineno", "label"]].itertuples(index=False, name=None))
-        free = set(got) - set(want)
-        moved = {}
-        for line in sorted(set(want) - set(got)):
-            tries = (line + sign * k for k in range(1, max_shift + 1) for sign in (1, -1))
-            if (at := next((t for t in tries if t in free), None)) is not None:
-                moved[at] = line
-                free.discard(at)
-        shown = sorted(set(got) | (set(want) - set(moved.values())))
-        rows = [(n, moved.get(n, n if n in want else None), want.get(moved.get(n, n)), got.get(n)) for n in shown]
-        out = pd.DataFrame(rows, columns=["lineno", "expected_line", "expected", "actual"])
-        out.insert(0, "program", pdf.program.iloc[0])
-        out["expected_line"] = out["expected_line"].astype("Int64")
-        return out
-
-    return both.groupBy("program").applyInPandas(pair, "program long, lineno long, expected_line long, expected string, actual string")
+    lines = F.collect_list(F.struct("lineno", "is_actual", "label"))
+
+    @F.pandas_udf("array<struct<lineno:long,expected_line:long,expected:string,actual:string>>")
+    def pair(programs: pd.Series) -> pd.Series:
+        return programs.map(lambda p: _align([(x["lineno"], x["is_actual"], x["label"]) for x in p], max_shift))
+
+    return both.groupBy("program").agg(lines.alias("lines")).select("program", F.explode(pair("lines")).alias("l")).select("program", "l.*")
+
+
+def _align(lines: list[tuple[int, bool, str]], max_shift: int) -> list[dict]:
+    got = {n: label for n, is_actual, label in lines if is_actual}
+    want = {n: label for n, is_actual, label in lines if not is_actual}
+    free, moved = set(got) - set(want), {}
+    for line in sorted(set(want) - set(got)):
+        tries = (line + sign * k for k in range(1, max_shift + 1) for sign in (1, -1))
+        if (at := next((t for t in tries if t in free), None)) is not None:
+            moved[at] = line
+            free.discard(at)
+    shown = sorted(set(got) | (set(want) - set(moved.values())))
+    places = [(n, moved.get(n, n if n in want else None)) for n in shown]
+    return [{"lineno": n, "expected_line": e, "expected": want.get(e), "actual": got.get(n)} for n, e in places]
 
 
 def score_lines(predicted: DataFrame, expected: DataFrame, code: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries by name; importing the modules fills the catalog."""
 
-from . import learners  # noqa: F401
+from . import changes, learners, predictions  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -99,7 +99,7 @@ def spark_text(text: str) -> str:
     while "{ms:" in text:
         a, _, rest = text.partition("{ms:")
         column, _, b = rest.partition("}")
-        text = f"{a}timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column}){b}"
+        text = f"{a}(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column}) DIV 1000){b}"
     return text
 
 
@@ -107,7 +107,7 @@ def duck_text(text: str) -> str:
     while "{ms:" in text:
         a, _, rest = text.partition("{ms:")
         column, _, b = rest.partition("}")
-        text = f"{a}epoch_ms({column}){b}"
+        text = f"{a}(epoch_us({column}) // 1000){b}"
     for n in _names(text):
         text = text.replace("{" + n + "}", n)
     return text
