@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bound_batches, partitions
 
 #: Bytes: no chunk under LEAST (but the last of a text), none over MOST; boundaries are rarer before USUAL than after.
 LEAST, USUAL, MOST = 16, 32, 120
@@ -55,7 +55,7 @@ def fingerprint(text: str | None) -> str:
     """Sorted distinct chunk digests, each followed by the chunk's length, in hex; empty for an empty text."""
     data = (text or "").encode()
     ends = boundaries(data)
-    digest, starts = xxhash.xxh64_digest, [0, *ends[:-1]]
+    digest, starts = xxhash.xxh64_digest, [0, *ends][:-1]
     return "".join(sorted({digest(data[a:b])[:DIGEST_BYTES].hex() + f"{b - a:02x}" for a, b in zip(starts, ends, strict=True)}))
 
 
@@ -84,7 +84,7 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", out_col: str
     def prints(texts: pd.Series) -> pd.Series:
         return texts.map(fingerprint)
 
-    return docs.withColumn(out_col, prints(F.coalesce(F.col(text_col), F.lit(""))))
+    return bound_batches(docs).withColumn(out_col, prints(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def spliced(text: str, following: str) -> str:
@@ -112,6 +112,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and the columns of ``SPLICED``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    bound_batches(docs)
     # a null id sorts below every long
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     place = F.coalesce("id", F.lit(-(2**63)))
