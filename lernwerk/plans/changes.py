@@ -336,8 +336,8 @@ def _(e):
     return G.reachable(e, _roots(e))
 
 
-@query("gr3_dead_functions", "v_edges", sql=f"""WITH RECURSIVE {LIVE}, {NODES}, c AS (SELECT program, callee AS node, string_agg(DISTINCT CAST(caller AS VARCHAR), ',' ORDER BY caller) AS callers FROM (SELECT DISTINCT program, caller, callee FROM v_edges WHERE caller <> callee) GROUP BY program, callee)
-    SELECT n.program, n.node, CASE WHEN callers IS NULL THEN 'never called' ELSE 'called by dead code' END AS reason, CAST(coalesce(len(string_split(callers, ',')), 0) AS INT) AS n_callers FROM nodes n LEFT JOIN c USING (program, node) WHERE (n.program, n.node) NOT IN (SELECT program, node FROM live)""")
+@query("gr3_dead_functions", "v_edges", sql=f"""WITH RECURSIVE {LIVE}, {NODES}, c AS (SELECT program, callee AS node, count(DISTINCT caller) AS callers FROM (SELECT DISTINCT program, caller, callee FROM v_edges WHERE caller <> callee) GROUP BY program, callee)
+    SELECT n.program, n.node, CASE WHEN callers IS NULL THEN 'never called' ELSE 'called by dead code' END AS reason, CAST(coalesce(callers, 0) AS INT) AS n_callers FROM nodes n LEFT JOIN c USING (program, node) WHERE (n.program, n.node) NOT IN (SELECT program, node FROM live)""")
 def _(e):
     d = G.dead_functions(e, G.reachable(e, _roots(e)))
     return d.select("program", "node", "reason", F.when(F.col("callers") == "", 0).otherwise(F.size(F.split("callers", ","))).alias("n_callers"))
