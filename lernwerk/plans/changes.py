@@ -429,3 +429,13 @@ def _(spark, sf_dir):
     rows = cohort.submission_rows(view(spark, sf_dir, "v_submissions"))
     T.write_report_tables(T.report_tables(rows, cohort.submission_metrics(rows)), root)
     return spark.read.parquet(f"{root}/by_module").drop("owner")
+
+
+@query("fn3_scalars", "v_changes", sql="""SELECT seq, replace(upper(trim(' ' || item || ' ')), 'K', 'q') AS text, contains(email, '@x') AS inside, string_split(email, '@')[2] AS host, regexp_extract(email, '[0-9]+') AS digits,
+    CAST(props->>'$.k' AS VARCHAR) AS member, CASE WHEN version > 0 THEN strftime(make_timestamp(version // 1000 * 1000000), '%Y-%m-%dT%H:%M:%S') END AS iso FROM v_changes""")
+def _(c):
+    iso = F.when(F.col("version") > 0, F.date_format(F.expr("timestampadd(SECOND, version DIV 1000, TIMESTAMP_NTZ '1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss"))
+    return c.select(
+        "seq", F.replace(F.upper(F.trim(F.concat(F.lit(" "), "item", F.lit(" ")))), F.lit("K"), F.lit("q")).alias("text"), F.contains("email", F.lit("@x")).alias("inside"), F.split("email", "@")[1].alias("host"),
+        F.regexp_extract("email", r"\d+", 0).alias("digits"), F.get_json_object("props", "$.k").alias("member"), iso.alias("iso"),
+    )

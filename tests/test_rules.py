@@ -159,3 +159,11 @@ def test_session_gap_at_its_edge_continues(spark):
 def test_stream_upserts_equal_batch(spark):
     stream = {tuple(r) for r in plans.QUERIES["str1_stream_upserts"](spark, SMALL).collect()}
     assert stream == {tuple(r) for r in plans.QUERIES["mrg3_upsert_submissions"](spark, SMALL).collect()}
+
+
+def test_sql_functions(spark):
+    from lernwerk.functions import sql
+
+    assert "t_critical" in sql.register(spark)
+    row = spark.sql("SELECT clean_key('A-b_c D') k, extract_score(NULL, 1, 4) s, interpret_effect(-0.6) e, interpret_gain(NULL) g, is_guest(' X@GUEST.local ') q, normalized_gain(100, 100) n, round_finite(double('NaN')) r, backoff_ms(9) b, round(t_critical(10D), 4) t").first()
+    assert tuple(row) == ("abcd", 25.0, "Medium Effect", None, True, None, None, 600000, 2.2281)
