@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
@@ -42,14 +41,15 @@ def path_of(url: Column) -> Column:
 class DigestArray:
     """A read-only list of strings: sorted 64-bit digests, the strings in the same order, their offsets."""
 
-    def __init__(self, folder: str) -> None:
-        self.digests, self.offsets, self.text = (np.load(os.path.join(folder, f"{p}.npy"), mmap_mode="r") for p in ("digests", "offsets", "text"))
-        with open(os.path.join(folder, "meta.json"), encoding="utf-8") as f:
-            self.path_lengths: list[int] = json.load(f)
+    PARTS = ("digests", "offsets", "text", "lengths")
+
+    def __init__(self, files: list[str]) -> None:
+        self.digests, self.offsets, self.text, lengths = (np.load(f, mmap_mode="r") for f in files)
+        self.path_lengths: list[int] = lengths.tolist()
 
     @staticmethod
-    def write(entries: Iterable[tuple[str, str]], folder: str) -> None:
-        """Write (host, path) entries. Paths' lengths are kept, so that probes know which prefixes to try."""
+    def write(entries: Iterable[tuple[str, str]], prefix: str) -> list[str]:
+        """Write (host, path) entries, and give the files. Paths' lengths are kept, so that probes know which prefixes to try."""
         entries = sorted(set(entries))
         if len(entries) > MOST_ENTRIES:
             raise ValueError(f"a list holds at most {MOST_ENTRIES} entries")
@@ -57,12 +57,16 @@ class DigestArray:
         digests = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64)
         order = np.argsort(digests, kind="stable")
         raw = [raw[i] for i in order]
-        os.makedirs(folder, exist_ok=True)
-        np.save(os.path.join(folder, "digests.npy"), digests[order])
-        np.save(os.path.join(folder, "offsets.npy"), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))
-        np.save(os.path.join(folder, "text.npy"), np.frombuffer(b"".join(raw), np.uint8))
-        with open(os.path.join(folder, "meta.json"), "w", encoding="utf-8") as f:
-            json.dump(sorted({len(p) for _, p in entries}), f)
+        arrays = (
+            digests[order],
+            np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64),
+            np.frombuffer(b"".join(raw), np.uint8),
+            np.array(sorted({len(p) for _, p in entries}), np.int64),
+        )
+        files = [f"{prefix}-{part}.npy" for part in DigestArray.PARTS]
+        for file, array in zip(files, arrays, strict=True):
+            np.save(file, array)
+        return files
 
     def find(self, probes: list[str]) -> np.ndarray:
         """Whether each probe is in the list: one binary search over all, then the stored string is compared."""
@@ -97,9 +101,8 @@ class DigestArray:
 def ship(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> str:
     """Write a list and let Spark copy its files to every executor; gives the name to open it by."""
     name = f"digests-{uuid.uuid4().hex}"
-    folder = os.path.join(tempfile.mkdtemp(prefix="lists-"), name)
-    DigestArray.write(entries, folder)
-    spark.sparkContext.addFile(folder, recursive=True)
+    for file in DigestArray.write(entries, os.path.join(tempfile.mkdtemp(prefix="lists-"), name)):
+        spark.sparkContext.addFile(file)
     return name
 
 
@@ -113,7 +116,7 @@ def longest_entry(spark: SparkSession, host: Column, path: Column, entries: Iter
     @F.pandas_udf("string")
     def fits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         if name not in _open:
-            _open[name] = DigestArray(SparkFiles.get(name))
+            _open[name] = DigestArray([SparkFiles.get(f"{name}-{part}.npy") for part in DigestArray.PARTS])
         for hosts, paths in batches:
             yield pd.Series(_open[name].longest(hosts.tolist(), paths.tolist()), dtype=object)
 
