@@ -25,6 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Texts go to Python in batches of so many bytes at most; one longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Bound what a Python worker holds at once: lower the session's Arrow batch size to ``BATCH_BYTES``.
+
+    A setting that is lower already stays. Gives ``df`` back.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

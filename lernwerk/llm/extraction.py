@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Pages that fit the text model, at most: those first by a hash of the id.
 FIT_PAGES = 300
 #: Capacity of an edge between neighbours in page order, and between neighbours in one container.
@@ -277,4 +279,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     empty text. Rows with null ids are worked like others. Nothing is shuffled. An empty table gives an empty result.
     """
     weights = train_on(pages, id_col, html_col, fit_pages)
-    return pages.withColumn(out_col, main_text(F.col(html_col), weights))
+    return bound_batches(pages).withColumn(out_col, main_text(F.col(html_col), weights))

@@ -15,10 +15,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Code points of text whose words are tabled together.
-TABLE_CHARS = 1 << 22
+TABLE_CHARS = 1 << 21
 
 
 class Pieces:
@@ -120,7 +122,7 @@ def _tables(texts: pd.Series) -> Iterator[list[str | None]]:
 def encode(text: Column, model: str) -> Column:
     """Ids of ``text`` as the library gives them with begin and end ids; null counts as empty.
 
-    Inside a task, the marked words of about four million characters at a time form a
+    Inside a task, the marked words of about two million characters at a time form a
     table of distinct words; each is segmented once, and the ids come back by
     position. Empty texts have the begin and end id alone.
     """
@@ -148,12 +150,12 @@ def decode(ids: Column, model: str) -> Column:
 
 def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with an array column of ids; a column of that name is replaced. Nothing is shuffled."""
-    return docs.withColumn(ids_col, encode(F.col(text_col), model))
+    return bound_batches(docs).withColumn(ids_col, encode(F.col(text_col), model))
 
 
 def decode_documents(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text that its ids spell; a column of that name is replaced."""
-    return docs.withColumn(text_col, decode(F.col(ids_col), model))
+    return bound_batches(docs).withColumn(text_col, decode(F.col(ids_col), model))
 
 
 def digests(ids: Column, model: str) -> Column:

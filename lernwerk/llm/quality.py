@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 from .histogram import split_points
 
 BUCKET_BITS = 14
@@ -22,7 +22,7 @@ FIT_ROWS = 20_000
 SHARPNESS = 1.0
 SMOOTHING = 1.0
 #: Texts are worked on in runs of so many code points.
-RUN_CHARS = 1 << 22
+RUN_CHARS = 1 << 20
 _REPEAT, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -138,7 +138,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     documents stay. Null ids share one noise. Rows of equal key and id stay or go together. Input
     columns named log_ratio or kept are replaced; an empty table gives an empty result.
     """
-    d = docs.drop("log_ratio", "kept")
+    d = bound_batches(docs).drop("log_ratio", "kept")
     chosen = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").alias("__good"))
     first = [chosen.where(F.col("__good") == g).orderBy(F.xxhash64("__label_id", F.lit(seed)), "__label_id").limit(fit_rows) for g in (1, 0)]
     sample = F.broadcast(cut(first[0].unionByName(first[1])))  # at most twice fit_rows rows of 12 bytes

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact, extraction, fingerprints, mixing, pieces, quality, sharding, simhash, toxicity, urls
-from .common import ascii_lower_sql, table
+from .common import ascii_lower_sql, bound_batches, table
 
 SHARDS = 40
 
@@ -32,7 +32,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = bound_batches(table(spark, sf_dir, "documents"))
     digest = pieces.digests(pieces.encode(F.col("text"), tokenizer_model()), tokenizer_model())
     return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
 

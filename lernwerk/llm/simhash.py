@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut, partitions
+from .common import bound_batches, cut, partitions
 
 SEED = 42
 BYTES = 8
@@ -176,7 +176,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are copies. Input columns named fingerprint or component_id are replaced. An
     empty table gives an empty result.
     """
-    docs = docs.drop("fingerprint", "component_id")
+    docs = bound_batches(docs).drop("fingerprint", "component_id")
     columns = [c for c in columns or docs.columns if c in docs.columns]
     rows = cut(docs.select(*columns, _fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("__fp"), F.col(id_col).alias("__id")))
     prints = cut(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("first")))
