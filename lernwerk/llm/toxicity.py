@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = ".,;:!?\"'()[]{}%&*$#|<>-_"
 FEATURE_BITS = 18
@@ -188,8 +190,12 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     first = [known.where(F.col("toxic") == g).orderBy(F.xxhash64("__label_id", F.lit(seed)), "__label_id").limit(fit_rows) for g in (0, 1)]
     sample = F.broadcast(first[0].unionByName(first[1]))  # at most twice fit_rows rows
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, F.col("__id") == F.col("__label_id")).select("__id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    # copies of a text count once, with the label that most of them have: a large group must not make its own words offending
+    votes: dict[str, list[int]] = {}
+    for r in rows:
+        votes.setdefault(r[1], []).append(r[2])
+    texts = sorted(votes)
+    return train(texts, [int(2 * sum(votes[t]) > len(votes[t])) for t in texts])
 
 
 def tag(text: Column, crf: Crf) -> Column:
@@ -234,6 +240,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     all scores are alike. Null ids are scored like others. An empty table gives an empty result.
     """
     crf = train_on(docs, labels, id_col, text_col, fit_rows)
-    d = docs.drop("held_out", "score", "spans", "predicted")
+    d = bound_batches(docs).drop("held_out", "score", "spans", "predicted")
     tagged = d.withColumn("__tag", tag(F.col(text_col), crf)).withColumn("held_out", held_out(F.col(id_col)))
     return tagged.select(*d.columns, "held_out", "__tag.score", "__tag.spans", (F.col("__tag.score") >= 0.5).cast("int").alias("predicted"))
