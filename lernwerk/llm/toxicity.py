@@ -18,7 +18,6 @@ from .common import bound_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = ".,;:!?\"'()[]{}%&*$#|<>-_"
-FEATURE_BITS = 18
 #: Labelled documents of either class that fit the model, at most: those first by a hash of the id.
 FIT_ROWS = 1500
 SEGMENT = 48
@@ -41,19 +40,32 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.bincount(owner, minlength=len(texts)), numbers.astype(np.int64), forms.dictionary.to_pylist()
 
 
-def _feature(forms: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(f) >> (64 - FEATURE_BITS) for f in forms] or [0], np.int64)
+def _digests(forms: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f) for f in forms], np.uint64)
 
 
 class Crf:
-    """Two states, plain and toxic. Features: the word and its two neighbours; one weight for each pair of states."""
+    """Two states, plain and toxic. Features: the word and its two neighbours; one weight for each pair of states.
 
-    def __init__(self) -> None:
-        self.words = np.zeros((3, 1 << FEATURE_BITS))  # before, at, after
+    Words are those met in training, found by their whole digest; all others are feature 0, without a
+    weight. Hashing words into buckets would let a rare word share an offending one's weight.
+    """
+
+    def __init__(self, vocabulary: np.ndarray | None = None) -> None:
+        self.vocabulary = np.zeros(0, np.uint64) if vocabulary is None else np.unique(vocabulary)
+        self.words = np.zeros((3, len(self.vocabulary) + 1))  # before, at, after
         self.bias = -3.0
         self.steps = np.zeros((2, 2))  # from, to
         self.document = np.array([-3.0, 4.0, 1.0])  # bias, most certain word, expected words
 
+    def features(self, numbers: np.ndarray, forms: list[str]) -> np.ndarray:
+        """The feature of each word, given by the number of its form."""
+        if not len(self.vocabulary) or not forms:
+            return np.zeros(len(numbers), np.int64)
+        digests = _digests(forms)
+        at = np.minimum(np.searchsorted(self.vocabulary, digests), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == digests, at + 1, 0)[numbers]
+
     def emissions(self, lengths: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Score of the toxic over the plain state at each word."""
         s = self.bias + self.words[1][features]
@@ -102,7 +114,7 @@ class Crf:
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[inner - 1], y[inner]), 1)
         sums = [np.full_like(self.words, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
-        n = 1 << FEATURE_BITS
+        n = self.words.shape[1]
         for _ in range(ROUNDS):
             s = self.emissions(lengths, features)
             ahead, back = self.logits(lengths, s)
@@ -164,7 +176,6 @@ def train(texts: list[str], toxic: list[int]) -> Crf:
     offending = (share >= LEAST_SHARE) & (bad >= 3) & (share >= LEAST_ODDS * (good + 0.5) / (1 - label).sum())
     offending &= np.array([bool(f) for f in forms])
     y = (offending[numbers] & (label[owner] == 1)).astype(np.int64)
-    features = _feature(forms)[numbers]
     place = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     segment = np.cumsum((place % SEGMENT) == 0) - 1
     marked = np.bincount(segment, y) > 0
@@ -174,6 +185,8 @@ def train(texts: list[str], toxic: list[int]) -> Crf:
     use[draw] = True
     inside = use[segment]
     sizes = np.bincount(segment)[use]
+    crf = Crf(_digests([forms[i] for i in np.unique(numbers[inside])]))
+    features = crf.features(numbers, forms)
     crf.fit(sizes, features[inside], y[inside])
     crf.fit_documents(crf.summaries(lengths, crf.marginals(lengths, features)), label)
     return crf
@@ -212,7 +225,7 @@ def tag(text: Column, crf: Crf) -> Column:
                 if size < RUN_CHARS and i < len(texts) - 1:
                     continue
                 lengths, numbers, forms = tokens(part)
-                p = crf.marginals(lengths, _feature(forms)[numbers])
+                p = crf.marginals(lengths, crf.features(numbers, forms))
                 scores.append(crf.scores(crf.summaries(lengths, p)))
                 ends = np.cumsum(lengths)
                 hits: dict[int, list[int]] = {}
