@@ -100,8 +100,8 @@ def residuals(df: DataFrame, fit: DataFrame) -> DataFrame:
 def sensitivity_refit(df: DataFrame, fit: DataFrame, key: str = "email") -> DataFrame:
     """The fit without the row of the largest absolute residual, the first by key on ties."""
     rest = residuals(df, fit).where("residual is not null")
-    worst = rest.agg(F.max_by(key, F.struct(F.abs("residual"))).alias("__worst"), F.max(F.abs("residual")).alias("__most"))
-    first = rest.crossJoin(F.broadcast(worst)).where(F.abs("residual") == F.col("__most")).agg(F.min(key).alias(key))
+    most = rest.agg(F.max(F.abs("residual")).alias("__most"))  # one row
+    first = rest.crossJoin(F.broadcast(most)).where(F.abs("residual") == F.col("__most")).agg(F.min(key).alias(key))
     return ols(rest.join(F.broadcast(first), key, "left_anti"))
 
 
