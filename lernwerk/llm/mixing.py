@@ -130,6 +130,18 @@ def words_taken(mix: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents of the mix, whole: one row for each pass in which the mix takes a document's first word."""
-    _, mix = mix_sources(docs, id_col, source_col, text_col, docs.columns)
-    return mix.where("slot is not null and start = 0").select("doc.*")
+    """The documents of the mix, whole: one row for each pass in which the mix takes a document's first word.
+
+    The mix is worked out without the texts; they move once, to be joined with the number
+    of their passes. Rows equal in id, source and text are taken alike.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_col, source_col)]
+    keyed = docs.withColumn("__row", F.md5(F.concat_ws("\x1f", *parts, text)))
+    _, mix = mix_sources(keyed, id_col, source_col, text_col, ["__row"])
+    first = F.col("start") == 0
+    uses = mix.groupBy(F.col("doc.__row").alias("__row")).agg(
+        F.count_if(first & F.col("slot").isNotNull()).alias("uses"), F.count_if(first & (F.coalesce("pass", F.lit(0)) == 0)).alias("rows")
+    )
+    uses = uses.select("__row", F.floor(F.try_divide("uses", "rows") + 0.5).cast("int").alias("__uses")).where("__uses > 0")
+    return keyed.join(uses, "__row").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__uses"))).alias("__use")).drop("__use")
