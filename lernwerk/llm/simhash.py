@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,9 +18,11 @@ from .common import bound_batches, cut, partitions
 
 SEED = 42
 BYTES = 8
-#: A run of the index up to this size is compared at once; a larger one is first refined by two more bytes.
-DIRECT = 256
+#: Runs of the index up to this size are compared by shifting the whole sorted index against itself; larger ones
+#: singly, in blocks, after a refinement by two more bytes where the distance allows.
+SHORT = 512
 BLOCK = 1024
+LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -46,16 +49,26 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
+def shared_bytes(xor: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes two fingerprints share, from their exclusive or."""
+    return np.bitwise_count(~((xor & LOW) + LOW | xor | LOW))
+
+
+def near(xor: np.ndarray, distance: int) -> np.ndarray:
+    """The count filter, then the verification: enough shared bytes, and few enough differing bits."""
+    out = shared_bytes(xor) >= BYTES - distance
+    out[out] = np.bitwise_count(xor[out]) <= distance
+    return out
+
+
 def links(values: np.ndarray, distance: int, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions in ``values`` that join all values linked at ``distance`` bits or fewer.
 
-    A spanning set: each value is met once for each round of its component's search,
-    and one pair is given for each value reached. Before the bits are counted, a pair
-    must share ``8 - distance`` positional bytes. Long runs are split by two more
-    shared bytes, every choice of them in turn, so that no link is lost.
+    A spanning set: a component is searched from one value outwards, and one pair is given for
+    each value reached. Long runs are split by two more shared bytes, every choice of
+    them in turn, as long as the distance guarantees so many, so that no link is lost.
     """
-    need = BYTES - distance
-    if len(values) > DIRECT and len(used) + 2 <= need:
+    if len(values) > SHORT and len(used) + 2 <= BYTES - distance:
         octets = values.view(np.uint8).reshape(-1, BYTES)
         for a, b in combinations([p for p in range(BYTES) if p not in used], 2):
             key = octets[:, a].astype(np.int64) << 8 | octets[:, b]
@@ -73,49 +86,86 @@ def links(values: np.ndarray, distance: int, used: tuple[int, ...] = ()) -> Iter
             now, frontier, left, reached = frontier[:BLOCK], frontier[BLOCK:], [], []
             for at in range(0, len(todo), BLOCK):
                 part = todo[at : at + BLOCK]
-                xor = values[now][:, None] ^ values[part][None, :]
-                shared = (xor.view(np.uint8).reshape(*xor.shape, BYTES) == 0).sum(2)
-                near = (shared >= need) & (np.bitwise_count(xor) <= distance)
-                hit = near.any(0)
+                close = near(values[now][:, None] ^ values[part][None, :], distance)
+                hit = close.any(0)
                 if hit.any():
-                    yield now[near[:, hit].argmax(0)], part[hit]
+                    yield now[close[:, hit].argmax(0)], part[hit]
                 left.append(part[~hit])
                 reached.append(part[hit])
             todo = np.concatenate(left)
             frontier = np.concatenate([frontier, *reached])
 
 
-def _index_keys() -> list[tuple[int, ...]]:
-    """Triples of byte positions such that any five positions hold one whole: all triples of either half."""
-    return [c for half in (range(4), range(4, BYTES)) for c in combinations(half, 3)]
+def short_links(keys: np.ndarray, values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many short runs at once: values under equal sorted keys, compared at every shift."""
+    first, second = [], []
+    for shift in range(1, SHORT):
+        at = np.flatnonzero(keys[:-shift] == keys[shift:]) if shift < len(keys) else ()
+        if not len(at):
+            break
+        close = near(values[at] ^ values[at + shift], distance)
+        first += at[close].tolist()
+        second += (at[close] + shift).tolist()
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (p := parent.get(i, i)) != i:
+            parent[i] = parent.get(p, p)
+            i = p
+        return i
+
+    keep = []
+    for n, (i, j) in enumerate(zip(first, second, strict=True)):
+        a, b = find(i), find(j)
+        if a != b:
+            parent[b] = a
+            keep.append(n)
+    return np.array(first, np.int64)[keep], np.array(second, np.int64)[keep]
+
+
+def _index_keys(distance: int = 3) -> list[tuple[int, ...]]:
+    """Sets of byte positions such that any two fingerprints within the distance agree on one of them.
+
+    ``8 - distance`` bytes are shared at least, so (half of that, rounded up) lie within one half:
+    triples of either half up to 3 bits, pairs of either half up to 5. Two shared bytes, at 6 bits, can lie anywhere.
+    """
+    halves = (range(4), range(4, BYTES))
+    if distance <= 5:
+        return [c for half in halves for c in combinations(half, 3 if distance <= 3 else 2)]
+    return list(combinations(range(BYTES), 2))
 
 
 def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     """``src``, ``dst``: pairs of the distinct long fingerprints ``fp`` that join all near ones.
 
-    Fingerprints at three bits or fewer share five of eight positional bytes, and
-    so a triple of positions within one half; an index entry is such a triple
-    with its bytes. Runs of the sorted index are compared in blocks.
+    An index entry is a set of byte positions with its bytes. Runs of the sorted index are
+    compared inside their task, and only a spanning set of links leaves it.
     """
-    if distance > 3:
-        raise ValueError("the index guarantees pairs of at most 3 differing bits")
+    if distance > 6:
+        raise ValueError("two fingerprints of more than 6 differing bits need not share two bytes")
+    sets = _index_keys(distance)
     octet = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(BYTES)]
-    keys = [
-        F.lit(j << 24).cast("long") + F.shiftleft(octet[a], 16) + F.shiftleft(octet[b], 8) + octet[c]
-        for j, (a, b, c) in enumerate(_index_keys())
-    ]
+    keys = [reduce(lambda k, p: F.shiftleft(k, 8) + octet[p], c, F.lit(j).cast("long")) for j, c in enumerate(sets)]
+    width = 8 * len(sets[0])
     index = prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+        def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["src", "dst"])
+
         def settle(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             bounds = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
-            for i in np.flatnonzero(np.diff(bounds) > 1):
+            sizes = np.diff(bounds)
+            for i in np.flatnonzero(sizes > SHORT):
                 run = v[bounds[i] : bounds[i + 1]]
-                used = _index_keys()[int(k[bounds[i]]) >> 24]
-                for x, y in links(run.view(np.uint64), distance, used):
-                    yield pa.RecordBatch.from_arrays([pa.array(run[x]), pa.array(run[y])], ["src", "dst"])
+                for x, y in links(run.view(np.uint64), distance, sets[int(k[bounds[i]]) >> width]):
+                    yield pairs(run[x], run[y])
+            short = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
+            k, v = k[short], v[short]
+            x, y = short_links(k, v.view(np.uint64), distance)
+            yield pairs(v[x], v[y])
 
         for batch in batches:
             held_k = np.concatenate((held_k, batch.column(0).to_numpy()))

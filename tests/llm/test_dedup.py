@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from lernwerk.llm import exact, queries, simhash
 from lernwerk.llm.common import table
@@ -58,18 +59,24 @@ def test_simhash_against_all_pairs(spark):
     assert got == {r["doc_id"]: (f"{p:016x}", c) for r, p, c in zip(data, prints, want, strict=True)}
 
 
-def test_links_lose_nothing_in_dense_runs():
+@pytest.mark.parametrize(("distance", "used"), [(3, (5, 6, 7)), (5, (6, 7)), (6, (6, 7))])
+@pytest.mark.parametrize("short", [8, 512, 5000])
+def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
+    monkeypatch.setattr(simhash, "SHORT", short)
     rng = random.Random(5)
-    centre = rng.getrandbits(64)
-    values = {centre}
-    for _ in range(900):  # a ball, chains off it and far values, all in one run
+    values = {rng.getrandbits(64)}
+    for _ in range(700):  # a ball, chains off it and far values, all in one run
         v = rng.choice(tuple(values))
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(1, 7)):
             v ^= 1 << rng.randrange(24)
         values.add(v)
     values = np.array(sorted(values), np.uint64)
-    pairs = [(int(x), int(y)) for a, b in simhash.links(values, 3, (5, 6, 7)) for x, y in zip(a, b, strict=True)]
-    assert all(int(values[a] ^ values[b]).bit_count() <= 3 for a, b in pairs)
+    if short == 5000:
+        found = [simhash.short_links(np.zeros(len(values), np.int64), values, distance)]
+    else:
+        found = list(simhash.links(values, distance, used))
+    pairs = [(int(x), int(y)) for a, b in found for x, y in zip(a, b, strict=True)]
+    assert all(int(values[a] ^ values[b]).bit_count() <= distance for a, b in pairs)
     parent = list(range(len(values)))
 
     def find(i):
@@ -79,23 +86,39 @@ def test_links_lose_nothing_in_dense_runs():
 
     for a, b in pairs:
         parent[find(a)] = find(b)
-    want = plain_components(list(range(len(values))), [int(v) for v in values])
+    want = plain_components(list(range(len(values))), [int(v) for v in values], distance)
     assert len({find(i) for i in range(len(values))}) == len(set(want))
     assert len({(find(i), want[i]) for i in range(len(values))}) == len(set(want))
 
 
-def test_every_close_pair_shares_an_index_key():
+def test_shared_bytes():
+    rng = random.Random(8)
+    for _ in range(500):
+        x = rng.getrandbits(64) & rng.choice([0xFFFFFFFFFFFFFFFF, 0xFF00FF00FF0000FF, 0, 0x0100800000FF0001])
+        assert int(simhash.shared_bytes(np.array([x], np.uint64))[0]) == sum(b == 0 for b in x.to_bytes(8, "little"))
+
+
+@pytest.mark.parametrize("distance", [1, 3, 4, 5, 6])
+def test_every_close_pair_shares_an_index_key(distance):
     rng = random.Random(2)
-    keys = simhash._index_keys()
+    keys = simhash._index_keys(distance)
     for _ in range(3000):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), 3):
+        for bit in rng.sample(range(64), distance):
             b ^= 1 << bit
         x, y = a.to_bytes(8, "little"), b.to_bytes(8, "little")
         assert any(all(x[p] == y[p] for p in k) for k in keys)
 
 
+def test_wider_distance_against_all_pairs(spark):
+    docs = table(spark, SMALL, "documents")
+    data = docs.select("doc_id", "text").collect()
+    want = plain_components([r["doc_id"] for r in data], [plain_fingerprint(r["text"]) for r in data], 6)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs, distance=6).collect()}
+    assert got == dict(zip([r["doc_id"] for r in data], want, strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select((F.col("id") * 7919 % 301).alias("src"), ((F.col("id") + 1) * 7919 % 301).alias("dst"))
     got = simhash.components(edges)
