@@ -94,9 +94,9 @@ def _(p):
 LATENCY = ("mean_ms", "median_ms", "p95_ms", "max_ms", "programs_per_s", "lines_per_s")
 
 
-@query("agg20_latency_stats", "v_predictions", sql="SELECT source_file, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS median_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, round(max(ms), 6) AS max_ms, round(count(*) / (sum(ms) / 1000), 6) AS programs_per_s, round(sum(n_lines) / (sum(ms) / 1000), 6) AS lines_per_s FROM v_predictions GROUP BY source_file")
+@query("agg20_latency_stats", "v_predictions", sql="SELECT source_file, round(avg(ms), 9) AS mean_ms, round(quantile_cont(ms, 0.5), 9) AS median_ms, round(quantile_cont(ms, 0.95), 9) AS p95_ms, round(max(ms), 9) AS max_ms, round(count(*) / (sum(ms) / 1000), 9) AS programs_per_s, round(sum(n_lines) / (sum(ms) / 1000), 9) AS lines_per_s FROM v_predictions GROUP BY source_file")
 def _(p):
-    return rounded(E.latency_stats(p, ["source_file"]), *LATENCY)
+    return E.latency_stats(p, ["source_file"]).withColumns({c: F.round(c, 9) for c in LATENCY})
 
 
 @query("agg21_class_distribution", "v_predictions", sql="SELECT predicted_time AS class, count(*) AS support FROM v_predictions WHERE predicted_time NOT IN ('-', 'MISSING') GROUP BY 1")

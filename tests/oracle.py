@@ -24,7 +24,7 @@ def plain(value):
         return str(value)
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         x = float(value)
-        return "nan" if math.isnan(x) else f"{round(x, 6) + 0.0:.6f}"
+        return "nan" if math.isnan(x) else f"{round(x, 9) + 0.0:.9f}"
     return str(value)
 
 
