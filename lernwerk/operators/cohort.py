@@ -99,7 +99,8 @@ def resolve_counts(passed_tests: Column, total_tests: Column, passed_cases: Colu
 
 def submission_rows(subs: DataFrame) -> DataFrame:
     """Flat rows with resolved counts; null marks what does not count, never zero."""
-    cases = parse_tests(F.col("tests"))
+    subs = subs.withColumn("__cases", parse_tests(F.col("tests")))  # a column of its own is worked out once
+    cases = F.col("__cases")
     stored = {"functional": (F.col("functional_passed"), F.col("functional_total")), "hidden": (F.col("hidden_passed"), F.col("hidden_total"))}
     split = test_breakdown(cases, stored)
     for name, (p, t) in split.items():
@@ -113,6 +114,7 @@ def submission_rows(subs: DataFrame) -> DataFrame:
         .withColumn("tsr_total", F.when(counts, total))
         .withColumn("rog_value", F.when(counts_toward_rog(), F.coalesce("rog", F.lit(0.0))))
         .withColumn("done", F.coalesce(F.col("final_aes") >= 50, F.lit(False)) | F.coalesce(F.col("status") == "passed", F.lit(False)))
+        .drop("__cases")
     )
 
 

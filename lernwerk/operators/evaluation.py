@@ -13,11 +13,12 @@ MAX_SHIFT = 5
 
 def score_programs(predictions: DataFrame) -> DataFrame:
     """Add canonical labels and whether time and space agree; a failed program has PARSE_FAIL for a prediction."""
-    spelled = lambda c: F.when(F.col("failed") & F.lit(c.startswith("predicted")), F.lit("PARSE_FAIL")).otherwise(fold(normalize(F.col(c))))
     p = predictions
+    absent = lambda c: F.col(c).isNull() | F.col(c).isin("", "-")
     for what in ("time", "space"):
-        p = p.withColumn(f"{what}_class", fold(normalize(F.col(f"expected_{what}")))).withColumn(f"{what}_predicted", spelled(f"predicted_{what}"))
-        p = p.withColumn(f"{what}_ok", ~F.col("failed") & matches(F.col(f"predicted_{what}"), F.col(f"expected_{what}")))
+        p = p.withColumn(f"{what}_class", fold(normalize(F.col(f"expected_{what}")))).withColumn(f"__{what}", fold(normalize(F.col(f"predicted_{what}"))))
+        agrees = F.when(absent(f"expected_{what}"), True).when(absent(f"predicted_{what}"), False).otherwise(F.col(f"{what}_class") == F.col(f"__{what}"))
+        p = p.withColumn(f"{what}_ok", ~F.col("failed") & agrees).withColumn(f"{what}_predicted", F.when(F.col("failed"), "PARSE_FAIL").otherwise(F.col(f"__{what}"))).drop(f"__{what}")
     return p
 
 
