@@ -148,6 +148,19 @@ def decode(ids: Column, model: str) -> Column:
     return texts(ids)
 
 
+def encode_and_decode(text: Column, model: str) -> Column:
+    """``ids`` and ``decoded``, the text that they spell, in one pass: one Python worker a task in place of two."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        p = _pieces(model)
+        for s in texts:
+            ids = [x for part in _tables(s) for x in p.encode(part)]
+            yield pd.DataFrame({"ids": ids, "decoded": [p.decode(x.astype(np.int64)) for x in ids]})
+
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with an array column of ids; a column of that name is replaced. Nothing is shuffled."""
     return bound_batches(docs).withColumn(ids_col, encode(F.col(text_col), model))

@@ -54,6 +54,8 @@ def test_encode_edges(spark, sp):
     for r in out:
         assert r["ids"] == sp.encode(r["text"] or "", add_bos=True, add_eos=True)
         assert r["decoded"] == sp.decode(r["ids"])
+    both = awkward(spark).select("text", pieces.encode_and_decode(F.col("text"), MODEL).alias("c")).select("text", "c.*").collect()
+    assert sorted((r["text"] or "", r["ids"], r["decoded"]) for r in both) == sorted((r["text"] or "", r["ids"], r["decoded"]) for r in out)
     assert pieces.encode_documents(empty(spark), MODEL).count() == 0
     nulls = spark.range(1).select(F.lit(None).cast("array<int>").alias("ids"))
     assert pieces.decode_documents(nulls, MODEL).first()["decoded"] is None
