@@ -39,6 +39,8 @@ RECURRENCES = {
 }
 PASSTHROUGH = ["", "-", "MISSING", "PARSE_FAIL", "ERROR"]
 
+#: What the rules below come to for the nine classes.
+CLASS_WEIGHTS = {"O(1)": 1, "O(log n)": 2, "O(sqrt n)": 3, "O(n)": 4, "O(n log n)": 6, "O(n^2)": 7, "O(2^n)": 8, "O(n!)": 9, "O(V + E)": 5}
 #: Ordinal of a class by what its squeezed text holds, tried in order: (kind, alternatives, weight).
 WEIGHTS = [
     ("has", ["n!", "n*t(n-1)"], 9),
@@ -75,7 +77,8 @@ def normalize(c: Column) -> Column:
     bare = lambda s: F.when(s.startswith("o(") & s.endswith(")"), F.substring(s, F.lit(3), F.length(s) - 3)).otherwise(s)
     named = lambda s: F.coalesce(F.element_at(_lookup(spelled), s), F.concat(F.lit("O("), s, F.lit(")")))
     squeezed = F.replace(F.trim(F.lower(c)), F.lit(" "), F.lit(""))
-    return F.when(c.isNull() | c.isin("", "-"), F.lit("-")).otherwise(_let(_let(squeezed, bare), named))
+    # labels in canonical spelling, the most common by far, are left before any work
+    return F.when(c.isNull() | c.isin("", "-"), F.lit("-")).when(c.isin(*SPELLINGS), c).otherwise(_let(_let(squeezed, bare), named))
 
 
 def fold(c: Column) -> Column:
@@ -113,7 +116,7 @@ def fold(c: Column) -> Column:
             .otherwise(_let(body, lambda x: F.when((x == "") | ~fits(x), s).otherwise(_let(polynomial(F.split(x, r"\+")), named(s)))))
         )
 
-    return _let(F.trim(c), folded)
+    return F.when(c.isin(*CLASSES, *PASSTHROUGH), c).otherwise(_let(F.trim(c), folded))
 
 
 def matches(actual: Column, expected: Column) -> Column:
@@ -129,7 +132,8 @@ def weight(c: Column, default: int = 0) -> Column:
         tests = [([s.contains(o) if kind == "has" else s.rlike(o) for o in options], w) for kind, options, w in WEIGHTS]
         return F.coalesce(*[F.when(reduce(lambda a, b: a | b, t), F.lit(w)) for t, w in tests], F.lit(default))
 
-    return _let(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), by_text)
+    by_name = F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_WEIGHTS.items() for x in kv]), c)
+    return F.coalesce(by_name, _let(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), by_text))
 
 
 def bucket(c: Column) -> Column:
