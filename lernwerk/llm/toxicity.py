@@ -22,8 +22,10 @@ TRIM = ".,;:!?\"'()[]{}%&*$#|<>-_"
 FIT_ROWS = 1500
 SEGMENT = 48
 ROUNDS, RATE, DECAY = 80, 0.5, 1e-4
-#: A word is taken for offending where so large a share of toxic documents holds it, and so many times the share of others.
-LEAST_SHARE, LEAST_ODDS = 0.04, 20.0
+#: A word is taken for offending where at least so many toxic documents hold it, in so many times the share of others, and where
+#: the log likelihood of that split over a split by chance reaches a level. Levels are tried on folds of the training texts.
+LEAST_COUNT, LEAST_ODDS = 3, 20.0
+LEVELS, FOLDS = (20.0, 15.0, 12.0, 10.0, 8.0, 6.0), 5
 RUN_CHARS = 1 << 23
 SPAN_MARGINAL = 0.5
 
@@ -155,6 +157,48 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(x @ self.document, -30, 30)))
 
 
+def evidence(bad: np.ndarray, good: np.ndarray, toxic: int, plain: int) -> np.ndarray:
+    """Log likelihood ratio of words in ``bad`` toxic and ``good`` other texts against chance; 0 where it does not point to toxic texts or the odds are low.
+
+    It counts texts, not shares, so a word of a small language, or one of many inflections, needs no
+    more texts than any other.
+    """
+    held, chance = np.maximum(bad + good, 1), toxic / max(toxic + plain, 1)
+    q = bad / held
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(bad > 0, bad * np.log(q / chance), 0) + np.where(good > 0, good * np.log((1 - q) / (1 - chance)), 0)
+    fits = (bad >= LEAST_COUNT) & (bad / max(toxic, 1) >= LEAST_ODDS * (good + 0.5) / max(plain, 1))
+    return np.where(fits, gain, 0.0)
+
+
+def offending(held: np.ndarray, label: np.ndarray, forms: int) -> np.ndarray:
+    """Which forms are offending, from distinct pairs of a form and the text that holds it.
+
+    The level is that with the fewest errors of "holds an offending form" on texts outside the
+    fold's counts, each class counted by its share; the strictest of equal ones.
+    """
+    form, text = held
+    mark = label[text]
+
+    def weigh(use: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        y = label[texts]
+        return evidence(np.bincount(form[use], mark[use], forms), np.bincount(form[use], 1 - mark[use], forms), int(y.sum()), int((1 - y).sum()))
+
+    fold = np.zeros(len(label), np.int64)
+    for g in (0, 1):  # every fold has its part of either class
+        at = np.flatnonzero(label == g)
+        fold[np.random.Generator(np.random.PCG64(5)).permutation(at)] = np.arange(len(at)) % FOLDS
+    wrong = np.zeros((len(LEVELS), 2))
+    for k in range(FOLDS):
+        inside = fold[text] == k
+        e = weigh(~inside, fold != k)
+        for i, level in enumerate(LEVELS):
+            hit = np.bincount(text[inside], e[form[inside]] >= level, len(label)) > 0
+            wrong[i] += [(hit & (fold == k) & (label == 0)).sum(), (~hit & (fold == k) & (label == 1)).sum()]
+    rate = wrong[:, 0] / max((label == 0).sum(), 1) + wrong[:, 1] / max((label == 1).sum(), 1)
+    return weigh(np.ones(len(form), bool), np.ones(len(label), bool)) >= LEVELS[int(rate.argmin())]
+
+
 def train(texts: list[str], toxic: list[int]) -> Crf:
     """Fit on whole labelled texts.
 
@@ -170,12 +214,8 @@ def train(texts: list[str], toxic: list[int]) -> Crf:
     lengths, numbers, forms = tokens(texts)
     owner = np.repeat(np.arange(len(texts)), lengths)
     held = np.unique(np.stack([numbers, owner]), axis=1)
-    bad = np.bincount(held[0], label[held[1]], len(forms))
-    good = np.bincount(held[0], 1 - label[held[1]], len(forms))
-    share = bad / label.sum()
-    offending = (share >= LEAST_SHARE) & (bad >= 3) & (share >= LEAST_ODDS * (good + 0.5) / (1 - label).sum())
-    offending &= np.array([bool(f) for f in forms])
-    y = (offending[numbers] & (label[owner] == 1)).astype(np.int64)
+    found = offending(held, label, len(forms)) & np.array([bool(f) for f in forms])
+    y = (found[numbers] & (label[owner] == 1)).astype(np.int64)
     place = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     segment = np.cumsum((place % SEGMENT) == 0) - 1
     marked = np.bincount(segment, y) > 0

@@ -189,3 +189,16 @@ def test_extraction_edges(spark):
     out = extraction.extract_pages(clashing(df, ["text", "gain"])).collect()
     assert len(out) == 4 and sum(r["text"] == "" for r in out) == 3
     assert extraction.extract_pages(df.limit(0)).count() == 0
+
+
+def test_words_of_a_small_language_are_offending():
+    """One document in 33 of the toxic ones is enough: no share of all toxic documents decides."""
+    plain = [f"plain words number{i} and more of them here" for i in range(400)]
+    common = [f"plain words number{i} idiot and more" for i in range(320)]
+    rare = [f"andere worte nummer{i} achlich und mehr" for i in range(10)]
+    other = [f"andere worte nummer{i} und mehr" for i in range(40)]
+    crf = toxicity.train(plain + other + common + rare, [0] * 440 + [1] * 330)
+    lengths, numbers, forms = toxicity.tokens([rare[3], other[20], common[7]])
+    p = crf.marginals(lengths, crf.features(numbers, forms))
+    assert [int(x) for x in np.flatnonzero(p >= toxicity.SPAN_MARGINAL)] == [3, 14]
+    assert (crf.scores(crf.summaries(lengths, p)) >= 0.5).tolist() == [True, False, True]
