@@ -84,7 +84,7 @@ VIEWS: dict[str, str] = {
     "v_logins": """SELECT event_id, ts, {ms:ts} AS ms, 'u' || CAST(user_id AS STRING) AS account, event_type = 'error' AS failure
                    FROM {events} WHERE event_type IN ('error', 'signup')""",
     "v_edges": """SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS program, CAST(l_partkey % 40 AS INT) AS caller, CAST((l_partkey * 7 + l_linenumber) % 40 AS INT) AS callee
-                  FROM {lineitem} WHERE l_partkey % 23 = 0""",
+                  FROM {lineitem}""",
     "v_calls": """SELECT CAST(l_suppkey AS BIGINT) AS program, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE 'f' || CAST(l_partkey % 40 AS STRING) END AS caller,
                   CASE WHEN l_linenumber = 7 THEN 'print' ELSE 'f' || CAST((l_partkey * 7 + l_linenumber) % 40 AS STRING) END AS callee, l_linenumber AS line FROM {lineitem}""",
     "v_code": "SELECT doc_id, text AS code, lang, source FROM {documents}",

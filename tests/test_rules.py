@@ -167,3 +167,25 @@ def test_sql_functions(spark):
     assert "t_critical" in sql.register(spark)
     row = spark.sql("SELECT clean_key('A-b_c D') k, extract_score(NULL, 1, 4) s, interpret_effect(-0.6) e, interpret_gain(NULL) g, is_guest(' X@GUEST.local ') q, normalized_gain(100, 100) n, round_finite(double('NaN')) r, backoff_ms(9) b, round(t_critical(10D), 4) t").first()
     assert tuple(row) == ("abcd", 25.0, "Medium Effect", None, True, None, None, 600000, 2.2281)
+
+
+def test_edges_are_of_all_line_items(spark):
+    want = view(spark, SMALL, "lineitem").selectExpr("l_suppkey", "l_partkey % 40", "(l_partkey * 7 + l_linenumber) % 40").distinct().count()
+    assert view(spark, SMALL, "v_edges").count() == want
+
+
+def test_live_and_dead_functions_by_search(spark):
+    rng = np.random.default_rng(3)
+    edges = {(int(p), int(a), int(b)) for p, a, b in zip(rng.integers(0, 4, 90), rng.integers(0, 30, 90), rng.integers(0, 30, 90), strict=True)}
+    roots = {(p, a) for p, a, _ in edges if a % 13 == 0}
+    live, todo = set(roots), list(roots)
+    while todo:
+        p, a = todo.pop()
+        more = {(p, c) for q, b, c in edges if (q, b) == (p, a)} - live
+        live |= more
+        todo += more
+    e = spark.createDataFrame(sorted(edges), "program long, caller int, callee int")
+    reached = graph.reachable(e, spark.createDataFrame(sorted(roots), "program long, node int"))
+    assert {tuple(r) for r in reached.collect()} == live
+    dead = {(p, n) for p, a, b in edges for n in (a, b)} - live
+    assert dead and {(r["program"], r["node"]): r["callers"] for r in graph.dead_functions(e, reached).collect()} == {(p, n): ",".join(map(str, sorted({a for q, a, b in edges if (q, b) == (p, n) and a != n}))) for p, n in dead}
