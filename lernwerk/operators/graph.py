@@ -34,10 +34,20 @@ def closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     return paths
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(program, node) reached from the roots, themselves included, a frontier at a time."""
-    calls = edges.select("program", F.col("caller").alias("node"), "callee")
-    seen = frontier = cut(roots.select("program", "node").distinct())
+def reachable(edges: DataFrame, roots: DataFrame, refs: DataFrame | None = None, top_level: DataFrame | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(program, node) reached from the roots, themselves included, a frontier at a time.
+
+    ``refs`` are mentions (program, caller, callee), which propagate like calls. In a program without
+    a root every function of ``top_level`` (program, node) is one, or every function where it has none there.
+    """
+    links = _links(edges, refs)
+    calls = links.select("program", F.col("caller").alias("node"), "callee")
+    roots = roots.select("program", "node")
+    known = nodes(links)
+    first = known.limit(0) if top_level is None else top_level.select("program", "node")
+    known = known.join(first.select("program").distinct(), "program", "left_anti").unionByName(first)
+    own = known.join(roots.select("program").distinct(), "program", "left_anti")
+    seen = frontier = cut(roots.unionByName(own).distinct())
     for _ in range(most_rounds):
         step = frontier.join(calls, ["program", "node"]).select("program", F.col("callee").alias("node")).distinct()
         frontier = cut(step.join(seen, ["program", "node"], "left_anti"))
@@ -47,13 +57,18 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = MOST_ROUNDS
     return seen
 
 
+def _links(edges: DataFrame, refs: DataFrame | None) -> DataFrame:
+    columns = ["program", "caller", "callee"]
+    return edges.select(*columns) if refs is None else edges.select(*columns).unionByName(refs.select(*columns)).distinct()
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select("program", F.col("caller").alias("node")).unionByName(edges.select("program", F.col("callee").alias("node"))).distinct()
 
 
-def dead_functions(edges: DataFrame, live: DataFrame) -> DataFrame:
-    """Functions that are not live, and why: never called, or called by dead code alone (which is listed)."""
-    dead = nodes(edges).join(live, ["program", "node"], "left_anti")
+def dead_functions(edges: DataFrame, live: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """Functions that are not live, and why: never called, or called by dead code alone (which is listed). Those of ``refs`` are functions too."""
+    dead = nodes(_links(edges, refs)).join(live, ["program", "node"], "left_anti")
     callers = edges.select("program", F.col("callee").alias("node"), F.col("caller")).where("node <> caller").groupBy("program", "node").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
     out = dead.join(callers, ["program", "node"], "left")
     return out.select("program", "node", F.when(F.col("callers").isNull(), "never called").otherwise("called by dead code").alias("reason"), F.array_join(F.transform(F.coalesce("callers", F.array()), lambda c: c.cast("string")), ",").alias("callers"))

@@ -178,7 +178,8 @@ def test_live_and_dead_functions_by_search(spark):
     rng = np.random.default_rng(3)
     edges = {(int(p), int(a), int(b)) for p, a, b in zip(rng.integers(0, 4, 90), rng.integers(0, 30, 90), rng.integers(0, 30, 90), strict=True)}
     roots = {(p, a) for p, a, _ in edges if a % 13 == 0}
-    live, todo = set(roots), list(roots)
+    own = {(p, n) for p, a, b in edges for n in (a, b) if p not in {q for q, _ in roots}}  # programs without a root
+    live, todo = roots | own, list(roots | own)
     while todo:
         p, a = todo.pop()
         more = {(p, c) for q, b, c in edges if (q, b) == (p, a)} - live
@@ -189,3 +190,15 @@ def test_live_and_dead_functions_by_search(spark):
     assert {tuple(r) for r in reached.collect()} == live
     dead = {(p, n) for p, a, b in edges for n in (a, b)} - live
     assert dead and {(r["program"], r["node"]): r["callers"] for r in graph.dead_functions(e, reached).collect()} == {(p, n): ",".join(map(str, sorted({a for q, a, b in edges if (q, b) == (p, n) and a != n}))) for p, n in dead}
+
+
+def test_mentions_and_programs_without_roots(spark):
+    calls = spark.createDataFrame([(1, 0, 2), (1, 4, 5), (2, 1, 2), (2, 3, 4), (3, 1, 2)], "program long, caller int, callee int")
+    refs = spark.createDataFrame([(1, 2, 4), (1, 6, 7)], calls.schema)
+    roots = spark.createDataFrame([(1, 0)], "program long, node int")
+    top = spark.createDataFrame([(1, 6), (2, 1)], "program long, node int")
+    live = graph.reachable(calls, roots, refs, top)
+    # program 1 has a root; 2 starts from its top-level function; 3 has none there, so all of it is live
+    assert {tuple(r) for r in live.collect()} == {(1, 0), (1, 2), (1, 4), (1, 5), (2, 1), (2, 2), (3, 1), (3, 2)}
+    assert {tuple(r) for r in graph.dead_functions(calls, live, refs).collect()} == {(1, 6, "never called", ""), (1, 7, "never called", ""), (2, 3, "never called", ""), (2, 4, "called by dead code", "3")}
+    assert {tuple(r) for r in graph.reachable(calls, roots).where("program > 1").collect()} == {(2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2)}
