@@ -202,3 +202,31 @@ def test_mentions_and_programs_without_roots(spark):
     assert {tuple(r) for r in live.collect()} == {(1, 0), (1, 2), (1, 4), (1, 5), (2, 1), (2, 2), (3, 1), (3, 2)}
     assert {tuple(r) for r in graph.dead_functions(calls, live, refs).collect()} == {(1, 6, "never called", ""), (1, 7, "never called", ""), (2, 3, "never called", ""), (2, 4, "called by dead code", "3")}
     assert {tuple(r) for r in graph.reachable(calls, roots).where("program > 1").collect()} == {(2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2)}
+
+
+def _many_attempts(spark, n):
+    rng = np.random.default_rng(7)
+    rows = [(i, None if i % 50 == 0 else "a" if i % 3 else f"u{i % 11}", int(t), bool(f)) for i, (t, f) in enumerate(zip(rng.integers(0, 30_000_000, n), rng.random(n) < 0.8, strict=True))]
+    want, states = set(), {}
+    for i, account, ms, failure in sorted(rows, key=lambda r: (r[2], r[0])):
+        lock = states.setdefault(account, rules.Lockout())
+        want.add((i, account, lock.step(ms, failure), lock.count))
+    return spark.createDataFrame(rows, "event_id long, account string, ms long, failure boolean"), want
+
+
+def test_lockout_holds_one_batch_of_an_account(spark):
+    attempts, want = _many_attempts(spark, 3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = rules.login_lockout(attempts)
+        assert {tuple(r) for r in out.collect()} == want
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lockout_rows_are_merged_from_runs():
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"account": "a", "event_id": np.arange(2000), "ms": rng.integers(0, 500, 2000), "failure": True})
+    got = list(rules._sorted_rows(rows[i : i + 300] for i in range(0, 2000, 300)))
+    assert got == sorted(rows.itertuples(index=False, name=None), key=lambda r: (r[2], r[1]))
