@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Rounds in which paths double; 100 are more than any graph needs.
 MOST_ROUNDS = 100
+#: Steps of one call or one layer. A loop that is not done by then raises an error and gives no short result.
+MOST_STEPS = 100_000
 
 
 def call_edges(calls: DataFrame, ignored: list[str]) -> DataFrame:
@@ -34,7 +37,7 @@ def closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     return paths
 
 
-def reachable(edges: DataFrame, roots: DataFrame, refs: DataFrame | None = None, top_level: DataFrame | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, refs: DataFrame | None = None, top_level: DataFrame | None = None, most_rounds: int = MOST_STEPS) -> DataFrame:
     """(program, node) reached from the roots, themselves included, a frontier at a time.
 
     ``refs`` are mentions (program, caller, callee), which propagate like calls. In a program without
@@ -52,9 +55,9 @@ def reachable(edges: DataFrame, roots: DataFrame, refs: DataFrame | None = None,
         step = frontier.join(calls, ["program", "node"]).select("program", F.col("callee").alias("node")).distinct()
         frontier = cut(step.join(seen, ["program", "node"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(frontier))
-    return seen
+    raise RuntimeError(f"functions are still being reached after {most_rounds} rounds")
 
 
 def _links(edges: DataFrame, refs: DataFrame | None) -> DataFrame:
@@ -91,7 +94,7 @@ def clusters(edges: DataFrame) -> DataFrame:
     return nodes(edges).join(mutual, ["program", "node"], "left").select("program", "node", F.least("node", F.coalesce("m", "node")).alias("cluster"))
 
 
-def dependency_order(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def dependency_order(edges: DataFrame, most_rounds: int = MOST_STEPS) -> DataFrame:
     """(program, cluster, layer): callees first; a cluster's layer is its longest way down."""
     named = clusters(edges)
     a = named.select("program", F.col("node").alias("caller"), F.col("cluster").alias("up"))
@@ -107,5 +110,5 @@ def dependency_order(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFr
         rest = cut(rest.join(free, ["program", "cluster"], "left_anti"))
         left = cut(left.join(free.select("program", F.col("cluster").alias("down")), ["program", "down"], "left_anti"))
         if rest.isEmpty():
-            break
-    return out
+            return out
+    raise RuntimeError(f"clusters are still without a layer after {most_rounds} rounds")

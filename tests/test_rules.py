@@ -230,3 +230,13 @@ def test_lockout_rows_are_merged_from_runs():
     rows = pd.DataFrame({"account": "a", "event_id": np.arange(2000), "ms": rng.integers(0, 500, 2000), "failure": True})
     got = list(rules._sorted_rows(rows[i : i + 300] for i in range(0, 2000, 300)))
     assert got == sorted(rows.itertuples(index=False, name=None), key=lambda r: (r[2], r[1]))
+
+
+def test_bounds_raise_and_do_not_shorten(spark):
+    chain = spark.createDataFrame([(1, i, i + 1) for i in range(6)], "program long, caller int, callee int")
+    roots = spark.createDataFrame([(1, 0)], "program long, node int")
+    assert graph.reachable(chain, roots, most_rounds=7).count() == 7
+    assert graph.dependency_order(chain, most_rounds=7).agg(F.max("layer")).first()[0] == 6
+    for short in (lambda: graph.reachable(chain, roots, most_rounds=3), lambda: graph.dependency_order(chain, most_rounds=3)):
+        with pytest.raises(RuntimeError):
+            short()
