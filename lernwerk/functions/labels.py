@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Canonical classes, their order, and spellings of each (small letters, without spaces and the outer O()).
@@ -39,22 +40,10 @@ RECURRENCES = {
 }
 PASSTHROUGH = ["", "-", "MISSING", "PARSE_FAIL", "ERROR"]
 
-#: What the rules below come to for the nine classes.
-CLASS_WEIGHTS = {"O(1)": 1, "O(log n)": 2, "O(sqrt n)": 3, "O(n)": 4, "O(n log n)": 6, "O(n^2)": 7, "O(2^n)": 8, "O(n!)": 9, "O(V + E)": 5}
-#: Ordinal of a class by what its squeezed text holds, tried in order: (kind, alternatives, weight).
-WEIGHTS = [
-    ("has", ["n!", "n*t(n-1)"], 9),
-    ("has", ["2^n", "2ⁿ", "c^n", "t(n-1)+t(n-2)"], 8),
-    ("has", ["n^2", "n²", "n*n", "n*m", "m*n", "t(n-1)+o(n)"], 7),
-    ("matches", [r"o\([a-z](\^\d+)?(\*[a-z](\^\d+)?)+\)"], 7),
-    ("matches", [r"o\([a-z](\^\d+)?(\+[a-z](\^\d+)?)+\)"], 5),
-    ("has", ["nlogn", "n*log", "nlog", "2t(n/2)+o(n)", "t(n-1)+o(log"], 6),
-    ("has", ["v+e", "e+v", "n+m", "m+n"], 5),
-    ("has", ["o(n)", "o(m)", "2t(n/2)+o(1)", "t(n/2)+o(n)", "t(n-1)+o(1)"], 4),
-    ("has", ["√n", "sqrt"], 3),
-    ("has", ["log", "t(n/2)+o(1)"], 2),
-    ("has", ["o(1)"], 1),
-]
+#: Names of classes inside O().
+NAMED = {"o(constant)": "o(1)", "o(cubic)": "o(n^3)", "o(quartic)": "o(n^4)", "o(exponential)": "o(2^n)"}
+#: Letters that stand for one size as n does.
+SIZE_LETTERS = "kmpqrs"
 
 
 def _let(value: Column, f) -> Column:
@@ -66,6 +55,29 @@ def _lookup(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+#: Distinct labels that ``once`` works out ahead, at most.
+MOST_LABELS = 256
+
+
+def once(df: DataFrame, columns: dict[str, str], rule: Callable[[Column], Column], labels: DataFrame | None = None, most: int = MOST_LABELS) -> DataFrame:
+    """Add ``rule`` of label columns (new name: column), worked out once for each of ``most`` distinct labels.
+
+    The labels are those of ``labels`` (``df`` itself by default). Their values are broadcast, ``most`` rows at
+    most, and looked up by joins that move no fact; a row with any further label has the rule worked out
+    where it is. So the broadcast is bounded and the result does not depend on it.
+    """
+    label, used = F.col("label"), [F.col(c) for c in columns.values()]
+    few = (df if labels is None else labels).select(F.explode(F.array_distinct(F.array(*columns.values()))).alias("label")).where(label.isNotNull()).distinct().limit(most)
+    few = few.select("label", rule(label).alias("value"))
+    for i, c in enumerate(used):
+        df = df.join(F.broadcast(few.select(label.alias(f"__label{i}"), F.col("value").alias(f"__value{i}"))), c == F.col(f"__label{i}"), "left")
+    unknown = reduce(lambda a, b: a | b, [c.isNotNull() & F.col(f"__value{i}").isNull() for i, c in enumerate(used)])
+    df = df.withColumn("__rest", F.when(unknown, F.transform(F.array(*used), rule)))
+    none = rule(F.lit(None).cast("string"))
+    found = {name: F.when(c.isNull(), none).otherwise(F.coalesce(F.col(f"__value{i}"), F.col("__rest")[i])) for i, (name, c) in enumerate(zip(columns, used, strict=True))}
+    return df.withColumns(found).drop("__rest", *[f"__{part}{i}" for i in range(len(used)) for part in ("label", "value")])
+
+
 def resolve_recurrence(c: Column) -> Column:
     """The class that a recurrence solves to; other labels as they are."""
     return F.coalesce(F.element_at(_lookup(RECURRENCES), c), c)
@@ -116,120 +128,179 @@ def fold(c: Column) -> Column:
             .otherwise(_let(body, lambda x: F.when((x == "") | ~fits(x), s).otherwise(_let(polynomial(F.split(x, r"\+")), named(s)))))
         )
 
-    return F.when(c.isin(*CLASSES, *PASSTHROUGH), c).otherwise(_let(F.trim(c), folded))
+    return F.when(c.isNull() | c.isin(*CLASSES, *PASSTHROUGH), c).otherwise(_let(F.trim(c), folded))
 
 
-def matches(actual: Column, expected: Column) -> Column:
-    """Whether a prediction agrees: no expectation passes, no prediction fails, else equal once spelled and folded alike."""
+def canonical(c: Column) -> Column:
+    """A label spelled and folded; two labels are the same class where these are equal."""
+    return fold(normalize(c))
+
+
+def agree(actual: Column, expected: Column, same: Column) -> Column:
+    """Whether a prediction counts as right: no expectation passes, no prediction fails, else whether the classes are the ``same``."""
     absent = lambda c: c.isNull() | c.isin("", "-")
-    return F.when(absent(expected), F.lit(True)).when(absent(actual), F.lit(False)).otherwise(fold(normalize(actual)) == fold(normalize(expected)))
+    return F.when(absent(expected), F.lit(True)).when(absent(actual), F.lit(False)).otherwise(same)
+
+
+def matches(actual: Column, expected: Column) -> Column:
+    """The same for two labels, which are of one class if equal once spelled and folded alike."""
+    return agree(actual, expected, canonical(actual) == canonical(expected))
+
+
+def growth(c: Column) -> Column:
+    """What a label grows like, as a struct; recurrences are resolved first.
+
+    ``kind`` is poly, exp, fact or unknown. Of the term that grows most: ``degree`` (the sum of its exponents),
+    ``log_power`` and ``letters`` (how many factors have a size letter). Of the whole: ``base`` of an
+    exponential, ``sizes`` (its letters in order), ``power`` (the largest exponent of n), ``terms``, whether
+    all terms can be ``read``, and whether it is ``wrapped`` in O().
+    """
+    factor = r"[a-z](?:\^\d+(?:\.\d+)?)?"
+
+    def term(t: Column) -> Column:
+        """One summand; a logarithm is taken out, a root is an exponent of a half."""
+        rest = F.regexp_replace(F.regexp_replace(t, r"\*?log(\(?[a-z]\)?)?", ""), r"^\*", "")
+        rest = F.regexp_replace(rest, r"sqrt(?:\(([a-z])\)|([a-z])|$)", "$1$2^0.5")
+        rest = F.when(rest == "^0.5", "n^0.5").otherwise(rest)
+        return F.struct(rest.rlike(f"^({factor}(\\*{factor})*)?$").alias("read"), F.least(F.regexp_count(t, F.lit("log")), F.lit(1)).alias("logs"), F.regexp_extract_all(rest, F.lit(f"({factor})"), 1).alias("factors"))
+
+    exponent = lambda f: F.coalesce(F.try_element_at(F.split(f, r"\^"), F.lit(2)).cast("double"), F.lit(1.0))
+    degree = lambda fs: F.aggregate(fs, F.lit(0.0), lambda total, f: total + exponent(f))
+
+    def fields(s: Column, text: Column) -> Column:
+        base = F.replace(F.nullif(F.regexp_extract(text, r"(\d+|c)\^n", 1), F.lit("")), F.lit("c"), F.lit("2")).cast("double")
+
+        def whole(terms: Column) -> Column:
+            read = F.filter(terms, lambda t: t["read"] & ((F.size(t["factors"]) > 0) | (t["logs"] > 0)))
+            factors = F.flatten(read["factors"])
+            main = F.array_max(F.transform(read, lambda t: F.struct(degree(t["factors"]).alias("degree"), t["logs"].alias("logs"), F.size(t["factors"]).alias("letters"))))
+            kind = F.when(text.contains("n!"), "fact").when(base.isNotNull(), "exp").when(main.isNotNull() | (text == "1"), "poly").otherwise("unknown")
+            return F.struct(
+                kind.alias("kind"), F.when(text == "1", 0.0).otherwise(main["degree"]).alias("degree"), F.coalesce(main["logs"], F.when(text.contains("log"), 1), F.lit(0)).alias("log_power"), base.alias("base"),
+                F.coalesce(main["letters"], F.lit(0)).alias("letters"), F.array_join(F.array_sort(F.array_distinct(F.transform(factors, lambda f: F.substring(f, 1, 1)))), "").alias("sizes"),
+                F.array_max(F.transform(F.filter(factors, lambda f: f.startswith("n")), exponent)).alias("power"), F.size(terms).alias("terms"), F.forall(terms, lambda t: t["read"]).alias("read"), (s != text).alias("wrapped"),
+            )
+
+        return _let(F.transform(F.split(text, r"\+"), term), whole)
+
+    squeezed = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
+    for sign, plain in (("²", "^2"), ("³", "^3"), ("ⁿ", "^n"), ("√", "sqrt")):
+        squeezed = F.replace(squeezed, F.lit(sign), F.lit(plain))
+    tight = lambda label: label.lower().replace(" ", "")
+    solved = _lookup({tight(k): tight(v) for k, v in RECURRENCES.items()})
+    return _let(F.coalesce(F.element_at(solved, squeezed), squeezed), lambda s: _let(F.coalesce(F.nullif(F.regexp_extract(s, r"^o\((.*)\)$", 1), F.lit("")), s), lambda text: fields(s, text)))
+
+
+def _in_n(g: Column) -> Column:
+    """The exponent of n, or the degree of n or of a product of letters; other letters are not read as sizes of their own."""
+    return F.when(g["power"] > 1, g["power"]).when(g["sizes"].contains("n") | (g["letters"] > 1), g["degree"])
+
+
+def _alone(g: Column, letters: str) -> Column:
+    """Whether the label is one of these letters."""
+    return (g["terms"] == 1) & (g["letters"] == 1) & (g["degree"] == 1) & (g["log_power"] == 0) & g["sizes"].isin(*letters)
 
 
 def weight(c: Column, default: int = 0) -> Column:
     """Ordinal 1 (constant) to 9 (factorial) of a label, ``default`` where nothing fits."""
 
-    def by_text(s: Column) -> Column:
-        tests = [([s.contains(o) if kind == "has" else s.rlike(o) for o in options], w) for kind, options, w in WEIGHTS]
-        return F.coalesce(*[F.when(reduce(lambda a, b: a | b, t), F.lit(w)) for t, w in tests], F.lit(default))
+    def by_growth(g: Column) -> Column:
+        linear_log = (_in_n(g) == 1) & (g["log_power"] > 0)
+        pair = g["wrapped"] | g["sizes"].rlike("mn|ev")
+        return (
+            F.when(g["kind"] == "fact", 9)
+            .when(g["kind"] == "exp", F.when(g["base"] == 2, 8))
+            .when((F.floor(g["power"]) == 2) | (g["letters"] > 1), 7)
+            .when(g["read"] & (g["terms"] > 1) & (g["log_power"] == 0) & pair, 5)
+            .when(linear_log, 6)
+            .when(g["wrapped"] & _alone(g, "nm"), 4)
+            .when(g["degree"] == 0.5, 3)
+            .when(g["log_power"] > 0, 2)
+            .when(g["wrapped"] & (g["degree"] == 0), 1)
+        )
 
-    by_name = F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_WEIGHTS.items() for x in kv]), c)
-    return F.coalesce(by_name, _let(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), by_text))
+    return F.coalesce(_let(growth(c), by_growth), F.lit(default))
 
 
 def bucket(c: Column) -> Column:
-    """Growth class name of a label; recurrences are resolved first."""
-    s = F.regexp_replace(F.lower(resolve_recurrence(F.coalesce(c, F.lit("")))), r"\s+", "")
-    for sign, plain in (("²", "^2"), ("³", "^3"), ("ⁿ", "^n"), ("√n", "sqrtn")):
-        s = F.replace(s, F.lit(sign), F.lit(plain))
-
-    def by_text(s: Column) -> Column:
-        fraction = F.nullif(F.regexp_extract(s, r"n\^(\d+\.\d+)", 1), F.lit("")).cast("double")
-        degree = F.nullif(F.regexp_extract(s, r"n\^(\d+)", 1), F.lit("")).cast("int")
-        product = F.regexp_extract(s, r"o\(([a-z](?:\^\d+)?(?:\*[a-z](?:\^\d+)?)+)(?:log[a-z])?\)", 1)
-        size = F.aggregate(F.split(product, r"\*"), F.lit(0), lambda acc, f: acc + F.coalesce(F.nullif(F.regexp_extract(f, r"\^(\d+)", 1), F.lit("")).cast("int"), F.lit(1)))
-        return (
-            F.when(~s.contains("o("), "unknown")
-            .when(s.contains("n!"), "factorial")
-            .when(s.rlike(r"(\d|c)\^n|exponential"), "exponential")
-            .when(fraction > 2, "polyHigh")
-            .when(fraction > 1, "nlogn")
-            .when(fraction.isNotNull(), "sqrt")
-            .when((degree >= 3) | ((degree == 2) & s.contains("log")), "polyHigh")
-            .when(degree == 2, "quadratic")
-            .when(s.rlike("cubic|quartic"), "polyHigh")
-            .when((product != "") & (size >= 3), "polyHigh")
-            .when(product != "", "quadratic")
-            .when(s.rlike(r"n\*n|n\*m|m\*n"), "quadratic")
-            .when(s.rlike(r"nlog|n\*log"), "nlogn")
-            .when(s.rlike(r"v\+e|e\+v|n\+m|m\+n|o\(v\)|o\(e\)"), "graph")
-            .when(s.rlike(r"o\([a-z]\)"), "linear")
-            .when(s.rlike(r"sqrt|n\^0\.5"), "sqrt")
-            .when(s.contains("log"), "log")
-            .when(s.rlike(r"o\(1\)|constant"), "constant")
-            .otherwise("unknown")
+    """Growth class name of a label; without O() it is unknown."""
+
+    def by_growth(g: Column) -> Column:
+        d, logs = _in_n(g), g["log_power"] > 0
+        poly = (
+            F.when((d > 2) | ((d == 2) & logs & (g["letters"] == 1)), "polyHigh")
+            .when(d == 2, "quadratic")
+            .when((d > 1) | ((d == 1) & logs), "nlogn")
+            .when((g["degree"] > 0) & (g["degree"] < 1), "sqrt")
+            .when(_alone(g, "ve") | ((g["degree"] == 1) & (g["terms"] > 1) & g["sizes"].rlike("mn|ev")), "graph")
+            .when((g["terms"] == 1) & (g["degree"] == 1) & ~logs, "linear")
+            .when(logs, "log")
+            .when((g["terms"] == 1) & (g["degree"] == 0), "constant")
         )
+        found = F.when(g["kind"] == "fact", "factorial").when(g["kind"] == "exp", "exponential").otherwise(poly)
+        return F.coalesce(F.when(g["wrapped"], found), F.lit("unknown"))
+
+    tight = F.regexp_replace(F.lower(c), r"\s+", "")
+    return _let(growth(F.coalesce(F.element_at(_lookup(NAMED), tight), c)), by_growth)
 
-    return _let(s, by_text)
+
+def _ladder(d: Column, logs: Column) -> Column:
+    """Rank of a power of n times a logarithm: 10, 20, then 6 a degree up to 90, with room for the logarithm between."""
+    whole = F.floor(d)
+    return F.when(whole >= 2, F.least(8 + 6 * whole, F.lit(90)) + logs * F.when(whole == 2, 5).otherwise(1)).when(whole == 1, 10 + 5 * logs)
 
 
 def rank(c: Column) -> Column:
     """Finer ordinal of a canonical label, for the dominating line of a program."""
-    lone = F.regexp_extract(c, r"^O\([mkpqrs]((\^\d+)?( log [mkpqrs])?)\)$", 1)
-    c = F.when(c.rlike(r"^O\([mkpqrs](\^\d+)?( log [mkpqrs])?\)$"), F.concat(F.lit("O(n"), F.regexp_replace(lone, " log .", " log n"), F.lit(")"))).otherwise(c)
-    power = F.nullif(F.regexp_extract(c, r"n\^(\d+)", 1), F.lit("")).cast("int")
-    letters = F.regexp_extract_all(F.regexp_replace(c, r"log n|O\(|\)", ""), F.lit(r"([a-zA-Z](?:\^\d+)?)"), 1)
-    degree = F.aggregate(letters, F.lit(0), lambda acc, f: acc + F.coalesce(F.nullif(F.regexp_extract(f, r"\^(\d+)", 1), F.lit("")).cast("int"), F.lit(1)))
-    return (
-        F.when(c == "Dead Code", F.lit(-1.0))
-        .when(c.isin("O(1)", "Definition"), F.lit(1.0))
-        .when(c.contains("V^2"), F.lit(14.0))
-        .when(c.contains("n!"), F.lit(150.0))
-        .when(c.contains("2^n") | c.contains("2ⁿ"), F.lit(100.0))
-        .when(c.rlike(r"\w(\^\d+)? \* \w"), F.when(degree >= 2, 20 + 6 * (degree - 2)).otherwise(10) - F.lit(0.5))
-        .when(power >= 3, F.least(20 + 6 * (power - 2), F.lit(90)) + F.when(c.contains("log n"), 1).otherwise(0))
-        .when(c.contains("n^2 log n") | c.contains("n² log n"), F.lit(25.0))
-        .when(c.contains("n^2") | c.contains("n²"), F.lit(20.0))
-        .when(c.contains("n log n"), F.lit(15.0))
-        .when(c.contains("V"), F.lit(12.0))
-        .when(c.contains("sqrt n") | c.contains("√n"), F.lit(7.0))
-        .when(c.contains("log n"), F.lit(5.0))
-        .when(c.contains("n"), F.lit(10.0))
-        .otherwise(F.lit(0.0))
-    ).cast("double")
+
+    def by_growth(g: Column) -> Column:
+        d, logs = g["degree"], g["log_power"]
+        lone = (g["terms"] == 1) & (g["letters"] == 1) & g["sizes"].isin(*SIZE_LETTERS)
+        return (
+            F.when(g["kind"] == "fact", 150)
+            .when(g["kind"] == "exp", F.when(g["base"] == 2, 100).otherwise(10))
+            .when(g["letters"] > 1, 8 + 6 * d - 0.5)
+            .when(g["sizes"].contains("v"), 10 + 2 * d)
+            .when(g["power"].isNotNull() | lone, F.coalesce(_ladder(d, logs), F.lit(7)))
+            .when(g["letters"] > 0, 0)
+            .when(logs > 0, 5)
+            .when(g["wrapped"] & (d == 0), 1)
+        )
+
+    return F.coalesce(F.when(c == "Dead Code", -1).when(c == "Definition", 1).otherwise(_let(growth(c), by_growth)), F.lit(0)).cast("double")
 
 
 def space_rank(c: Column) -> Column:
     """The same for memory."""
-    return (
-        F.when(c.contains("n!"), 5.0)
-        .when(c.contains("2^n") | c.contains("2ⁿ"), 4.0)
-        .when(c.rlike(r"n\^([3-9]|\d\d+)"), 2.5)
-        .when(c.contains("n^2") | c.contains("n²"), 2.0)
-        .when(c.contains("V"), 3.0)
-        .when(c.contains("sqrt n") | c.contains("√n"), 0.7)
-        .when(c.contains("log n"), 0.5)
-        .when(c.contains("n"), 1.0)
-        .otherwise(0.0)
-    )
 
+    def by_growth(g: Column) -> Column:
+        power = F.when(g["power"] >= 3, 2.5).when(g["power"] >= 2, 2.0)
+        rest = F.when(g["sizes"].contains("v"), 3.0).when(g["degree"] == 0.5, 0.7).when((g["log_power"] > 0) & (g["power"].isNotNull() | (g["letters"] == 0)), 0.5).when(g["power"].isNotNull(), 1.0)
+        return F.when(g["kind"] == "fact", 5.0).when(g["kind"] == "exp", F.when(g["base"] == 2, 4.0).otherwise(1.0)).otherwise(F.coalesce(power, rest))
+
+    return F.coalesce(_let(growth(c), by_growth), F.lit(0.0))
 
-def growth(c: Column) -> Column:
-    """A label as a struct: kind (poly, exp, fact, unknown), degree, power of the logarithm, base."""
-    s = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(""))
-    exponent = F.coalesce(F.nullif(F.regexp_extract(s, r"n\^(\d+(\.\d+)?)", 1), F.lit("")).cast("double"), F.when(s.contains("sqrt"), 0.5).when(s.rlike(r"^o\(log"), 0.0).when(s == "o(1)", 0.0).when(s.rlike(r"v\+e|\(n"), 1.0))
-    base = F.nullif(F.regexp_extract(s, r"(\d+)\^n", 1), F.lit("")).cast("double")
-    kind = F.when(s.contains("n!"), "fact").when(base.isNotNull(), "exp").when(exponent.isNotNull(), "poly").otherwise("unknown")
-    return F.struct(kind.alias("kind"), F.when(kind == "poly", exponent).alias("degree"), F.when(kind == "poly", F.when(s.contains("log"), 1).otherwise(0)).alias("log_power"), base.alias("base"))
+
+def _shape(c: Column, f) -> Column:
+    """``f`` of the growth of a class that has one term over n, or over the parts of a graph; null for other labels and for recurrences."""
+
+    def known(g: Column) -> Column:
+        plain = (g["terms"] == 1) & (g["sizes"].isin("", "n", "v") | (g["sizes"] == "m") & (g["degree"] == 1) | (g["letters"] > 1))
+        graph = (g["sizes"] == "ev") & (g["degree"] == 1)
+        return F.when(g["wrapped"] & (plain | graph | (g["kind"] == "fact")), f(g))
+
+    return F.when(~F.lower(c).contains("t("), _let(growth(c), known))
 
 
 def growth_eval(c: Column, n: Column) -> Column:
-    """Step count of a label at size n; null for a label without a known shape."""
-    g = growth(c)
+    """Step count of a label at size n; null for a label without a known shape, and for a factorial past 20."""
     x = n.cast("double")
-    return (
-        F.when(g["kind"] == "fact", F.when(n <= 20, F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double")))
+    beside = F.when(F.replace(F.lower(c), F.lit(" "), F.lit("")).contains("n*n!"), x).otherwise(1.0)
+    return _shape(
+        c,
+        lambda g: F.when(g["kind"] == "fact", F.when(n <= 20, F.factorial(F.least(n, F.lit(20)).cast("int")) * beside))
         .when(g["kind"] == "exp", F.pow(g["base"], x))
-        .when(g["kind"] == "poly", F.pow(x, g["degree"]) * F.pow(F.log2(x), g["log_power"].cast("double")))
+        .when(g["kind"] == "poly", F.pow(x, g["degree"]) * F.pow(F.log2(F.greatest(x, F.lit(2.0))), g["log_power"].cast("double"))),
     )
 
 
@@ -240,17 +311,16 @@ def practical_limit(c: Column, budget: float = 1e7) -> Column:
     logarithm are bisected over the doublings below the budget; exponentials and
     factorials are looked up over the few sizes that fit.
     """
-    g = growth(c)
-    root = F.floor(F.pow(F.lit(budget), 1 / g["degree"]))
-    root = root + F.when(F.pow((root + 1).cast("double"), g["degree"]) <= budget, 1).otherwise(0)
-    steps = lambda x: F.pow(x.cast("double"), g["degree"]) * F.log2(x.cast("double"))
-    doublings = [2**k for k in range(int(math.log2(budget)) + 1, -1, -1)]
-    search = F.aggregate(F.array(*[F.lit(d).cast("long") for d in doublings]), F.lit(1).cast("long"), lambda acc, d: F.when(steps(acc + d) <= budget, acc + d).otherwise(acc))
-    powers = F.floor(F.log(F.lit(budget)) / F.log(g["base"]) + F.lit(1e-9))
+    doublings = F.array(*[F.lit(2**k).cast("long") for k in range(int(math.log2(budget)) + 1, -1, -1)])
     fact = max(k for k in range(1, 21) if math.factorial(k) <= budget)
-    return (
-        F.when(g["kind"] == "fact", F.lit(fact))
-        .when(g["kind"] == "exp", powers)
-        .when((g["kind"] == "poly") & (g["log_power"] > 0) & (g["degree"] > 0), search)
-        .when((g["kind"] == "poly") & (g["degree"] > 0) & (g["log_power"] == 0), root)
-    ).cast("long")
+
+    def largest(g: Column) -> Column:
+        root = F.floor(F.pow(F.lit(budget), 1 / g["degree"]))
+        root = root + F.when(F.pow((root + 1).cast("double"), g["degree"]) <= budget, 1).otherwise(0)
+        steps = lambda x: F.pow(x.cast("double"), g["degree"]) * F.log2(x.cast("double"))
+        search = F.aggregate(doublings, F.lit(1).cast("long"), lambda acc, d: F.when(steps(acc + d) <= budget, acc + d).otherwise(acc))
+        powers = F.floor(F.log(F.lit(budget)) / F.log(g["base"]) + F.lit(1e-9))
+        poly = F.when(g["degree"] > 0, F.when(g["log_power"] > 0, search).otherwise(root))
+        return F.when(g["kind"] == "fact", F.lit(fact)).when(g["kind"] == "exp", powers).when(g["kind"] == "poly", poly).cast("long")
+
+    return _shape(c, largest)

@@ -123,32 +123,26 @@ def counts_toward_rog() -> Column:
     return F.coalesce(F.col("type") == "optimization", F.lit(False)) & F.col("final_aes").isNotNull()
 
 
-def metric_columns() -> list[Column]:
-    """The metric set of any group of submission rows; means are null where nothing counts."""
-    r = lambda c: F.round(c, 10)
-    out = [
-        r(F.avg("final_aes")).alias("aes"),
-        r(F.avg("rog_value")).alias("rog"),
-        F.count("rog_value").alias("rog_count"),
-        F.count_if(F.coalesce("code_unchanged", F.lit(False))).alias("unchanged"),
-        r(F.avg(F.col("tsr_passed") / F.col("tsr_total")) * 100).alias("tsr"),
-        F.count("*").alias("attempted"),
-        F.count_if("done").alias("passed"),
-    ]
-    for n in CATEGORIES:
-        out += [F.sum(f"{n}_passed_n").alias(f"{n}_passed"), F.sum(f"{n}_total_n").alias(f"{n}_total")]
-    return out
-
-
 def submission_metrics(rows: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
-    """Metrics of the cohort, each module, each user and each user in each module, by one grouping.
+    """Metrics of the cohort, each module, each user and each user in each module; means are null where nothing counts.
 
-    ``level`` names the grouping columns that hold, a bit each (module 2, owner 1 when summed over). A null module is ``unknown``.
+    Rows are summed once by user and module, and these sums are then rolled up: the grouping sets multiply
+    the few sums and not the rows. ``level`` names the grouping columns that hold, a bit each (module 2, owner 1
+    when summed over). A null module is ``unknown``.
     """
+    counted = [f"{n}_{what}" for n in CATEGORIES for what in ("passed", "total")]
+    means = {"aes": F.col("final_aes"), "rog": F.col("rog_value"), "tsr": F.col("tsr_passed") / F.col("tsr_total")}
+    flags = {"unchanged": F.coalesce("code_unchanged", F.lit(False)), "passed": F.col("done")}
+    sums = [x for n, c in means.items() for x in (F.sum(c).alias(f"{n}_sum"), F.count(c).alias(f"{n}_count"))]
     named = rows.withColumn("module", F.coalesce("module", F.lit("unknown")))
-    keys = [F.col("module"), F.col("owner")]
+    parts = named.groupBy("module", "owner").agg(*sums, *[F.count_if(c).alias(n) for n, c in flags.items()], F.count("*").alias("attempted"), *[F.sum(f"{c}_n").alias(c) for c in counted])
     chosen = [[F.col(c) for c in s] for s in (sets if sets is not None else [[], ["module"], ["owner"], ["module", "owner"]])]
-    return named.groupingSets(chosen, *keys).agg(F.grouping_id().cast("long").alias("level"), *metric_columns())
+    mean = lambda n, scale=1: F.round(F.try_divide(F.sum(f"{n}_sum"), F.sum(f"{n}_count")) * scale, 10).alias(n)
+    total = lambda n: F.sum(n).alias(n)
+    return parts.groupingSets(chosen, F.col("module"), F.col("owner")).agg(
+        F.grouping_id().cast("long").alias("level"), mean("aes"), mean("rog"), F.coalesce(F.sum("rog_count"), F.lit(0)).alias("rog_count"), F.coalesce(F.sum("unchanged"), F.lit(0)).alias("unchanged"),
+        mean("tsr", 100), F.coalesce(F.sum("attempted"), F.lit(0)).alias("attempted"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"), *map(total, counted),
+    )
 
 
 def rollup_users(users: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -6,19 +6,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import CLASSES, fold, matches, normalize, rank
+from ..functions.labels import CLASSES, agree, canonical, once, rank
 
 MAX_SHIFT = 5
 
 
 def score_programs(predictions: DataFrame) -> DataFrame:
     """Add canonical labels and whether time and space agree; a failed program has PARSE_FAIL for a prediction."""
-    p = predictions
-    absent = lambda c: F.col(c).isNull() | F.col(c).isin("", "-")
+    p = once(predictions, {f"__{kind}_{what}": f"{kind}_{what}" for kind in ("expected", "predicted") for what in ("time", "space")}, canonical)
     for what in ("time", "space"):
-        p = p.withColumn(f"{what}_class", fold(normalize(F.col(f"expected_{what}")))).withColumn(f"__{what}", fold(normalize(F.col(f"predicted_{what}"))))
-        agrees = F.when(absent(f"expected_{what}"), True).when(absent(f"predicted_{what}"), False).otherwise(F.col(f"{what}_class") == F.col(f"__{what}"))
-        p = p.withColumn(f"{what}_ok", ~F.col("failed") & agrees).withColumn(f"{what}_predicted", F.when(F.col("failed"), "PARSE_FAIL").otherwise(F.col(f"__{what}"))).drop(f"__{what}")
+        got, want = F.col(f"__predicted_{what}"), F.col(f"__expected_{what}")
+        agrees = agree(F.col(f"predicted_{what}"), F.col(f"expected_{what}"), got == want)
+        p = p.withColumns({f"{what}_class": want, f"{what}_ok": ~F.col("failed") & agrees, f"{what}_predicted": F.when(F.col("failed"), "PARSE_FAIL").otherwise(got)}).drop(f"__predicted_{what}", f"__expected_{what}")
     return p
 
 
@@ -62,7 +61,11 @@ def score_lines(predicted: DataFrame, expected: DataFrame, code: DataFrame) -> D
     joined = p.join(e, ["program", "lineno"], "full_outer")
     silent = joined.where("predicted is null").join(bare, ["program", "lineno"], "left_anti").withColumn("predicted", F.lit("MISSING"))
     out = joined.where("predicted is not null").unionByName(silent)
-    return out.withColumn("ok", F.when(F.col("predicted") == "MISSING", False).otherwise(matches(F.col("predicted"), F.col("expected"))))
+    none = F.lit(None).cast("string")
+    met = p.select("predicted", none.alias("expected")).unionByName(e.select(none.alias("predicted"), "expected"))
+    out = once(out, {"__predicted": "predicted", "__expected": "expected"}, canonical, met)
+    same = agree(F.col("predicted"), F.col("expected"), F.col("__predicted") == F.col("__expected"))
+    return out.withColumn("ok", F.when(F.col("predicted") == "MISSING", False).otherwise(same)).drop("__predicted", "__expected")
 
 
 def confusion(df: DataFrame, expected: str, predicted: str) -> DataFrame:
@@ -167,8 +170,7 @@ def line_hits(events: DataFrame, code_lines: DataFrame) -> DataFrame:
 
 def dominant_label(lines: DataFrame) -> DataFrame:
     """The heaviest class of each program's lines, by name on ties, and how many lines reach it."""
-    w = rank(F.col("label"))
-    g = lines.withColumn("w", w).groupBy("program", "label", "w").agg(F.count("*").alias("n"))
+    g = once(lines, {"w": "label"}, rank).groupBy("program", "label", "w").agg(F.count("*").alias("n"))
     return g.groupBy("program").agg(F.max(F.struct("w", "label", "n")).alias("m")).select("program", "m.label", F.col("m.w").alias("weight"), F.col("m.n").alias("lines"))
 
 

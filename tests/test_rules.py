@@ -110,6 +110,44 @@ def test_fold(spark, label, folded):
     assert spark.range(1).select(labels.fold(F.lit(label)).alias("f")).first()["f"] == folded
 
 
+# Ordinal (6 where nothing fits), growth class, rank and memory rank of labels; None where the rules are not meant for the label.
+RULES = [
+    ("O(1)", 1, "constant", 1, 0), ("O(log n)", 2, "log", 5, 0.5), ("O(sqrt n)", 3, "sqrt", 7, 0.7), ("O(n)", 4, "linear", 10, 1), ("O(n log n)", 6, "nlogn", 15, 0.5),
+    ("O(n^2)", 7, "quadratic", 20, 2), ("O(n^2 log n)", 7, "polyHigh", 25, 2), ("O(n^3)", 6, "polyHigh", 26, 2.5), ("O(n^3 log n)", 2, "polyHigh", 27, 2.5),
+    ("O(2^n)", 8, "exponential", 100, 4), ("O(3^n)", 6, "exponential", 10, 1), ("O(n!)", 9, "factorial", 150, 5), ("O(n * n!)", 9, "factorial", 150, 5),
+    ("O(V + E)", 5, "graph", 12, 3), ("O(V+E)", 5, "graph", 12, 3), ("O(V)", 6, "graph", 12, 3), ("O(V^2)", 6, "unknown", 14, 3), ("O(E)", 6, "graph", 0, 0),
+    ("O(n * m)", 7, "quadratic", 19.5, 1), ("O(n^2 * m)", 7, "quadratic", 25.5, 2), ("O(n * m * k)", 7, "polyHigh", 25.5, 1), ("O(a * b)", 7, "quadratic", 19.5, None),
+    ("O(n + m)", 5, "graph", 10, 1), ("O(n + k)", 5, "unknown", 10, 1), ("O(m)", 4, "linear", 10, 0), ("O(k)", 6, "linear", 10, 0), ("O(m^2)", 6, "unknown", 20, 0),
+    ("O(m^2 + e)", 5, "unknown", 0, 0), ("O(m log m)", 2, "log", 15, 0), ("O(n^1.58)", 6, "nlogn", 10, 1), ("O(n^0.5)", None, "sqrt", None, None), ("sqrt(n)", 3, "unknown", None, None),
+    ("Linear", 6, "unknown", None, None), ("constant", 6, "unknown", None, None), ("-", 6, "unknown", 0, 0), ("", 6, "unknown", 0, 0), (None, 6, "unknown", 0, 0),
+    ("O(cubic)", 6, "polyHigh", None, None), ("T(n) = 2T(n/2) + O(n)", 6, "nlogn", None, None), ("T(n) = T(n-1) + T(n-2) + O(1)", 8, "exponential", None, None),
+    ("T(n)=T(n/2)+O(1)", 2, "log", None, None), ("T(n) = n * T(n-1)", 9, "factorial", None, None), ("T(n) = T(n-1) + O(n)", 7, "quadratic", None, None),
+    ("T(n) = 2T(n/2) + O(1)", 4, "linear", None, None), ("n^2", 7, "unknown", None, None), ("O(n²)", 7, "quadratic", 20, 2), ("O(2ⁿ)", 8, "exponential", 100, 4), ("O(√n)", 3, "sqrt", 7, 0.7),
+    ("log n", 2, "unknown", None, None), ("n log n", 6, "unknown", None, None), ("n", 6, "unknown", None, None), ("O(3)", 6, "unknown", 0, 0), ("Dead Code", 6, "unknown", -1, None), ("Definition", 6, "unknown", 1, None),
+]
+
+
+def test_label_rules(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(RULES)], "i int, label string")
+    c = F.col("label")
+    for r in df.select("i", labels.weight(c, 6).alias("w"), labels.bucket(c).alias("b"), labels.rank(c).alias("r"), labels.space_rank(c).alias("s")).collect():
+        label, *want = RULES[r["i"]]
+        assert [w if w is None else g for g, w in zip((r["w"], r["b"], r["r"], r["s"]), want, strict=True)] == want, label
+
+
+def test_once_is_the_rule_itself(spark):
+    df = spark.createDataFrame([(r[0],) for r in RULES] * 2, "label string")
+    for most in (3, 100):  # a map that holds some of the labels, and one that holds all
+        found = labels.once(df, {"w": "label"}, lambda c: labels.weight(c, 6), most=most)
+        assert found.where(F.col("w").eqNullSafe(labels.weight(F.col("label"), 6))).count() == len(RULES) * 2
+
+
+def test_spelling_and_folding_of_null(spark):
+    none = F.lit(None).cast("string")
+    r = spark.range(1).select(labels.normalize(none).alias("n"), labels.fold(none).alias("f"), labels.matches(none, none).alias("m")).first()
+    assert (r["n"], r["f"], r["m"]) == ("-", None, True)
+
+
 def test_growth_limits(spark):
     got = {c: spark.range(1).select(labels.practical_limit(F.lit(c)).alias("n")).first()["n"] for c in labels.CLASSES}
     assert got["O(n)"] == 10_000_000 and got["O(n^2)"] == 3162 and got["O(2^n)"] == 23 and got["O(n!)"] == 10 and got["O(1)"] is None
