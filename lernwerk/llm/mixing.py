@@ -22,21 +22,22 @@ def source_targets(sources: DataFrame, share: float = SHARE, passes: int = PASSE
     """Targets of sources (columns source, source_size): shares by weight, none above ``passes`` times its size.
 
     The excess of sources at their limit goes to the others by weight until none is
-    above. With sources in order of limit over weight, the level at which this ends
+    above. With sources in order of limit over weight, then by name, the level at which this ends
     is the first that is no higher than its own source's ratio, so running sums
-    do. The windows run over one row a source.
+    do; where even the last is higher, all sources are at their limit. The windows run over one row a source.
     """
     by_name = Window.orderBy(F.asc_nulls_last("source"))
     s = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
     s = s.withColumn("limit", F.col("source_size") * F.lit(float(passes))).withColumn("ratio", F.col("limit") / F.col("weight"))
     everything = Window.partitionBy()
-    before = Window.orderBy("ratio", F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy("ratio", F.asc_nulls_last("source"))
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     level = (F.sum("source_size").over(everything) * F.lit(share) - spent) / left
-    s = s.withColumn("level", level)
-    s = s.withColumn("settled", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
-    return s.withColumn("target", F.least("limit", F.coalesce("settled", F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "target")
+    s = s.withColumn("level", level).withColumn("place", F.row_number().over(by_ratio))
+    s = s.withColumn("settled", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything)["level"])
+    return s.withColumn("target", F.coalesce(F.least("limit", F.col("settled") * F.col("weight")), "limit")).select("source", "source_size", "target")
 
 
 def plan_blocks(targets: DataFrame, share: float = SHARE, passes: int = PASSES, blocks: int = BLOCKS, least: int = LEAST_BLOCKS) -> DataFrame:
@@ -76,16 +77,17 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 
 def lay_out(docs: DataFrame) -> DataFrame:
-    """Give every row (id, source, size) its first word's place ``at`` in its source's shuffled words.
+    """Give every row (id, source, size, mix) its first word's place ``at`` in its source's shuffled words, and a number ``row``.
 
-    Rows are shuffled by a hash of the id. A group of rows is summed first, so that no
-    task orders a whole source.
+    Rows are shuffled by the hash ``mix``. A group of rows is summed first, so that no
+    task orders a whole source. Rows without words share a place; ``row`` tells rows of one place and id apart.
     """
-    rows = docs.withColumn("mix", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("group", F.substring("mix", 1, GROUP_DIGITS))
+    rows = docs.withColumn("group", F.substring("mix", 1, GROUP_DIGITS))
     before = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "group").agg(F.sum("size").alias("words")).select(F.col("source").alias("s"), F.col("group").alias("g"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "group").orderBy("mix", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    order = Window.partitionBy("source", "group").orderBy("mix", "id", "size")
+    within = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("row", F.row_number().over(order)).withColumn("within", F.coalesce(within, F.lit(0)))
     return placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).withColumn("at", F.col("start") + F.col("within")).drop("s", "g", "mix", "group", "start", "within")
 
 
@@ -93,19 +95,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """Mix the words of all documents to their sources' targets.
 
     Returns ``(rows, mix)``. ``rows`` has one row a document, with ``size``, ``source_size``, ``target``
-    and its place ``at``, and in the struct ``doc`` the ``columns`` asked for (id and source by default). ``mix`` has one
+    its place ``at`` and a number ``row`` that tells rows of one place and id apart, and in the struct ``doc`` the ``columns`` asked for (id and source by default). ``mix`` has one
     row for each run of a document's words in a slot: the columns of ``rows`` with
     ``slot``, ``pass``, ``start`` (in the document) and ``length``; documents that no slot takes, or without
     words, are there once with a null slot and length 0, so no row is lost.
 
     A document without words, or with a null text, has size 0 and is never taken.
-    A null source is a source of its own, the last in order. Rows with equal ids and
-    sizes are interchangeable. An empty table gives empty results. Reruns agree:
+    A null source is a source of its own, the last in order. The shuffle is by a hash of the id, of the text
+    where the id is null. Rows with equal ids and sizes are interchangeable, and each has its own row in the result. An empty table gives empty results. Reruns agree:
     order and schedule come from hashes and arithmetic alone.
     """
     chosen = columns or [id_col, source_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.struct(*chosen).alias("doc")))
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), text)).alias("mix"), F.struct(*chosen).alias("doc")))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     plan = cut(plan_blocks(targets))
     facts = plan.select(F.col("source").alias("s"), "source_size", "target", "block_size")
@@ -126,7 +128,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 def words_taken(mix: DataFrame) -> DataFrame:
     """Words that the mix takes of each document, repeats counted: one row a document."""
-    return mix.groupBy("id", "source", "size", "source_size", "target", "at").agg(F.sum("length").alias("taken"))
+    return mix.groupBy("id", "source", "size", "source_size", "target", "at", "row").agg(F.sum("length").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

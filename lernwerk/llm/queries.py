@@ -105,7 +105,7 @@ def _sql_mixing() -> str:
     m = mixing
     weights = ", ".join(map(str, m.WEIGHTS))
     return f"""
-    WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mix,
+    WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS mix,
                       CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
     s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
     s1 AS (SELECT *, CAST(list_extract([{weights}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(m.WEIGHTS)} + 1 AS BIGINT)) AS DOUBLE) AS weight FROM s0),
@@ -113,8 +113,8 @@ def _sql_mixing() -> str:
     s3 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * {m.SHARE}
                       - coalesce(sum(lim) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM s2),
-    s4 AS (SELECT *, (SELECT arg_min(level, ratio) FROM s3 WHERE level <= ratio) AS settled FROM s3),
-    s5 AS (SELECT source, source_size, least(lim, settled * weight) AS target FROM s4),
+    s4 AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS place FROM s3),
+    s5 AS (SELECT source, source_size, coalesce(least(lim, (SELECT arg_min(level, place) FROM s4 WHERE level <= ratio) * weight), lim) AS target FROM s4),
     s6 AS (SELECT *, greatest(1, least(CAST(ceil(sum(source_size) OVER () * CAST({m.SHARE} AS DOUBLE) / {m.BLOCKS}.0) AS BIGINT),
                                        CAST(ceil(source_size / {m.LEAST_BLOCKS}.0) AS BIGINT))) AS block_size FROM s5),
     s7 AS (SELECT *, CAST(ceil(source_size / CAST(block_size AS DOUBLE)) AS BIGINT) AS blocks, target / block_size AS need FROM s6),

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from lernwerk.llm import histogram, mixing, queries, sharding
 from lernwerk.llm.common import table
@@ -129,6 +130,34 @@ def test_schedule_is_even_at_every_length(spark):
         assert all(abs(part[s] - n * share[s] / len(order)) < 6 for s in share)
 
 
+@pytest.mark.parametrize("sizes", [{"a": 300, "b": 100}, {"a": 450, "b": 150, "c": 300}, {"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 900, None: 5}, {"a": 7}, {"a": 0, "b": 0}])
+def test_targets_where_sources_tie(spark, sizes):
+    table_ = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(table_).collect()}
+    assert got == pytest.approx(fill(sizes))
+    all_twice = {r["source"]: r["target"] for r in mixing.source_targets(table_, share=3.0).collect()}
+    assert all_twice == {s: 2 * n for s, n in sizes.items()}
+    if sizes == {"a": 300, "b": 100}:
+        assert got == {"a": 450, "b": 150}
+
+
+def test_ties_agree_with_sql(spark, tmp_path):
+    words = " ".join(["w"] * 10)
+    rows = [(i, words, "a") for i in range(30)] + [(100 + i, words, "b") for i in range(10)]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], SCHEMA)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(queries.op8_mixing(spark, str(tmp_path)), con, queries.oracle_sql()["op8_mixing"])
+
+
+def test_repeated_rows_each_have_a_row(spark):
+    rows = [(1, None, "a"), (1, None, "a"), (1, "", "a"), (2, "x y", "a"), (2, "x y", "a"), (None, "", None), (None, "", None)]
+    docs = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], SCHEMA)
+    out = mixing.words_taken(mixing.mix_sources(docs)[1]).collect()
+    assert len(out) == 7 and sorted((r["id"] or 0, r["size"]) for r in out) == [(0, 0), (0, 0), (1, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
+
+
 def test_mix_edges(spark):
     rows, mix = mixing.mix_sources(clashing(awkward(spark), ["size", "at", "target", "pass", "block", "mix"]))
     assert rows.count() == 16
