@@ -171,6 +171,46 @@ def test_extraction_leaves_the_rest(weights):
     assert extraction.extract(long, weights).count("\n") == 4999
 
 
+@pytest.mark.parametrize("around", ['main class="content has-sidebar"', 'article class="post no-comments"', 'div class="article-body ad-free"', "article"])
+def test_modifiers_leave_the_article(weights, around):
+    page = f"<body><nav><a href=/>Home</a></nav><div class='hero'><{around}><h1>Title here</h1><p>Some words, and more of them.</p></{around.split()[0]}></div><div class='comment-body'><p>I disagree, all of you.</p></div></body>"
+    assert extraction.extract(page, weights) == "Title here\nSome words, and more of them."
+
+
+def test_an_unclosed_control_ends_with_its_parent(weights):
+    assert extraction.extract("<div><button>Menu</div><article><p>Some words here.</p></article>", weights) == "Some words here."
+    assert extraction.extract("<article><select><option>one<p>two</select><p>Some words here.</p></article>", weights) == "Some words here."
+
+
+LONG_TEXT = "It was a long day, and the words went on and on until the evening came and all of them were said."
+#: A page without a named element: a row of links, and a story with a short line and a line of links in it.
+PLAIN = f"""<body><div><p><a href=/a>One</a></p><p><a href=/b>Two</a></p><p><a href=/c>Three</a></p></div>
+<div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p><p><a href=/d>a word</a></p><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></body>"""
+
+
+def test_the_cut_outvotes_blocks(weights):
+    """Text alone would drop the line of links; its neighbours keep it, and leave the row of links out."""
+    blocks = extraction.blocks_of(PLAIN)
+    gain = extraction.gains(blocks, weights)
+    kept = extraction.min_cut(gain, extraction.edges_of(blocks))
+    flipped = [b.text for b, g, k in zip(blocks, gain, kept, strict=True) if k != (g > 0)]
+    assert flipped == ["a word"]
+    assert extraction.extract(PLAIN, weights) == "\n".join([LONG_TEXT, LONG_TEXT, "a word", LONG_TEXT, LONG_TEXT])
+
+
+def test_the_cut_decides_where_names_disagree(weights):
+    """A teaser of links inside a side bar's article goes, a story inside one stays."""
+    card = "<aside><article><p><a href=/x>Read on</a></p></article></aside>"
+    assert extraction.extract(f"<article><p>{LONG_TEXT}</p></article>{card}<nav><a href=/>Home</a></nav>", weights) == LONG_TEXT
+
+
+def test_long_pages_are_cut(weights):
+    rows = "".join(f"<p>{LONG_TEXT}</p><p>{LONG_TEXT}</p><p><a href=/{i}>x</a></p>" for i in range(20_000))
+    assert extraction.extract(f"<div>{rows}</div>", weights).count("\n") == 59_999
+    deep = "<div class=content>" * 20_000 + LONG_TEXT
+    assert extraction.extract(deep, weights) == LONG_TEXT
+
+
 def test_min_cut_against_all_labellings():
     rng = np.random.default_rng(7)
     for _ in range(150):
