@@ -12,14 +12,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bound_batches, cut, partitions
 
 SEED = 42
 BYTES = 8
+NIBBLES = 2 * BYTES
 #: Runs of the index up to this size are compared by shifting the whole sorted index against itself; larger ones
-#: singly, in blocks, after a refinement by two more bytes where the distance allows.
+#: singly, in blocks, after refinements by two more half bytes where the distance allows.
 SHORT = 512
 BLOCK = 1024
 LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -49,44 +50,115 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
+#: A near copy shares 0.8 of its five-word shingles or more. The 512 bits of such texts differ in about 76 at 0.8 and in fewer above,
+#: with a deviation of 8; those of unlike texts differ in 256. The README has the recall and precision of the two distances.
+PRINT_WORDS, PRINT_LONGS, PRINT_BITS = 5, 8, 88
+WORD_BITS = 6
+PRINT_COLUMNS = ["fp", *[f"p{k}" for k in range(PRINT_LONGS)]]
+_STEP, _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of rows of longs: the bits set in over half of them."""
+    set_bits = np.zeros(hashes.shape[1] * 64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 14)])
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(hashes)).view(np.uint64)
+
+
+def word_and_shingle_print(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
+    """A 64-bit SimHash of the words and a wider one of their shingles, as longs; zeros without words.
+
+    Few edits leave the words' print nearly as it was, so it finds candidates; unlike texts of one
+    language may share it too, and the shingles' print tells them apart.
+    """
+    out = np.zeros(1 + PRINT_LONGS, np.uint64)
+    split = (text or "").encode().lower().split()
+    if not split:
+        return out
+    digest = xxhash.xxh64_digest
+    h = np.frombuffer(b"".join([digest(w, SEED) for w in split]), ">u8").astype(np.uint64)
+    k, n = min(words, len(h)), max(1, len(h) - words + 1)
+    out[0] = _majority(h[:, None])[0]
+    with np.errstate(over="ignore"):
+        s = np.zeros(n, np.uint64)
+        for j in range(k):
+            s = (s ^ (s >> np.uint64(29))) * _MIX + h[j : j + n]
+        wide = s[:, None] + _STEP * np.arange(1, PRINT_LONGS + 1, dtype=np.uint64)
+        wide = (wide ^ (wide >> np.uint64(30))) * _MIX
+        wide = (wide ^ (wide >> np.uint64(27))) * _MIX2
+    out[1:] = _majority(wide ^ (wide >> np.uint64(31)))
+    return out
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in PRINT_COLUMNS]))
+def _two_prints(texts: pd.Series) -> pd.DataFrame:
+    found = np.array([word_and_shingle_print(t) for t in texts], np.uint64).reshape(-1, 1 + PRINT_LONGS)
+    return pd.DataFrame(found.view(np.int64), columns=PRINT_COLUMNS)
+
+
 def shared_bytes(xor: np.ndarray) -> np.ndarray:
     """How many of the eight positional bytes two fingerprints share, from their exclusive or."""
     return np.bitwise_count(~((xor & LOW) + LOW | xor | LOW))
 
 
-def near(xor: np.ndarray, distance: int) -> np.ndarray:
-    """The count filter, then the verification: enough shared bytes, and few enough differing bits."""
-    out = shared_bytes(xor) >= BYTES - distance
-    out[out] = np.bitwise_count(xor[out]) <= distance
-    return out
+class Run:
+    """Fingerprints to compare, each with a wider print where one verifies the link as well."""
 
+    def __init__(self, values: np.ndarray, distance: int, prints: np.ndarray | None = None, bits: int = PRINT_BITS) -> None:
+        self.values, self.distance, self.prints, self.bits = values, distance, prints, bits
 
-def links(values: np.ndarray, distance: int, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions in ``values`` that join all values linked at ``distance`` bits or fewer.
+    def part(self, at: np.ndarray) -> Run:
+        return Run(self.values[at], self.distance, None if self.prints is None else self.prints[at], self.bits)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The count filter, then the verification: enough shared bytes, few enough differing bits, of the wide print too. ``a`` and ``b`` are positions and broadcast."""
+        xor = self.values[a] ^ self.values[b]
+        out = shared_bytes(xor) >= BYTES - self.distance
+        out[out] = np.bitwise_count(xor[out]) <= self.distance
+        if self.prints is not None and out.any():
+            x, y = (np.broadcast_to(i, out.shape)[out] for i in (a, b))
+            out[out] = sum(np.bitwise_count(self.prints[x, k] ^ self.prints[y, k]).astype(np.int16) for k in range(self.prints.shape[1])) <= self.bits
+        return out
+
+
+def _refinements(used: frozenset[int], distance: int) -> list[tuple[int, int]]:
+    """Pairs of unused half bytes of which two fingerprints within the distance share one at least; none where too few are sure to be shared.
+
+    Of the unused half bytes all but ``distance`` are shared, so with one group fewer than there are shared ones some group has two.
+    """
+    free = [p for p in range(NIBBLES) if p not in used]
+    groups = len(free) - distance - 1
+    return [c for g in range(groups) for c in combinations(free[g::groups], 2)]
+
+
+def links(run: Run, used: frozenset[int] = frozenset()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in a run that join all values linked.
 
     A spanning set: a component is searched from one value outwards, and one pair is given for
-    each value reached. Long runs are split by two more shared bytes, every choice of
-    them in turn, as long as the distance guarantees so many, so that no link is lost.
+    each value reached. Long runs are split by two more shared half bytes, every choice that is
+    needed in turn, as long as the distance guarantees so many, so that no link is lost.
     """
-    if len(values) > SHORT and len(used) + 2 <= BYTES - distance:
-        octets = values.view(np.uint8).reshape(-1, BYTES)
-        for a, b in combinations([p for p in range(BYTES) if p not in used], 2):
-            key = octets[:, a].astype(np.int64) << 8 | octets[:, b]
+    n = len(run.values)
+    if n > SHORT and (choices := _refinements(used, run.distance)):
+        octets = run.values.view(np.uint8).reshape(-1, BYTES)
+        for a, b in choices:
+            key = (octets[:, a // 2] >> np.uint8(4 * (a % 2)) & np.uint8(15)) << np.uint8(4) | (octets[:, b // 2] >> np.uint8(4 * (b % 2)) & np.uint8(15))
             order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order])) + 1
-            for run in np.split(order, cuts):
-                if len(run) > 1:
-                    for x, y in links(values[run], distance, (*used, a, b)):
-                        yield run[x], run[y]
+            for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                if len(at) > 1:
+                    for x, y in links(run.part(at), used | {a, b}):
+                        yield at[x], at[y]
         return
-    todo = np.arange(len(values))
+    todo = np.arange(n)
     while len(todo) > 1:
         frontier, todo = todo[:1], todo[1:]
         while len(frontier) and len(todo):
             now, frontier, left, reached = frontier[:BLOCK], frontier[BLOCK:], [], []
             for at in range(0, len(todo), BLOCK):
                 part = todo[at : at + BLOCK]
-                close = near(values[now][:, None] ^ values[part][None, :], distance)
+                close = run.near(now[:, None], part[None, :])
                 hit = close.any(0)
                 if hit.any():
                     yield now[close[:, hit].argmax(0)], part[hit]
@@ -96,16 +168,8 @@ def links(values: np.ndarray, distance: int, used: tuple[int, ...] = ()) -> Iter
             frontier = np.concatenate([frontier, *reached])
 
 
-def short_links(keys: np.ndarray, values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many short runs at once: values under equal sorted keys, compared at every shift."""
-    first, second = [], []
-    for shift in range(1, SHORT):
-        at = np.flatnonzero(keys[:-shift] == keys[shift:]) if shift < len(keys) else ()
-        if not len(at):
-            break
-        close = near(values[at] ^ values[at + shift], distance)
-        first += at[close].tolist()
-        second += (at[close] + shift).tolist()
+def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of many pairs of positions that join sets not joined before."""
     parent: dict[int, int] = {}
 
     def find(i: int) -> int:
@@ -114,13 +178,29 @@ def short_links(keys: np.ndarray, values: np.ndarray, distance: int) -> tuple[np
             i = p
         return i
 
-    keep = []
-    for n, (i, j) in enumerate(zip(first, second, strict=True)):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[b] = a
-            keep.append(n)
-    return np.array(first, np.int64)[keep], np.array(second, np.int64)[keep]
+    kept: list[tuple[int, int]] = []
+    for x, y in pairs:
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = find(i), find(j)
+            if a != b:
+                parent[b] = a
+                kept.append((i, j))
+    found = np.array(kept, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def short_links(keys: np.ndarray, run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many short runs at once: values under equal sorted keys, compared at every shift."""
+
+    def shifted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for shift in range(1, min(SHORT, len(keys))):
+            at = np.flatnonzero(keys[:-shift] == keys[shift:])
+            if not len(at):
+                return
+            close = run.near(at, at + shift)
+            yield at[close], at[close] + shift
+
+    return spanning(shifted())
 
 
 def _index_keys(distance: int = 3) -> list[tuple[int, ...]]:
@@ -135,11 +215,12 @@ def _index_keys(distance: int = 3) -> list[tuple[int, ...]]:
     return list(combinations(range(BYTES), 2))
 
 
-def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """``src``, ``dst``: pairs of the distinct long fingerprints ``fp`` that join all near ones.
+def near_edges(prints: DataFrame, distance: int = 3, bits: int = PRINT_BITS) -> DataFrame:
+    """``src``, ``dst``: pairs of ``node`` (``fp`` itself where there is none) that join all near fingerprints ``fp``.
 
     An index entry is a set of byte positions with its bytes. Runs of the sorted index are
-    compared inside their task, and only a spanning set of links leaves it.
+    compared inside their task, and only a spanning set of links leaves it. Where ``prints`` has wider
+    prints (``p0`` and so on), these must lie within ``bits`` too.
     """
     if distance > 6:
         raise ValueError("two fingerprints of more than 6 differing bits need not share two bytes")
@@ -147,35 +228,40 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     octet = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(BYTES)]
     keys = [reduce(lambda k, p: F.shiftleft(k, 8) + octet[p], c, F.lit(j).cast("long")) for j, c in enumerate(sets)]
     width = 8 * len(sets[0])
-    index = prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    carried = [c for c in ("fp", "node", *PRINT_COLUMNS[1:]) if c in prints.columns]
+    wide = [i for i, c in enumerate(carried) if c.startswith("p")]
+    index = prints.select(F.explode(F.array(*keys)).alias("key"), *carried)
+    halves = [frozenset(2 * p + h for p in c for h in (0, 1)) for c in sets]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_k, held = np.zeros(0, np.int64), np.zeros((0, len(carried)), np.int64)
 
-        def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["src", "dst"])
-
-        def settle(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def settle(k: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            run = Run(np.ascontiguousarray(rows[:, 0]).view(np.uint64), distance, rows[:, wide].view(np.uint64) if wide else None, bits)
+            nodes = rows[:, carried.index("node") if "node" in carried else 0]
             bounds = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
             sizes = np.diff(bounds)
+
+            def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["src", "dst"])
+
             for i in np.flatnonzero(sizes > SHORT):
-                run = v[bounds[i] : bounds[i + 1]]
-                for x, y in links(run.view(np.uint64), distance, sets[int(k[bounds[i]]) >> width]):
-                    yield pairs(run[x], run[y])
-            short = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
-            k, v = k[short], v[short]
-            x, y = short_links(k, v.view(np.uint64), distance)
-            yield pairs(v[x], v[y])
+                at = np.arange(bounds[i], bounds[i + 1])
+                x, y = spanning(links(run.part(at), halves[int(k[bounds[i]]) >> width]))
+                yield pairs(at[x], at[y])
+            at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+            x, y = short_links(k[at], run.part(at))
+            yield pairs(at[x], at[y])
 
         for batch in batches:
             held_k = np.concatenate((held_k, batch.column(0).to_numpy()))
-            held_v = np.concatenate((held_v, batch.column(1).to_numpy()))
+            held = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)))
             if len(held_k) and held_k[0] != held_k[-1]:
                 whole = int(np.searchsorted(held_k, held_k[-1]))  # the last run may go on
-                yield from settle(held_k[:whole], held_v[:whole])
-                held_k, held_v = held_k[whole:], held_v[whole:]
+                yield from settle(held_k[:whole], held[:whole])
+                held_k, held = held_k[whole:], held[whole:]
         if len(held_k):
-            yield from settle(held_k, held_v)
+            yield from settle(held_k, held)
 
     return index.repartition(partitions(prints), "key").sortWithinPartitions("key", "fp").mapInArrow(runs, "src long, dst long")
 
@@ -186,15 +272,17 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until nothing moves, which takes a
     number of rounds that grows with the logarithm of the longest chain. Every
     step is a grouped minimum (combined before its shuffle) and a join that adaptive
-    execution splits at a crowded node; lineage is cut after each round.
+    execution splits at a crowded node (the minima are dealt out anew, so that both sides are shuffled
+    for the join); lineage is cut after each round.
     """
+    n = partitions(edges)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         both = e.unionByName(back)
         around = both if large else both.where("dst < src")
         least = around.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("at"), F.least("m", "src").alias("m"))
-        moved = around.join(least, F.col("src") == F.col("at"))
+        moved = around.join(least.repartition(n), F.col("src") == F.col("at"))
         if large:
             out = moved.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         else:
@@ -215,6 +303,18 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
 
 
+def _component_ids(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """``component_id`` of each distinct fingerprint (columns ``keys`` of ``rows``, which has ``__id`` too)."""
+    prints = rows.groupBy(*keys).agg(F.min("__id").alias("first"))
+    prints = cut(prints.withColumn("node", F.xxhash64(*keys) if len(keys) > 1 else F.col(keys[0])))
+    linked = components(near_edges(prints.drop("first"), distance))
+    firsts = linked.join(prints.select("node", "first"), "node")
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    # the minima are dealt out anew: both sides are shuffled for the join, so that a root with very many nodes can be split
+    named = linked.join(least.repartition(partitions(rows)), "root").select("node", "component_id")
+    return prints.join(named, "node", "left").select(*keys, F.coalesce("component_id", "first").alias("component_id"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, columns: list[str] | None = None) -> DataFrame:
     """Add ``fingerprint`` (16 hex digits) and ``component_id`` to ``columns`` (all by default).
 
@@ -228,10 +328,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = bound_batches(docs).drop("fingerprint", "component_id")
     columns = [c for c in columns or docs.columns if c in docs.columns]
-    rows = cut(docs.select(*columns, _fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("__fp"), F.col(id_col).alias("__id")))
-    prints = cut(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("first")))
-    linked = components(near_edges(prints.select("fp"), distance))
-    joined = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return rows.join(named, "__fp").select(*columns, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    mine = [F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)]
+    rows = cut(docs.select(*mine, F.col(id_col).alias("__id"), _fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
+    named = _component_ids(rows, ["fp"], distance)
+    back = [F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]
+    return rows.join(named, "fp").select(*back, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = WORD_BITS) -> DataFrame:
+    """Add ``component_id``: the smallest id that links between near copies reach from a document, itself included.
+
+    Two texts are near copies if 0.8 or more of their five-word shingles are shared, as their SimHashes tell. The
+    inverted index holds 64-bit prints of the words and finds every pair within ``distance`` bits; the 512-bit prints of the
+    shingles verify it inside the index. Texts of fewer than five words are one shingle, so they link only if equal.
+    Equal prints are one node. Null and empty texts have prints of zeros and are copies of each other. Null
+    ids are passed over; a component of nothing but null ids has a null ``component_id``. Repeated rows are
+    copies. An input column named component_id is replaced. An empty table gives an empty result.
+    """
+    docs = bound_batches(docs).drop("component_id")
+    mine = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("__id"), _two_prints(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
+    rows = cut(mine.select("*", "p.*").drop("p"))
+    named = _component_ids(rows, PRINT_COLUMNS, distance)
+    return rows.join(named, PRINT_COLUMNS).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "component_id")

@@ -72,9 +72,9 @@ def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
         values.add(v)
     values = np.array(sorted(values), np.uint64)
     if short == 5000:
-        found = [simhash.short_links(np.zeros(len(values), np.int64), values, distance)]
+        found = [simhash.short_links(np.zeros(len(values), np.int64), simhash.Run(values, distance))]
     else:
-        found = list(simhash.links(values, distance, used))
+        found = [simhash.spanning(simhash.links(simhash.Run(values, distance), frozenset(2 * p + h for p in used for h in (0, 1))))]
     pairs = [(int(x), int(y)) for a, b in found for x, y in zip(a, b, strict=True)]
     assert all(int(values[a] ^ values[b]).bit_count() <= distance for a, b in pairs)
     parent = list(range(len(values)))
@@ -91,6 +91,97 @@ def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
     assert len({(find(i), want[i]) for i in range(len(values))}) == len(set(want))
 
 
+@pytest.mark.parametrize("distance", [3, 4, 5, 6])
+def test_every_close_pair_shares_a_refinement(distance):
+    rng = random.Random(3)
+    for used in (frozenset(), frozenset({0, 1, 2, 3}), frozenset({0, 1, 4, 5, 9, 12})):
+        choices = simhash._refinements(used, distance)
+        for _ in range(500 if choices else 0):
+            spoilt = set(rng.sample(sorted(set(range(simhash.NIBBLES)) - used), distance))
+            assert any(not spoilt & set(c) for c in choices)
+    assert simhash._refinements(frozenset(range(simhash.NIBBLES - distance - 1)), distance) == []
+
+
+def plain_near(texts):
+    """Union of all pairs whose two prints are close, in plain Python."""
+    prints = [simhash.word_and_shingle_print(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = np.bitwise_count(prints[i] ^ prints[j])
+            if bits[0] <= simhash.WORD_BITS and bits[1:].sum() <= simhash.PRINT_BITS:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [r["text"] for r in table(spark, SMALL, "documents").select("text").collect()]
+    for t in texts[:40]:  # edits of several sizes
+        words = (t or "").split()
+        for share in (0.005, 0.01, 0.03, 0.3):
+            texts.append(" ".join(w if rng.random() > share else "edited" for w in words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    roots = plain_near(texts)
+    least = {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    assert got == {i: least[r] for i, r in enumerate(roots)}
+
+
+def test_prints_tell_texts_apart():
+    a = " ".join(f"w{i}" for i in range(300))
+    for print_ in (simhash.word_and_shingle_print,):
+        assert (print_(a) == print_(a.upper().replace(" ", "\n"))).all() and not print_(None).any() and not print_(" ").any()
+        assert np.bitwise_count(print_("a b c") ^ print_("a b d"))[1:].sum() > 160
+        back = " ".join(reversed(a.split()))  # the same words in another order
+        bits = np.bitwise_count(print_(a) ^ print_(back))
+        assert bits[0] == 0 and bits[1:].sum() > 160
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of sf0.1 that share 0.8 of their five-word shingles, found by an inverted list of shingles, end in one component."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()
+    first = {}
+    for r in docs:
+        first.setdefault((r["text"] or "").lower(), r["doc_id"])
+    shingles, holders = {}, defaultdict(list)
+    for text, d in first.items():
+        words = text.encode().split()
+        shingles[d] = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set()
+        for s in shingles[d]:
+            holders[s].append(d)
+    common = defaultdict(int)
+    for ids in holders.values():
+        if len(ids) <= 200:  # passages that very many documents share are a small part of any
+            for i, a in enumerate(ids):
+                for b in ids[i + 1 :]:
+                    common[a, b] += 1
+    alike = {p: n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) for p, n in common.items()}
+    alike = {(a, b): len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for (a, b), j in alike.items() if j > 0.6}
+    wanted = [p for p, j in alike.items() if j >= 0.8]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")).collect()}
+    assert len(wanted) > 30 and np.mean([found[a] == found[b] for a, b in wanted]) >= 0.9
+    unlike = [a for a, c in found.items() if c != a and shingles.get(a) and shingles.get(c) and len(shingles[a] & shingles[c]) / len(shingles[a] | shingles[c]) < 0.5]
+    assert len(unlike) <= 0.002 * len(first)
+
+
+def test_near_copies_edges(spark):
+    a = awkward(spark)
+    out = simhash.near_copies(clashing(a, ["fp", "p0", "first", "node", "root", "component_id", "key", "p"]))
+    assert out.count() == a.count() and out.where("lang = 'en'").count() > 0
+    rows = {(r["doc_id"], r["text"]): r["component_id"] for r in out.collect()}
+    assert rows[1, ""] == rows[0, None] == rows[2, " "] == 0 and rows[4, "ONE"] == rows[3, "one"] == 3 and rows[None, "no id at all"] is None
+    assert simhash.near_copies(empty(spark)).count() == 0
+
+
 def test_shared_bytes():
     rng = random.Random(8)
     for _ in range(500):
