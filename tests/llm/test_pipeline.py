@@ -22,7 +22,7 @@ def test_stages_keep_columns_and_decide(spark):
     one = corpus_pipeline.exact_dedup(spark, docs, SMALL)
     lower = F.lower("text")
     assert one.count() == docs.select(lower).distinct().count()
-    near = simhash.simhash_components(one, distance=corpus_pipeline.NEAR_BITS)
+    near = simhash.near_copies(one)
     left = corpus_pipeline.near_dedup(spark, one, SMALL)
     assert left.count() == near.select("component_id").distinct().count()
     mixed = corpus_pipeline.mix(spark, left, SMALL)
