@@ -18,20 +18,34 @@ from .histogram import split_points
 BUCKET_BITS = 14
 #: Labelled documents of either class that fit the target model and the level, at most: those first by a hash of the id.
 FIT_ROWS = 20_000
-#: Log ratios are multiplied by this before noise is added; 1 is sampling by the models themselves, more is closer to a plain cut.
+#: Noise is divided by this before it is added; 1 is sampling by the models themselves, more is closer to a plain cut.
 SHARPNESS = 1.0
 SMOOTHING = 1.0
+#: Noisy log ratios are ordered as whole numbers: so many steps to a unit, counted down from a number above any.
+KEY_ZERO, KEY_STEPS = float(1 << 42), float(1 << 20)
 #: Texts are worked on in runs of so many code points.
 RUN_CHARS = 1 << 20
 _REPEAT, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _buckets(h: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Buckets of all hashed words, then of all pairs of a word and the one before it in its text."""
+    second = np.flatnonzero(follows)
+    pairs = (h[second - 1] * _PAIR + h[second]) * _REPEAT
+    top = np.uint64(64 - BUCKET_BITS)
+    return np.concatenate(((h * _REPEAT) >> top, (pairs ^ (pairs >> np.uint64(31))) * _PAIR >> top)).astype(np.int64)
+
+
+def _digests(forms: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s) for s in forms.to_pylist()] or [0], np.uint64)
+
+
 def ngram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed 1- and 2-grams of all texts, and the number of each text.
 
-    A word stands for its spelling class: runs of small letters, capitals and digits
-    become one letter each, other characters stay. A word that repeats the one
-    before it is told apart.
+    There are two families, each with buckets of its own: the words themselves (in small letters), and their
+    spelling classes, in which runs of small letters, capitals and digits become one letter each and other
+    characters stay; there, a word that repeats the one before it is told apart.
     """
     words = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
     flat = words.flatten()
@@ -39,23 +53,20 @@ def ngram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = pc.not_equal(flat, "")
     owner = np.repeat(np.arange(len(texts)), counts)[keep.to_numpy(zero_copy_only=False)]
     spelled = flat.filter(keep).dictionary_encode()
+    word = spelled.indices.to_numpy()
+    follows = np.zeros(len(word), bool)
+    follows[1:] = owner[1:] == owner[:-1]
     shape = spelled.dictionary
     for pattern, letter in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{Nd}+", "0")):
         shape = pc.replace_substring_regex(shape, pattern=pattern, replacement=letter)
     shape = shape.dictionary_encode()
-    digest = np.array([xxhash.xxh64_intdigest(s) for s in shape.dictionary.to_pylist()] or [0], np.uint64)
-    word = spelled.indices.to_numpy()
-    h = digest[shape.indices.to_numpy()[word]] if len(word) else np.zeros(0, np.uint64)
-    follows = np.zeros(len(h), bool)
-    follows[1:] = owner[1:] == owner[:-1]
+    h = _digests(shape.dictionary)[shape.indices.to_numpy()[word]] if len(word) else np.zeros(0, np.uint64)
     repeats = follows.copy()
     repeats[1:] &= word[1:] == word[:-1]
-    h = np.where(repeats, h ^ _REPEAT, h)
-    second = np.flatnonzero(follows)
-    pairs = (h[second - 1] * _PAIR + h[second]) * _REPEAT
-    top = np.uint64(64 - BUCKET_BITS)
-    buckets = np.concatenate(((h * _REPEAT) >> top, (pairs ^ (pairs >> np.uint64(31))) * _PAIR >> top)).astype(np.int64)
-    return buckets, np.concatenate((owner, owner[second]))
+    plain = _digests(pc.utf8_lower(spelled.dictionary))[word] if len(word) else np.zeros(0, np.uint64)
+    shapes = _buckets(np.where(repeats, h ^ _REPEAT, h), follows)
+    owners = np.concatenate((owner, owner[follows]))
+    return np.concatenate((shapes, _buckets(plain, follows) + (1 << BUCKET_BITS))), np.concatenate((owners, owners))
 
 
 def _runs(*columns: list) -> Iterator[tuple[list, ...]]:
@@ -69,12 +80,12 @@ def _runs(*columns: list) -> Iterator[tuple[list, ...]]:
 
 
 def fit_ratio(texts: DataFrame) -> np.ndarray:
-    """Log ratio of each bucket's share in target texts over its share in all texts (columns text, target).
+    """Log ratio of each bucket's share in target texts over its share in all texts (columns text, target), within its family.
 
     Every document is counted. Counts are summed in the tasks first, then by bucket;
     the driver receives one row a bucket.
     """
-    n = 1 << BUCKET_BITS
+    n = 2 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -93,7 +104,8 @@ def fit_ratio(texts: DataFrame) -> np.ndarray:
         target[b] += t
     if target.sum() == SMOOTHING * n:
         return np.zeros(n)  # no target texts: nothing tells them from the rest
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    target, raw = (x.reshape(2, -1) / x.reshape(2, -1).sum(1, keepdims=True) for x in (target, raw))
+    return (np.log(target) - np.log(raw)).ravel()
 
 
 def log_ratio(text: Column, ratio: np.ndarray) -> Column:
@@ -132,7 +144,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     the level that best parts the labelled classes. Gumbel noise, drawn from a
     hash of the id, makes the top k a sample without replacement; with a high
     ``sharpness`` it decides only between documents about as likely. The k-th key is found by
-    counting, without a sort.
+    counting, without a sort; keys are told apart to a millionth, and equal ones are ordered by id.
 
     A null or empty text has log ratio 0. Without labels of both classes all
     documents stay. Null ids share one noise. Rows of equal key and id stay or go together. Input
@@ -147,11 +159,12 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = cut(labelled.select("__id", F.col("__good").alias("good"), log_ratio(F.col("text"), ratio).alias("ratio")))
     known = scored.where("good is not null").select("ratio", "good").collect()
     level = _level([r[0] for r in known], [r[1] for r in known])
-    limit = 1e6
     u = (F.shiftrightunsigned(F.xxhash64(F.coalesce("__id", F.lit(0)), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    noisy = F.lit(sharpness) * F.col("ratio") - F.log(-F.log(u))
-    # highest first: the order of split_points is ascending
-    keyed = scored.withColumn("key", ((F.lit(limit) - F.greatest(F.lit(-limit), F.least(F.lit(limit), noisy))) * F.lit(float(1 << 41))).cast("long"))
+    noisy = F.col("ratio") - F.log(-F.log(u)) / F.lit(sharpness)
+    # highest first: the order of split_points is ascending. A text has fewer than 2^32 n-grams, each with a log ratio under 2^6,
+    # so all keys fit
+    key = ((F.lit(KEY_ZERO) - noisy) * F.lit(KEY_STEPS)).cast("long")
+    keyed = scored.withColumn("key", key)
     keyed = keyed.withColumn("tie", F.coalesce("__id", F.lit(0)).cast("long")).withColumn("one", F.lit(1).cast("long"))
     k = keyed.where(F.col("ratio") >= level).count()
     last = split_points(keyed, [k - 1], weight="one") if k else []
@@ -159,5 +172,5 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # a row's key comes from its own text and id, so the documents are marked where they are, without a join
     ratio_col = log_ratio(F.coalesce(F.col(text_col), F.lit("")), ratio)
     marked = d.withColumn("log_ratio", ratio_col).withColumn("__id", F.col(id_col)).withColumn("ratio", F.col("log_ratio"))
-    marked = marked.withColumn("key", ((F.lit(limit) - F.greatest(F.lit(-limit), F.least(F.lit(limit), noisy))) * F.lit(float(1 << 41))).cast("long"))
+    marked = marked.withColumn("key", key)
     return marked.withColumn("tie", F.coalesce("__id", F.lit(0)).cast("long")).withColumn("kept", pick).select(*d.columns, "log_ratio", "kept")

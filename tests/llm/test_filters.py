@@ -39,12 +39,23 @@ def test_urls_against_sql_and_plain(spark):
 
 
 def test_digest_array_confirms_strings(tmp_path, monkeypatch):
-    entries = [(f"h{i}.example", f"/p{j}") for i, j in product(range(30), range(3))]
+    rules = [("block" if i % 2 else "allow", f"h{i}.example", f"/p{j}") for i, j in product(range(30), range(3))]
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b: len(b) % 3)  # every digest is shared
-    a = urls.DigestArray(urls.DigestArray.write(entries, str(tmp_path / "list")))
+    a = urls.DigestArray(urls.DigestArray.write(rules, str(tmp_path / "list")))
     assert isinstance(a.digests, np.memmap)
-    assert a.find([h + p for h, p in entries]).all() and not a.find(["h0.example/p3", "zz", ""]).any()
-    assert a.longest(["sub.h1.example", "xh1.example", "h1.example"], ["/p0/x", "/p0", "/q"]) == ["h1.example/p0", None, None]
+    assert (a.find([h + p for _, h, p in rules]) >= 0).all() and (a.find(["h0.example/p3", "zz", ""]) < 0).all()
+    assert a.longest(["sub.h1.example", "xh1.example", "h1.example", "h2.example"], ["/p0/x", "/p0", "/q", "/p1"]) == (["h1.example/p0", None, None, "h2.example/p1"], ["block", None, None, "allow"])
+    none = urls.DigestArray(urls.DigestArray.write([], str(tmp_path / "none")))
+    assert none.longest(["h1.example"], ["/p0"]) == ([None], [None]) and none.find(["x"]).tolist() == [-1]
+
+
+def test_long_lists_of_rules(spark):
+    """Verdicts lie in the array, so the plan does not grow with the list."""
+    rules = [("block" if i % 3 else "allow", f"h{i}.example", "/") for i in range(20_000)]
+    df = spark.range(50).select(F.format_string("http://a.h%d.example/x", F.col("id") * 401).alias("url"), (F.col("id") * 401).alias("i"))
+    out = urls.judge_urls(df, rules)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    assert all(r["verdict"] == ("allow" if r["i"] >= 20_000 or r["i"] % 3 == 0 else "block") for r in out.collect())
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
@@ -59,11 +70,14 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
 def test_log_ratio_against_plain_counts():
     texts = ["One one two.", "", None, "A B 12", "word%%% word%%%"]
     buckets, owner = quality.ngram_buckets(texts)
-    assert [int((owner == i).sum()) for i in range(5)] == [5, 0, 0, 5, 3]
-    same_shape, o = quality.ngram_buckets(["Abc def", "Xyz qrs"])
-    assert same_shape[o == 0].tolist() == same_shape[o == 1].tolist()
-    again, o = quality.ngram_buckets(["abc abc", "abc def"])
-    assert again[o == 0].tolist() != again[o == 1].tolist()  # a repeat is told apart
+    assert [int((owner == i).sum()) for i in range(5)] == [10, 0, 0, 10, 6]
+    n = 1 << quality.BUCKET_BITS
+    of = lambda b, o, i, words: sorted(b[(o == i) & ((b >= n) == words)].tolist())
+    b, o = quality.ngram_buckets(["Abc def", "Xyz qrs", "abc DEF"])
+    assert of(b, o, 0, False) == of(b, o, 1, False) != of(b, o, 2, False)  # spelling classes
+    assert of(b, o, 0, True) == of(b, o, 2, True) != of(b, o, 1, True)  # words
+    b, o = quality.ngram_buckets(["abc abc", "abc def"])
+    assert of(b, o, 0, False) != of(b, o, 1, False)  # a repeat is told apart
     whole = np.concatenate([quality.ngram_buckets([t])[0] for t in texts])
     assert sorted(whole.tolist()) == sorted(buckets.tolist())
 
@@ -77,6 +91,15 @@ def test_quality_edges(spark):
     assert quality.resample(empty(spark), labels).count() == 0
 
 
+def test_very_long_texts_are_ordered_by_their_keys(spark, monkeypatch):
+    """Log ratios far beyond a million still part documents by their own keys."""
+    monkeypatch.setattr(quality, "log_ratio", lambda text, ratio: F.length(text).cast("double") * 1e7)
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 41)], "doc_id long, text string")
+    labels = spark.createDataFrame([(10, 0), (30, 1)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.resample(docs, labels).where("kept").collect()}
+    assert kept == set(range(20, 41))
+
+
 def test_top_k_is_the_top(spark):
     docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
     out = quality.resample(docs, labels, sharpness=1e3).collect()
