@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -18,9 +18,8 @@ from .common import bound_batches, cut, partitions
 
 SEED = 42
 BYTES = 8
-NIBBLES = 2 * BYTES
 #: Runs of the index up to this size are compared by shifting the whole sorted index against itself; larger ones
-#: singly, in blocks, after refinements by two more half bytes where the distance allows.
+#: singly, in blocks, after a refinement by two more bytes where the distance allows.
 SHORT = 512
 BLOCK = 1024
 LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
@@ -51,10 +50,11 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 #: A near copy shares 0.8 of its five-word shingles or more. The 512 bits of such texts differ in about 76 at 0.8 and in fewer above,
-#: with a deviation of 8; those of unlike texts differ in 256. The README has the recall and precision of the two distances.
-PRINT_WORDS, PRINT_LONGS, PRINT_BITS = 5, 8, 88
-WORD_BITS = 6
-PRINT_COLUMNS = ["fp", *[f"p{k}" for k in range(PRINT_LONGS)]]
+#: with a deviation of 8; those of unlike texts differ in 256. The README has the recall and precision.
+PRINT_WORDS, PRINT_LONGS, PRINT_BITS = 5, 8, 90
+#: Of each long, the bits at which two bytes side by side begin that are indexed.
+PAIRS_AT = (0, 16, 32, 48, 8)
+PRINT_COLUMNS = [f"p{k}" for k in range(PRINT_LONGS)]
 _STEP, _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,20 +67,14 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * set_bits > len(hashes)).view(np.uint64)
 
 
-def word_and_shingle_print(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
-    """A 64-bit SimHash of the words and a wider one of their shingles, as longs; zeros without words.
-
-    Few edits leave the words' print nearly as it was, so it finds candidates; unlike texts of one
-    language may share it too, and the shingles' print tells them apart.
-    """
-    out = np.zeros(1 + PRINT_LONGS, np.uint64)
+def wide_print(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
+    """512-bit SimHash of a text's word shingles, as longs (ASCII case and white space apart); zeros without words."""
     split = (text or "").encode().lower().split()
     if not split:
-        return out
+        return np.zeros(PRINT_LONGS, np.uint64)
     digest = xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(w, SEED) for w in split]), ">u8").astype(np.uint64)
     k, n = min(words, len(h)), max(1, len(h) - words + 1)
-    out[0] = _majority(h[:, None])[0]
     with np.errstate(over="ignore"):
         s = np.zeros(n, np.uint64)
         for j in range(k):
@@ -88,13 +82,12 @@ def word_and_shingle_print(text: str | None, words: int = PRINT_WORDS) -> np.nda
         wide = s[:, None] + _STEP * np.arange(1, PRINT_LONGS + 1, dtype=np.uint64)
         wide = (wide ^ (wide >> np.uint64(30))) * _MIX
         wide = (wide ^ (wide >> np.uint64(27))) * _MIX2
-    out[1:] = _majority(wide ^ (wide >> np.uint64(31)))
-    return out
+    return _majority(wide ^ (wide >> np.uint64(31)))
 
 
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in PRINT_COLUMNS]))
-def _two_prints(texts: pd.Series) -> pd.DataFrame:
-    found = np.array([word_and_shingle_print(t) for t in texts], np.uint64).reshape(-1, 1 + PRINT_LONGS)
+def _wide_prints(texts: pd.Series) -> pd.DataFrame:
+    found = np.array([wide_print(t) for t in texts], np.uint64).reshape(-1, PRINT_LONGS)
     return pd.DataFrame(found.view(np.int64), columns=PRINT_COLUMNS)
 
 
@@ -104,53 +97,69 @@ def shared_bytes(xor: np.ndarray) -> np.ndarray:
 
 
 class Run:
-    """Fingerprints to compare, each with a wider print where one verifies the link as well."""
+    """64-bit fingerprints to compare."""
 
-    def __init__(self, values: np.ndarray, distance: int, prints: np.ndarray | None = None, bits: int = PRINT_BITS) -> None:
-        self.values, self.distance, self.prints, self.bits = values, distance, prints, bits
+    def __init__(self, values: np.ndarray, distance: int) -> None:
+        self.values, self.distance = values, distance
 
     def part(self, at: np.ndarray) -> Run:
-        return Run(self.values[at], self.distance, None if self.prints is None else self.prints[at], self.bits)
+        return Run(self.values[at], self.distance)
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The count filter, then the verification: enough shared bytes, few enough differing bits, of the wide print too. ``a`` and ``b`` are positions and broadcast."""
+        """The count filter, then the verification: enough shared bytes, and few enough differing bits. ``a`` and ``b`` are positions and broadcast."""
         xor = self.values[a] ^ self.values[b]
         out = shared_bytes(xor) >= BYTES - self.distance
         out[out] = np.bitwise_count(xor[out]) <= self.distance
-        if self.prints is not None and out.any():
-            x, y = (np.broadcast_to(i, out.shape)[out] for i in (a, b))
-            out[out] = sum(np.bitwise_count(self.prints[x, k] ^ self.prints[y, k]).astype(np.int16) for k in range(self.prints.shape[1])) <= self.bits
         return out
 
+    def refined(self, used: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+        """Smaller runs that hold every link between them, by each choice of two more bytes, if so many are sure to be shared."""
+        if len(used) + 2 > BYTES - self.distance:
+            return
+        octets = self.values.view(np.uint8).reshape(-1, BYTES)
+        for a, b in combinations([p for p in range(BYTES) if p not in used], 2):
+            key = octets[:, a].astype(np.int64) << 8 | octets[:, b]
+            order = np.argsort(key, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                yield (*used, a, b), at
 
-def _refinements(used: frozenset[int], distance: int) -> list[tuple[int, int]]:
-    """Pairs of unused half bytes of which two fingerprints within the distance share one at least; none where too few are sure to be shared.
 
-    Of the unused half bytes all but ``distance`` are shared, so with one group fewer than there are shared ones some group has two.
-    """
-    free = [p for p in range(NIBBLES) if p not in used]
-    groups = len(free) - distance - 1
-    return [c for g in range(groups) for c in combinations(free[g::groups], 2)]
+class WideRun(Run):
+    """Wide prints to compare, a row of longs each."""
+
+    def part(self, at: np.ndarray) -> WideRun:
+        return WideRun(self.values[at], self.distance)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Few enough differing bits, counted over one half first: unlike prints differ in more there already."""
+        half = self.values.shape[1] // 2
+        bits = sum(np.bitwise_count(self.values[a, k] ^ self.values[b, k]).astype(np.int16) for k in range(half))
+        out = bits <= self.distance
+        if out.any():
+            x, y = (np.broadcast_to(i, out.shape)[out] for i in (a, b))
+            out[out] = bits[out] + np.bitwise_count(self.values[x, half:] ^ self.values[y, half:]).sum(1) <= self.distance
+        return out
 
+    def refined(self, used: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+        return iter(())
 
-def links(run: Run, used: frozenset[int] = frozenset()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def links(run: Run, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions in a run that join all values linked.
 
     A spanning set: a component is searched from one value outwards, and one pair is given for
-    each value reached. Long runs are split by two more shared half bytes, every choice that is
-    needed in turn, as long as the distance guarantees so many, so that no link is lost.
+    each value reached. Long runs are refined first, where no link is lost by it.
     """
     n = len(run.values)
-    if n > SHORT and (choices := _refinements(used, run.distance)):
-        octets = run.values.view(np.uint8).reshape(-1, BYTES)
-        for a, b in choices:
-            key = (octets[:, a // 2] >> np.uint8(4 * (a % 2)) & np.uint8(15)) << np.uint8(4) | (octets[:, b // 2] >> np.uint8(4 * (b % 2)) & np.uint8(15))
-            order = np.argsort(key, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                if len(at) > 1:
-                    for x, y in links(run.part(at), used | {a, b}):
-                        yield at[x], at[y]
-        return
+    if n > SHORT:
+        split = False
+        for more, at in run.refined(used):
+            split = True
+            if len(at) > 1:
+                for x, y in links(run.part(at), more):
+                    yield at[x], at[y]
+        if split:
+            return
     todo = np.arange(n)
     while len(todo) > 1:
         frontier, todo = todo[:1], todo[1:]
@@ -215,30 +224,17 @@ def _index_keys(distance: int = 3) -> list[tuple[int, ...]]:
     return list(combinations(range(BYTES), 2))
 
 
-def near_edges(prints: DataFrame, distance: int = 3, bits: int = PRINT_BITS) -> DataFrame:
-    """``src``, ``dst``: pairs of ``node`` (``fp`` itself where there is none) that join all near fingerprints ``fp``.
+def _linked_runs(index: DataFrame, run_of: Callable[[np.ndarray], Run], used_of: Callable[[int], tuple[int, ...]] = lambda key: ()) -> DataFrame:
+    """``src``, ``dst``: pairs of nodes that join all that are linked in a run of the index (columns key, node, then those of ``run_of``).
 
-    An index entry is a set of byte positions with its bytes. Runs of the sorted index are
-    compared inside their task, and only a spanning set of links leaves it. Where ``prints`` has wider
-    prints (``p0`` and so on), these must lie within ``bits`` too.
+    The index is dealt out and sorted by its key. Runs are compared inside their task, and only a spanning set of links leaves it.
     """
-    if distance > 6:
-        raise ValueError("two fingerprints of more than 6 differing bits need not share two bytes")
-    sets = _index_keys(distance)
-    octet = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(BYTES)]
-    keys = [reduce(lambda k, p: F.shiftleft(k, 8) + octet[p], c, F.lit(j).cast("long")) for j, c in enumerate(sets)]
-    width = 8 * len(sets[0])
-    carried = [c for c in ("fp", "node", *PRINT_COLUMNS[1:]) if c in prints.columns]
-    wide = [i for i, c in enumerate(carried) if c.startswith("p")]
-    index = prints.select(F.explode(F.array(*keys)).alias("key"), *carried)
-    halves = [frozenset(2 * p + h for p in c for h in (0, 1)) for c in sets]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held = np.zeros(0, np.int64), np.zeros((0, len(carried)), np.int64)
+        held = np.zeros((0, len(index_columns)), np.int64)
 
-        def settle(k: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            run = Run(np.ascontiguousarray(rows[:, 0]).view(np.uint64), distance, rows[:, wide].view(np.uint64) if wide else None, bits)
-            nodes = rows[:, carried.index("node") if "node" in carried else 0]
+        def settle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            k, nodes, run = rows[:, 0], rows[:, 1], run_of(np.ascontiguousarray(rows[:, 2:]).view(np.uint64))
             bounds = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
             sizes = np.diff(bounds)
 
@@ -247,23 +243,49 @@ def near_edges(prints: DataFrame, distance: int = 3, bits: int = PRINT_BITS) ->
 
             for i in np.flatnonzero(sizes > SHORT):
                 at = np.arange(bounds[i], bounds[i + 1])
-                x, y = spanning(links(run.part(at), halves[int(k[bounds[i]]) >> width]))
+                x, y = spanning(links(run.part(at), used_of(int(k[bounds[i]]))))
                 yield pairs(at[x], at[y])
             at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
             x, y = short_links(k[at], run.part(at))
             yield pairs(at[x], at[y])
 
         for batch in batches:
-            held_k = np.concatenate((held_k, batch.column(0).to_numpy()))
-            held = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)))
-            if len(held_k) and held_k[0] != held_k[-1]:
-                whole = int(np.searchsorted(held_k, held_k[-1]))  # the last run may go on
-                yield from settle(held_k[:whole], held[:whole])
-                held_k, held = held_k[whole:], held[whole:]
-        if len(held_k):
-            yield from settle(held_k, held)
+            held = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
+            if len(held) and held[0, 0] != held[-1, 0]:
+                whole = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last run may go on
+                yield from settle(held[:whole])
+                held = held[whole:]
+        if len(held):
+            yield from settle(held)
+
+    index_columns = index.columns
+    return index.repartition(partitions(index), "key").sortWithinPartitions("key", "node").mapInArrow(runs, "src long, dst long")
+
 
-    return index.repartition(partitions(prints), "key").sortWithinPartitions("key", "fp").mapInArrow(runs, "src long, dst long")
+def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """``src``, ``dst``: pairs of the distinct long fingerprints ``fp`` that join all near ones.
+
+    An index entry is a set of byte positions with its bytes.
+    """
+    if distance > 6:
+        raise ValueError("two fingerprints of more than 6 differing bits need not share two bytes")
+    sets = _index_keys(distance)
+    octet = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(BYTES)]
+    keys = [reduce(lambda k, p: F.shiftleft(k, 8) + octet[p], c, F.lit(j).cast("long")) for j, c in enumerate(sets)]
+    width = 8 * len(sets[0])
+    index = prints.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "fp")
+    return _linked_runs(index, lambda v: Run(v.ravel(), distance), lambda key: sets[key >> width])
+
+
+def wide_edges(prints: DataFrame, bits: int = PRINT_BITS) -> DataFrame:
+    """``src``, ``dst``: pairs of ``node`` that join prints (``p0`` and so on) within ``bits`` that share two bytes side by side.
+
+    An index entry is the place of one of 40 pairs of bytes with its bytes. At a similarity of 0.8 a pair is shared once in 14
+    times, and so some pair nineteen times in twenty; more alike texts share more. Unlike texts share one of 65,536.
+    """
+    pair = [F.shiftrightunsigned(c, at).bitwiseAND(0xFFFF) for c in PRINT_COLUMNS for at in PAIRS_AT]
+    keys = [F.lit(j << 16).cast("long") + p for j, p in enumerate(pair)]
+    return _linked_runs(prints.select(F.explode(F.array(*keys)).alias("key"), "node", *PRINT_COLUMNS), lambda v: WideRun(v, bits))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,11 +325,11 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
 
 
-def _component_ids(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
+def _component_ids(rows: DataFrame, keys: list[str], edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``component_id`` of each distinct fingerprint (columns ``keys`` of ``rows``, which has ``__id`` too)."""
     prints = rows.groupBy(*keys).agg(F.min("__id").alias("first"))
     prints = cut(prints.withColumn("node", F.xxhash64(*keys) if len(keys) > 1 else F.col(keys[0])))
-    linked = components(near_edges(prints.drop("first"), distance))
+    linked = components(edges_of(prints))
     firsts = linked.join(prints.select("node", "first"), "node")
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     # the minima are dealt out anew: both sides are shuffled for the join, so that a root with very many nodes can be split
@@ -330,23 +352,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns = [c for c in columns or docs.columns if c in docs.columns]
     mine = [F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)]
     rows = cut(docs.select(*mine, F.col(id_col).alias("__id"), _fingerprints(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
-    named = _component_ids(rows, ["fp"], distance)
+    named = _component_ids(rows, ["fp"], lambda prints: near_edges(prints, distance))
     back = [F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]
     return rows.join(named, "fp").select(*back, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = WORD_BITS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = PRINT_BITS) -> DataFrame:
     """Add ``component_id``: the smallest id that links between near copies reach from a document, itself included.
 
-    Two texts are near copies if 0.8 or more of their five-word shingles are shared, as their SimHashes tell. The
-    inverted index holds 64-bit prints of the words and finds every pair within ``distance`` bits; the 512-bit prints of the
-    shingles verify it inside the index. Texts of fewer than five words are one shingle, so they link only if equal.
-    Equal prints are one node. Null and empty texts have prints of zeros and are copies of each other. Null
-    ids are passed over; a component of nothing but null ids has a null ``component_id``. Repeated rows are
-    copies. An input column named component_id is replaced. An empty table gives an empty result.
+    Two texts are near copies if 0.8 or more of their five-word shingles are shared, as their 512-bit SimHashes tell: the
+    inverted index of byte positions finds candidates, and those within ``bits`` are linked. Texts of fewer than
+    five words are one shingle, so they link only if equal. Equal prints are one node. Null and empty texts have
+    prints of zeros and are copies of each other. Null ids are passed over; a component of nothing but
+    null ids has a null ``component_id``. Repeated rows are copies. An input column named component_id is
+    replaced. An empty table gives an empty result.
     """
     docs = bound_batches(docs).drop("component_id")
-    mine = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("__id"), _two_prints(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
+    mine = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("__id"), _wide_prints(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
     rows = cut(mine.select("*", "p.*").drop("p"))
-    named = _component_ids(rows, PRINT_COLUMNS, distance)
+    named = _component_ids(rows, PRINT_COLUMNS, lambda prints: wide_edges(prints, bits))
     return rows.join(named, PRINT_COLUMNS).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "component_id")

@@ -74,7 +74,7 @@ def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
     if short == 5000:
         found = [simhash.short_links(np.zeros(len(values), np.int64), simhash.Run(values, distance))]
     else:
-        found = [simhash.spanning(simhash.links(simhash.Run(values, distance), frozenset(2 * p + h for p in used for h in (0, 1))))]
+        found = [simhash.spanning(simhash.links(simhash.Run(values, distance), used))]
     pairs = [(int(x), int(y)) for a, b in found for x, y in zip(a, b, strict=True)]
     assert all(int(values[a] ^ values[b]).bit_count() <= distance for a, b in pairs)
     parent = list(range(len(values)))
@@ -91,20 +91,10 @@ def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
     assert len({(find(i), want[i]) for i in range(len(values))}) == len(set(want))
 
 
-@pytest.mark.parametrize("distance", [3, 4, 5, 6])
-def test_every_close_pair_shares_a_refinement(distance):
-    rng = random.Random(3)
-    for used in (frozenset(), frozenset({0, 1, 2, 3}), frozenset({0, 1, 4, 5, 9, 12})):
-        choices = simhash._refinements(used, distance)
-        for _ in range(500 if choices else 0):
-            spoilt = set(rng.sample(sorted(set(range(simhash.NIBBLES)) - used), distance))
-            assert any(not spoilt & set(c) for c in choices)
-    assert simhash._refinements(frozenset(range(simhash.NIBBLES - distance - 1)), distance) == []
-
-
 def plain_near(texts):
-    """Union of all pairs whose two prints are close, in plain Python."""
-    prints = [simhash.word_and_shingle_print(t) for t in texts]
+    """Union of all pairs whose prints are close and share two bytes side by side, in plain Python."""
+    prints = np.array([simhash.wide_print(t) for t in texts])
+    pairs = np.concatenate([prints >> np.uint64(at) & np.uint64(0xFFFF) for at in simhash.PAIRS_AT], axis=1)
     parent = list(range(len(texts)))
 
     def find(i):
@@ -113,10 +103,9 @@ def plain_near(texts):
         return i
 
     for i in range(len(texts)):
-        for j in range(i):
-            bits = np.bitwise_count(prints[i] ^ prints[j])
-            if bits[0] <= simhash.WORD_BITS and bits[1:].sum() <= simhash.PRINT_BITS:
-                parent[find(i)] = find(j)
+        bits = np.bitwise_count(prints[:i] ^ prints[i]).sum(1)
+        for j in np.flatnonzero((bits <= simhash.PRINT_BITS) & (pairs[:i] == pairs[i]).any(1)).tolist():
+            parent[find(i)] = find(j)
     return [find(i) for i in range(len(texts))]
 
 
@@ -138,12 +127,23 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
 
 def test_prints_tell_texts_apart():
     a = " ".join(f"w{i}" for i in range(300))
-    for print_ in (simhash.word_and_shingle_print,):
-        assert (print_(a) == print_(a.upper().replace(" ", "\n"))).all() and not print_(None).any() and not print_(" ").any()
-        assert np.bitwise_count(print_("a b c") ^ print_("a b d"))[1:].sum() > 160
-        back = " ".join(reversed(a.split()))  # the same words in another order
-        bits = np.bitwise_count(print_(a) ^ print_(back))
-        assert bits[0] == 0 and bits[1:].sum() > 160
+    wide = simhash.wide_print
+    assert (wide(a) == wide(a.upper().replace(" ", "\n"))).all() and not wide(None).any() and not wide(" ").any()
+    assert np.bitwise_count(wide("a b c") ^ wide("a b d")).sum() > 160
+    assert np.bitwise_count(wide(a) ^ wide(" ".join(reversed(a.split())))).sum() > 160
+
+
+@pytest.mark.parametrize("short", [4, 512])
+def test_wide_links_lose_nothing(monkeypatch, short):
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (3, 8)).astype(np.uint64)
+    values = np.concatenate([base[i % 3][None] ^ (np.uint64(1) << rng.integers(0, 64, (1, 8)).astype(np.uint64)) ** np.uint64(1) for i in range(90)])
+    values = np.concatenate([values, rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64)])
+    run = simhash.WideRun(values, simhash.PRINT_BITS)
+    pairs = [simhash.spanning(simhash.links(run)), simhash.short_links(np.zeros(len(values), np.int64), run)][short == 512 :]
+    for x, y in pairs[:1]:
+        assert len(x) == 87 and (np.bitwise_count(values[x] ^ values[y]).sum(1) <= simhash.PRINT_BITS).all()
 
 
 def test_recall_of_near_copies(spark):
