@@ -170,12 +170,13 @@ def activity_done(best: Column, score: Column, max_score: Column, status: Column
     return F.coalesce(F.least(value, F.lit(100.0)) >= 50, F.lit(False)) | F.coalesce(status == "passed", F.lit(False))
 
 
-def search_users(users: DataFrame, term: str, role: str | None = None, status: str | None = None) -> DataFrame:
+def search_users(users: DataFrame, term: str, role: str | None = None, status: str | None = None, post_test: bool | None = None) -> DataFrame:
+    """Users whose name or address holds a term, with a role and status; by ``completed`` where ``post_test`` is given (null is not completed)."""
     low = term.lower()
     out = users.where(F.lower("name").contains(low) | F.lower("email").contains(low)) if term else users
     for column, value in (("role", role), ("status", status)):
         out = out if value is None else out.where(F.col(column) == value)
-    return out
+    return out if post_test is None else out.where(F.coalesce("completed", F.lit(False)) == post_test)
 
 
 def in_roster(subs: DataFrame, roster: DataFrame) -> DataFrame:

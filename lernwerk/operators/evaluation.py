@@ -176,3 +176,8 @@ def dominant_label(lines: DataFrame) -> DataFrame:
 
 def worst_classes(accuracy: DataFrame, k: int) -> DataFrame:
     return accuracy.orderBy("accuracy", "class").limit(k)
+
+
+def busiest_strata(df: DataFrame, by: str, k: int) -> DataFrame:
+    """The ``k`` values of a column with the most rows, by name on ties."""
+    return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(k)

@@ -175,6 +175,12 @@ def _(u, a):
     return cohort.flag_completers(u, pre_post(a)[1]).select("email", "completed")
 
 
+@query("prj23_post_test", "v_users", "v_assessments", sql=f"SELECT email, name, role, status FROM v_users WHERE (contains(lower(name), '7') OR contains(lower(email), '7')) AND role = 'learner' AND email NOT IN (SELECT email FROM {milestone_sql('posttest')})")
+def _(u, a):
+    flagged = cohort.flag_completers(u, pre_post(a)[1])
+    return cohort.search_users(flagged, "7", "learner", post_test=False).select("email", "name", "role", "status")
+
+
 @query("jn3_pair_pre_post", "v_assessments", sql=f"SELECT email, round(pre, 6) AS pre, round(post, 6) AS post, round(post - pre, 6) AS difference FROM ({PAIRS})")
 def _(a):
     return cohort.pair_pre_post(*pre_post(a)).select("email", *[F.round(c, 6).alias(c) for c in ("pre", "post", "difference")])

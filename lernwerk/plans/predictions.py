@@ -140,6 +140,11 @@ def _(p):
     return E.worst_classes(E.per_class_accuracy(E.score_programs(p)), 3).select("class", "accuracy")
 
 
+@query("ord3_busiest_strata", "v_predictions", sql="SELECT source_file, count(*) AS n FROM v_predictions WHERE source_file IS NOT NULL GROUP BY source_file ORDER BY n DESC, source_file LIMIT 3")
+def _(p):
+    return E.busiest_strata(p, "source_file", 3)
+
+
 @query("jn5_align_lines", "v_predicted_lines", "v_expected_lines")
 def _(a, e):
     return E.align_lines(a, e)
