@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import bound_batches, cut, partitions
 
@@ -50,8 +50,9 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 #: A near copy shares 0.8 of its five-word shingles or more. The 512 bits of such texts differ in about 76 at 0.8 and in fewer above,
-#: with a deviation of 8; those of unlike texts differ in 256. The README has the recall and precision.
-PRINT_WORDS, PRINT_LONGS, PRINT_BITS = 5, 8, 90
+#: with a deviation of 8; those of unlike texts differ in 256. Pairs that differ in ``SURE_BITS`` or fewer are taken as they are,
+#: those up to ``PRINT_BITS`` are held against their shingles. The README has the recall and precision.
+PRINT_WORDS, PRINT_LONGS, PRINT_BITS, SURE_BITS, LEAST_ALIKE = 5, 8, 100, 48, 0.8
 #: Of each long, the bits at which two bytes side by side begin that are indexed.
 PAIRS_AT = (0, 16, 32, 48, 8)
 PRINT_COLUMNS = [f"p{k}" for k in range(PRINT_LONGS)]
@@ -67,18 +68,27 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * set_bits > len(hashes)).view(np.uint64)
 
 
-def wide_print(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
-    """512-bit SimHash of a text's word shingles, as longs (ASCII case and white space apart); zeros without words."""
+def shingle_digests(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
+    """A 64-bit digest of each word shingle of a text, repeats included (ASCII case and white space apart); fewer words are one."""
     split = (text or "").encode().lower().split()
     if not split:
-        return np.zeros(PRINT_LONGS, np.uint64)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(w, SEED) for w in split]), ">u8").astype(np.uint64)
     k, n = min(words, len(h)), max(1, len(h) - words + 1)
+    s = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        s = np.zeros(n, np.uint64)
         for j in range(k):
             s = (s ^ (s >> np.uint64(29))) * _MIX + h[j : j + n]
+    return s
+
+
+def wide_print(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
+    """512-bit SimHash of a text's word shingles, as longs; zeros without words."""
+    s = shingle_digests(text, words)
+    if not len(s):
+        return np.zeros(PRINT_LONGS, np.uint64)
+    with np.errstate(over="ignore"):
         wide = s[:, None] + _STEP * np.arange(1, PRINT_LONGS + 1, dtype=np.uint64)
         wide = (wide ^ (wide >> np.uint64(30))) * _MIX
         wide = (wide ^ (wide >> np.uint64(27))) * _MIX2
@@ -91,6 +101,11 @@ def _wide_prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found.view(np.int64), columns=PRINT_COLUMNS)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(shingle_digests(t)).view(np.int64) for t in texts], dtype=object)
+
+
 def shared_bytes(xor: np.ndarray) -> np.ndarray:
     """How many of the eight positional bytes two fingerprints share, from their exclusive or."""
     return np.bitwise_count(~((xor & LOW) + LOW | xor | LOW))
@@ -105,6 +120,13 @@ class Run:
     def part(self, at: np.ndarray) -> Run:
         return Run(self.values[at], self.distance)
 
+    def levels(self) -> list[Run]:
+        """The run at each distance whose links are to be taken before those of the next."""
+        return [self]
+
+    def bits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b])
+
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The count filter, then the verification: enough shared bytes, and few enough differing bits. ``a`` and ``b`` are positions and broadcast."""
         xor = self.values[a] ^ self.values[b]
@@ -130,6 +152,12 @@ class WideRun(Run):
     def part(self, at: np.ndarray) -> WideRun:
         return WideRun(self.values[at], self.distance)
 
+    def levels(self) -> list[Run]:
+        return [WideRun(self.values, b) for b in (SURE_BITS, (SURE_BITS + self.distance) // 2, self.distance) if b <= self.distance]
+
+    def bits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b]).sum(1, dtype=np.int16)
+
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Few enough differing bits, counted over one half first: unlike prints differ in more there already."""
         half = self.values.shape[1] // 2
@@ -199,17 +227,19 @@ def spanning(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 
 def short_links(keys: np.ndarray, run: Run) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many short runs at once: values under equal sorted keys, compared at every shift."""
-
-    def shifted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for shift in range(1, min(SHORT, len(keys))):
-            at = np.flatnonzero(keys[:-shift] == keys[shift:])
-            if not len(at):
-                return
-            close = run.near(at, at + shift)
-            yield at[close], at[close] + shift
-
-    return spanning(shifted())
+    """The same for many short runs at once: values under equal sorted keys, compared at every shift. Closer pairs go first at each level."""
+    found = [[] for _ in run.levels()]
+    upto = np.array([r.distance for r in run.levels()])
+    for shift in range(1, min(SHORT, len(keys))):
+        at = np.flatnonzero(keys[:-shift] == keys[shift:])
+        if not len(at):
+            break
+        at = at[run.near(at, at + shift)]
+        level = np.searchsorted(upto, run.bits(at, at + shift))
+        for k, pairs in enumerate(found):
+            if (part := at[level == k]).size:
+                pairs.append((part, part + shift))
+    return spanning(chain.from_iterable(found))
 
 
 def _index_keys(distance: int = 3) -> list[tuple[int, ...]]:
@@ -225,7 +255,7 @@ def _index_keys(distance: int = 3) -> list[tuple[int, ...]]:
 
 
 def _linked_runs(index: DataFrame, run_of: Callable[[np.ndarray], Run], used_of: Callable[[int], tuple[int, ...]] = lambda key: ()) -> DataFrame:
-    """``src``, ``dst``: pairs of nodes that join all that are linked in a run of the index (columns key, node, then those of ``run_of``).
+    """``src``, ``dst``, ``bits``: pairs of nodes that join all that are linked in a run of the index (columns key, node, then those of ``run_of``), and in how many bits they differ.
 
     The index is dealt out and sorted by its key. Runs are compared inside their task, and only a spanning set of links leaves it.
     """
@@ -239,11 +269,12 @@ def _linked_runs(index: DataFrame, run_of: Callable[[np.ndarray], Run], used_of:
             sizes = np.diff(bounds)
 
             def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["src", "dst"])
+                return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y]), pa.array(run.bits(x, y).astype(np.int32))], ["src", "dst", "bits"])
 
             for i in np.flatnonzero(sizes > SHORT):
                 at = np.arange(bounds[i], bounds[i + 1])
-                x, y = spanning(links(run.part(at), used_of(int(k[bounds[i]]))))
+                used = used_of(int(k[bounds[i]]))
+                x, y = spanning(chain.from_iterable(links(level, used) for level in run.part(at).levels()))
                 yield pairs(at[x], at[y])
             at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
             x, y = short_links(k[at], run.part(at))
@@ -259,7 +290,7 @@ def _linked_runs(index: DataFrame, run_of: Callable[[np.ndarray], Run], used_of:
             yield from settle(held)
 
     index_columns = index.columns
-    return index.repartition(partitions(index), "key").sortWithinPartitions("key", "node").mapInArrow(runs, "src long, dst long")
+    return index.repartition(partitions(index), "key").sortWithinPartitions("key", "node").mapInArrow(runs, "src long, dst long, bits int")
 
 
 def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -274,11 +305,11 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     keys = [reduce(lambda k, p: F.shiftleft(k, 8) + octet[p], c, F.lit(j).cast("long")) for j, c in enumerate(sets)]
     width = 8 * len(sets[0])
     index = prints.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "fp")
-    return _linked_runs(index, lambda v: Run(v.ravel(), distance), lambda key: sets[key >> width])
+    return _linked_runs(index, lambda v: Run(v.ravel(), distance), lambda key: sets[key >> width]).drop("bits")
 
 
 def wide_edges(prints: DataFrame, bits: int = PRINT_BITS) -> DataFrame:
-    """``src``, ``dst``: pairs of ``node`` that join prints (``p0`` and so on) within ``bits`` that share two bytes side by side.
+    """``src``, ``dst``, ``bits``: pairs of ``node`` that join prints (``p0`` and so on) within ``bits`` that share two bytes side by side, closer ones first.
 
     An index entry is the place of one of 40 pairs of bytes with its bytes. At a similarity of 0.8 a pair is shared once in 14
     times, and so some pair nineteen times in twenty; more alike texts share more. Unlike texts share one of 65,536.
@@ -288,6 +319,26 @@ def wide_edges(prints: DataFrame, bits: int = PRINT_BITS) -> DataFrame:
     return _linked_runs(prints.select(F.explode(F.array(*keys)).alias("key"), "node", *PRINT_COLUMNS), lambda v: WideRun(v, bits))
 
 
+def verified(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """``src``, ``dst``: the pairs ``found`` that are near copies by their shingles (``texts`` has node and text).
+
+    Those within ``SURE_BITS`` are joined as they are. Of the others, only pairs between different groups so joined are looked
+    at: the shingle sets of their nodes meet in two joins, and a pair stays if it shares ``LEAST_ALIKE`` of both sets' union. Nodes
+    without such a pair send no text.
+    """
+    sure = cut(components(found.where(F.col("bits") <= SURE_BITS)))
+    group = lambda end: sure.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    open_pairs = found.where(F.col("bits") > SURE_BITS).select("src", "dst").distinct().join(group("src"), "src", "left").join(group("dst"), "dst", "left")
+    open_pairs = cut(open_pairs.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"))
+    nodes = open_pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sets = cut(sets.select("node", _shingle_sets("text").alias("s")))
+    both = open_pairs.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = both.where(shared >= LEAST_ALIKE * (F.size("a") + F.size("b") - shared))
+    return sure.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(alike.select("src", "dst"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: every node of ``edges`` (``src``, ``dst`` longs) with the least node it reaches.
 
@@ -360,8 +411,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = PRINT_BITS) -> DataFrame:
     """Add ``component_id``: the smallest id that links between near copies reach from a document, itself included.
 
-    Two texts are near copies if 0.8 or more of their five-word shingles are shared, as their 512-bit SimHashes tell: the
-    inverted index of byte positions finds candidates, and those within ``bits`` are linked. Texts of fewer than
+    Two texts are near copies if 0.8 or more of their five-word shingles are shared. The inverted index of byte positions finds
+    candidates, their 512-bit SimHashes tell which are close (``bits``), and shingles settle what the bits leave open. Texts of fewer than
     five words are one shingle, so they link only if equal. Equal prints are one node. Null and empty texts have
     prints of zeros and are copies of each other. Null ids are passed over; a component of nothing but
     null ids has a null ``component_id``. Repeated rows are copies. An input column named component_id is
@@ -370,5 +421,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = bound_batches(docs).drop("component_id")
     mine = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("__id"), _wide_prints(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
     rows = cut(mine.select("*", "p.*").drop("p"))
-    named = _component_ids(rows, PRINT_COLUMNS, lambda prints: wide_edges(prints, bits))
+    texts = rows.select(F.xxhash64(*PRINT_COLUMNS).alias("node"), F.col(f"__c{docs.columns.index(text_col)}").alias("text"))
+    named = _component_ids(rows, PRINT_COLUMNS, lambda prints: verified(cut(wide_edges(prints, bits)), texts))
     return rows.join(named, PRINT_COLUMNS).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "component_id")

@@ -91,8 +91,14 @@ def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
     assert len({(find(i), want[i]) for i in range(len(values))}) == len(set(want))
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def plain_near(texts):
-    """Union of all pairs whose prints are close and share two bytes side by side, in plain Python."""
+    """Union of all pairs whose prints are close, share two bytes side by side and, if not very close, 0.8 of their shingles, in plain Python."""
+    sets = [five_words(t) for t in texts]
     prints = np.array([simhash.wide_print(t) for t in texts])
     pairs = np.concatenate([prints >> np.uint64(at) & np.uint64(0xFFFF) for at in simhash.PAIRS_AT], axis=1)
     parent = list(range(len(texts)))
@@ -105,7 +111,8 @@ def plain_near(texts):
     for i in range(len(texts)):
         bits = np.bitwise_count(prints[:i] ^ prints[i]).sum(1)
         for j in np.flatnonzero((bits <= simhash.PRINT_BITS) & (pairs[:i] == pairs[i]).any(1)).tolist():
-            parent[find(i)] = find(j)
+            if bits[j] <= simhash.SURE_BITS or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
     return [find(i) for i in range(len(texts))]
 
 
@@ -169,6 +176,12 @@ def test_recall_of_near_copies(spark):
     wanted = [p for p, j in alike.items() if j >= 0.8]
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")).collect()}
     assert len(wanted) > 30 and np.mean([found[a] == found[b] for a, b in wanted]) >= 0.9
+    groups = defaultdict(list)
+    for d in first.values():
+        groups[found[d]].append(d)
+    # a group may hold pairs below 0.8, linked by way of a third text, but nothing joins it without a partner at 0.8
+    partner = [max(len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b])) for b in ids if b != a) for ids in groups.values() if len(ids) > 1 for a in ids]
+    assert len(partner) > 30 and np.mean([j >= 0.8 for j in partner]) >= 0.98
     unlike = [a for a, c in found.items() if c != a and shingles.get(a) and shingles.get(c) and len(shingles[a] & shingles[c]) / len(shingles[a] | shingles[c]) < 0.5]
     assert len(unlike) <= 0.002 * len(first)
 
