@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables that a loop writes."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``scratch`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Texts go to Python in batches of so many bytes at most; one longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -34,9 +47,9 @@ def bound_batches(df: DataFrame) -> DataFrame:
 
     A setting that is lower already stays. Gives ``df`` back.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name).removesuffix("b")) > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
+    session, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get(name)) > BATCH_BYTES:
+        session.conf.set(name, str(BATCH_BYTES))
     return df
 
 
