@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -96,8 +98,8 @@ class Shard:
                 yield n, key, counts, None
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Shard]]:
-    """Shards of a task's rows (lang, text), one for each language at a time."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[Shard]]:
+    """Shards of a task's rows (lang, text): batches until there are ``most`` words, each language by itself."""
     held: dict[str, tuple[list, list]] = {}
     size = 0
     for batch in batches:
@@ -109,7 +111,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Shard]]:
                 w.append(words)
                 p.append(pieces)
                 size += len(words)
-        if size >= SHARD_WORDS:
+        if size >= most:
             yield [Shard(lang, *x) for lang, x in held.items()]
             held, size = {}, 0
     if held:
@@ -126,19 +128,28 @@ def local_support(words: int, total: int, support: int) -> int:
     return max(1, -(-support * words // total))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shards in _shards(batches):
-        for s in shards:
-            n = len(s.vocabulary)
-            yield from _rows(lang=pa.array([s.lang] * (n + 1)), phrase=pa.concat_arrays([s.vocabulary.cast(pa.string()), pa.nulls(1, pa.string())]), n=np.concatenate((np.bincount(s.ids, minlength=n), [len(s.ids)])))
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def _mined(sets: list, totals: dict[str, int], support: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _word_counts(most: int) -> Step:
+    """Counts of words, and under a null phrase the number of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shards in _shards(batches, most):
+            for s in shards:
+                n = len(s.vocabulary)
+                phrases = pa.concat_arrays([s.vocabulary.cast(pa.string()), pa.nulls(1, pa.string())])
+                yield from _rows(lang=pa.array([s.lang] * (n + 1)), phrase=phrases, n=np.concatenate((np.bincount(s.ids, minlength=n), [len(s.ids)])))
+
+    return run
+
+
+def _mined(sets: list, totals: dict[str, int], support: int, most: int) -> Step:
     """Keys of phrases one word longer than the sets go, where a shard holds its share of the support; and a row with what a shard can hold unseen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, upto = [b.value for b in sets], len(sets) + 1
-        for shards in _shards(batches):
+        for shards in _shards(batches, most):
             for s in shards:
                 least = local_support(len(s.ids), totals[s.lang], support)
                 yield from _rows(lang=pa.array([s.lang]), key=np.zeros(1, np.int64), n=np.array([least - 1]))
@@ -150,10 +161,12 @@ def _mined(sets: list, totals: dict[str, int], support: int) -> Callable[[Iterat
     return run
 
 
-def _counted(sets: list, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counted(sets: list, longest: int, most: int) -> Step:
+    """Counts of phrases of two words or more that are in the set of their length, by spelling."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [b.value for b in sets]
-        for shards in _shards(batches):
+        for shards in _shards(batches, most):
             for s in shards:
                 for n, _, counts, spelled in s.levels(known, longest):
                     yield from _rows(lang=pa.array([s.lang] * len(counts)), phrase=spelled.cast(pa.string()), size=np.full(len(counts), n, np.int32), n=counts)
@@ -161,16 +174,16 @@ def _counted(sets: list, longest: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _broadcast_set(keys: DataFrame):
+def _broadcast_set(keys: DataFrame) -> Broadcast:
     """A set of keys as bits, ored together by Spark: 2^(SET_BITS - 6) rows at most reach the driver."""
     at = F.col("key").bitwiseAND((1 << SET_BITS) - 1)
-    parts = keys.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(key & {63} AS INT))")).alias("b")).toArrow()
+    parts = keys.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS INT))")).alias("b")).toArrow()
     bits = np.zeros(1 << (SET_BITS - 6), np.int64)
     bits[parts["i"].to_numpy()] = parts["b"].to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Exact counts (lang, phrase, size, f) of all phrases of 1 to ``longest`` words that occur ``support`` times, and (lang, n) of all words.
 
     SON partitioning. A shard is a run of a task's rows that fits in memory; it is mined completely, length by length, at the
@@ -181,21 +194,21 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, support: int = SUPPOR
     work, not exactness. The sets of what is in question go to the tasks as bits of a fixed size.
     """
     rows = bound_batches(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    words = rows.mapInArrow(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    words = rows.mapInArrow(_word_counts(shard_words), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     words = cut(words.where(f"phrase is null or f >= {support}"))
     totals = {r["lang"]: r["f"] for r in words.where("phrase is null").collect()}  # a row a language
     salted = F.concat("lang", F.lit("\0"), "phrase")
 
     @F.pandas_udf("long")
-    def word_key(s):
-        return s.map(lambda x: xxhash.xxh64_intdigest(x)).astype("uint64").astype("int64")
+    def word_key(salted: pd.Series) -> pd.Series:
+        return pd.Series(np.array([xxhash.xxh64_intdigest(x) for x in salted], np.uint64).view(np.int64))
 
     sets = [_broadcast_set(words.where("phrase is not null").select(word_key(salted).alias("key")))]
     for _ in range(2, longest + 1):
-        found = cut(rows.mapInArrow(_mined(sets, totals, support), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+        found = cut(rows.mapInArrow(_mined(sets, totals, support, shard_words), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
         unseen = found.where("lang is not null").agg(F.max("n")).first()[0] or 0
         sets.append(_broadcast_set(found.where(F.col("lang").isNull() & (F.col("n") + unseen >= support)).select("key")))
-    counted = rows.mapInArrow(_counted(sets, longest), "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
+    counted = rows.mapInArrow(_counted(sets, longest, shard_words), "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
     single = words.where("phrase is not null").select("lang", "phrase", F.lit(1).alias("size"), "f")
     total = words.where("phrase is null").select("lang", F.col("f").alias("n"))
     return cut(counted.where(F.col("f") >= support).unionByName(single)), total
@@ -228,7 +241,7 @@ def within_longer(counts: DataFrame, share: int = 80) -> DataFrame:
     return met.where(_exact(F.col("longer")) * 100 >= _exact(F.col("f")) * share).select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, top: int = TOP, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """The ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are split into pieces at ``.,;:!?`` and line ends and those into words at spaces and tabs, small A-Z. Phrases of 2 to
@@ -241,7 +254,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT
     behind. No language, word or phrase is brought into one task: counts are added up in shards before they are shuffled, and of
     the ranking a task sees ``top`` rows at most from each of as many salted groups as there are partitions.
     """
-    counts, total = phrase_counts(docs, longest, support, lang_col, text_col)
+    counts, total = phrase_counts(docs, longest, support, lang_col, text_col, shard_words)
     kept = score_cuts(counts).join(within_longer(counts), ["lang", "phrase"], "left_anti")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(partitions(docs)))
