@@ -17,8 +17,8 @@ from pyspark.sql.types import DecimalType
 from .common import bound_batches, cut, partitions
 
 LONGEST, SUPPORT, TOP = 4, 30, 2000
-#: A shard is so many words of a task's rows; it is what a Python worker holds at once, but for one longer text.
-SHARD_WORDS = 1 << 19
+#: A shard is so many words of a task's rows, and less than twice as many but for one longer text; it is what a Python worker works on at once.
+SHARD_WORDS, WORD_BYTES = 1 << 18, 6
 #: Bits of the set that says which phrases of a length are still in question. Its size is fixed; a full one only prunes less.
 SET_BITS = 25
 _WORD, _SPACE, _BREAK = 0, 1, 2
@@ -98,11 +98,19 @@ class Shard:
                 yield n, key, counts, None
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with texts of about ``most`` words each, by their bytes."""
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // (most * WORD_BYTES)
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[Shard]]:
-    """Shards of a task's rows (lang, text): batches until there are ``most`` words, each language by itself."""
+    """Shards of a task's rows (lang, text): rows until there are ``most`` words, each language by itself."""
     held: dict[str, tuple[list, list]] = {}
     size = 0
-    for batch in batches:
+    for batch in (part for b in batches for part in _slices(b, most)):
         langs = batch.column("lang").dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             words, pieces = tokens(batch.column("text").filter(pc.equal(langs.indices, code)))
