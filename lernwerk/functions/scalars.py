@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,17 @@ def tolerant_get(doc: Column, keys: list[str], inside: tuple[str, ...] = ("metri
         plain = F.transform_keys(as_map, lambda k, v: F.translate(F.lower(k), "_ ", ""))
         found += [F.try_element_at(plain, F.lit(k.lower().replace("_", "").replace(" ", ""))) for k in keys]
     return F.coalesce(*found)
+
+
+def json_merge(old: Column, new: Column) -> Column:
+    """Shallow merge of two JSON objects: members of ``new`` win, a JSON null too. What is no object, null too, counts as empty."""
+    members = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_zip_with(members(old), members(new), lambda _, a, b: F.coalesce(b, a)))
+
+
+def json_set(doc: Column, path: list[str], value: Column) -> Column:
+    """A JSON object with the member at ``path`` set to ``value`` (JSON text); what is no object on the way becomes one."""
+    name, *rest = path
+    if rest:
+        value = json_set(F.get_json_object(doc, f"$['{name}']"), rest, value)
+    return json_merge(doc, F.concat(F.lit("{" + json.dumps(name) + ":"), value, F.lit("}")))

@@ -123,6 +123,32 @@ def counts_toward_rog() -> Column:
     return F.coalesce(F.col("type") == "optimization", F.lit(False)) & F.col("final_aes").isNotNull()
 
 
+COUNTED = [f"{n}_{what}" for n in CATEGORIES for what in ("passed", "total")]
+
+
+def _summands() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What means are taken of, and what is counted."""
+    means = {"aes": F.col("final_aes"), "rog": F.col("rog_value"), "tsr": F.col("tsr_passed") / F.col("tsr_total")}
+    return means, {"unchanged": F.coalesce("code_unchanged", F.lit(False)), "passed": F.col("done")}
+
+
+def metric_parts(rows: DataFrame, sign: int) -> DataFrame:
+    """Sums and counts by module and owner as exact decimals, added with 1 or taken away with -1; ``add_parts`` adds them up."""
+    means, flags = _summands()
+    named = rows.withColumn("module", F.coalesce("module", F.lit("unknown")))
+    exact = lambda c, digits: (F.sum(c.cast(f"decimal(28,{digits})")) * sign).cast(f"decimal(38,{digits})")
+    sums = [x for n, c in means.items() for x in (F.coalesce(exact(c, 15), F.lit(0)).cast("decimal(38,15)").alias(f"{n}_sum"), (F.count(c) * sign).alias(f"{n}_count"))]
+    counts = [(F.count_if(c) * sign).alias(n) for n, c in flags.items()]
+    return named.groupBy("module", "owner").agg(*sums, *counts, (F.count("*") * sign).alias("attempted"), *[F.coalesce(exact(F.col(f"{c}_n"), 3), F.lit(0)).cast("decimal(38,3)").alias(c) for c in COUNTED])
+
+
+def add_parts(parts: DataFrame) -> DataFrame:
+    """One row a module and owner again; those without a submission left are gone."""
+    kinds = dict(parts.dtypes)
+    summed = parts.groupBy("module", "owner").agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in parts.columns if c not in ("module", "owner")])
+    return summed.where("attempted > 0")
+
+
 def submission_metrics(rows: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
     """Metrics of the cohort, each module, each user and each user in each module; means are null where nothing counts.
 
@@ -130,18 +156,21 @@ def submission_metrics(rows: DataFrame, sets: list[list[str]] | None = None) ->
     the few sums and not the rows. ``level`` names the grouping columns that hold, a bit each (module 2, owner 1
     when summed over). A null module is ``unknown``.
     """
-    counted = [f"{n}_{what}" for n in CATEGORIES for what in ("passed", "total")]
-    means = {"aes": F.col("final_aes"), "rog": F.col("rog_value"), "tsr": F.col("tsr_passed") / F.col("tsr_total")}
-    flags = {"unchanged": F.coalesce("code_unchanged", F.lit(False)), "passed": F.col("done")}
+    means, flags = _summands()
     sums = [x for n, c in means.items() for x in (F.sum(c).alias(f"{n}_sum"), F.count(c).alias(f"{n}_count"))]
     named = rows.withColumn("module", F.coalesce("module", F.lit("unknown")))
-    parts = named.groupBy("module", "owner").agg(*sums, *[F.count_if(c).alias(n) for n, c in flags.items()], F.count("*").alias("attempted"), *[F.sum(f"{c}_n").alias(c) for c in counted])
+    parts = named.groupBy("module", "owner").agg(*sums, *[F.count_if(c).alias(n) for n, c in flags.items()], F.count("*").alias("attempted"), *[F.sum(f"{c}_n").alias(c) for c in COUNTED])
+    return roll_up(parts, sets)
+
+
+def roll_up(parts: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
+    """``submission_metrics`` from sums by module and owner."""
     chosen = [[F.col(c) for c in s] for s in (sets if sets is not None else [[], ["module"], ["owner"], ["module", "owner"]])]
-    mean = lambda n, scale=1: F.round(F.try_divide(F.sum(f"{n}_sum"), F.sum(f"{n}_count")) * scale, 10).alias(n)
-    total = lambda n: F.sum(n).alias(n)
+    mean = lambda n, scale=1: F.round(F.try_divide(F.sum(f"{n}_sum").cast("double"), F.sum(f"{n}_count")) * scale, 10).alias(n)
+    total = lambda n: F.sum(n).cast("double").alias(n)
     return parts.groupingSets(chosen, F.col("module"), F.col("owner")).agg(
         F.grouping_id().cast("long").alias("level"), mean("aes"), mean("rog"), F.coalesce(F.sum("rog_count"), F.lit(0)).alias("rog_count"), F.coalesce(F.sum("unchanged"), F.lit(0)).alias("unchanged"),
-        mean("tsr", 100), F.coalesce(F.sum("attempted"), F.lit(0)).alias("attempted"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"), *map(total, counted),
+        mean("tsr", 100), F.coalesce(F.sum("attempted"), F.lit(0)).alias("attempted"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"), *map(total, COUNTED),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES
@@ -21,6 +21,21 @@ def drop_niche(df: DataFrame, label: str, patterns: list[str]) -> DataFrame:
     return df.where(~squeezed.rlike("|".join(patterns)))
 
 
+def clean(df: DataFrame, text: str, label: str, patterns: list[str]) -> tuple[DataFrame, Observation]:
+    """``drop_blank`` and ``drop_niche`` at once, with counts of what they see: rows, blank, niche and kept.
+
+    The counts come out of the pass that writes or collects the result; ``get`` on the observation gives them afterwards.
+    """
+    seen = Observation("clean")
+    blank = F.coalesce(F.regexp_replace(F.col(text), r"\s+", ""), F.lit("")) == ""
+    niche = ~blank & F.replace(F.lower(F.coalesce(F.col(label), F.lit(""))), F.lit(" "), F.lit("")).rlike("|".join(patterns))
+    count = lambda c, name: F.count_if(c).alias(name)
+    marked = df.withColumn("__blank", blank).withColumn("__niche", niche)
+    b, n = F.col("__blank"), F.col("__niche")
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("rows"), count(b, "blank"), count(n, "niche"), count(~b & ~n, "kept"))
+    return marked.where(~b & ~n).drop("__blank", "__niche"), seen
+
+
 def source_lines(text: Column) -> Column:
     return F.size(F.split(text, "\n"))
 
@@ -51,7 +66,7 @@ def slovin_sample(df: DataFrame, strata: list[str], key: str, e: float = 0.05, s
 
     Within a stratum the rows first in the order of a hash of seed and key are taken. A
     threshold on the hash thins a stratum to about four times its share and 64 rows before rows are numbered, so
-    that no task numbers a large one; the chance that this leaves too few is below e to the -40th.
+    that no task numbers a large one. The chance that this leaves too few is below e to the -40th; then it is an error and not a short sample.
     """
     sizes = df.groupBy(*strata).agg(F.count("*").alias("size"))
     total = df.agg(F.count("*").alias("total"))
@@ -60,8 +75,10 @@ def slovin_sample(df: DataFrame, strata: list[str], key: str, e: float = 0.05, s
     joined = mixed.join(quota, strata)
     place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / float(1 << 32)
     thin = joined.where(place < 4 * F.col("quota") / F.col("size") + 64 / F.col("size"))
-    ranked = thin.withColumn("n", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", key)))
-    return ranked.where("n <= quota").drop("__h", "size", "quota", "n")
+    whole = Window.partitionBy(*strata)
+    ranked = thin.withColumn("n", F.row_number().over(whole.orderBy("__h", key))).withColumn("left", F.count("*").over(whole))
+    enough = F.when(F.col("left") >= F.col("quota"), F.col("n") <= F.col("quota")).otherwise(F.raise_error("a stratum was thinned below its share").cast("boolean"))
+    return ranked.where(enough).drop("__h", "size", "quota", "n", "left")
 
 
 def growth_class(counts: DataFrame) -> DataFrame:
@@ -72,6 +89,19 @@ def growth_class(counts: DataFrame) -> DataFrame:
     return g.select("key", "slope", label.alias("label"))
 
 
+def growth_of_drivers(counts: DataFrame) -> DataFrame:
+    """``growth_class`` of costs measured by several drivers (columns key, driver, n, count): the largest count at each size holds."""
+    return growth_class(counts.groupBy("key", "n").agg(F.max("count").alias("count")))
+
+
+def label_mismatches(counts: DataFrame, labels: DataFrame, few: int = 8) -> DataFrame:
+    """Keys (columns key, label) whose measured growth is another than the label; a constant cost of ``few`` or less may be called linear."""
+    top = counts.groupBy("key", "n").agg(F.max("count").alias("count")).groupBy("key").agg(F.max_by("count", "n").alias("last"))
+    m = labels.join(growth_of_drivers(counts).select("key", F.col("label").alias("measured")), "key").join(top, "key")
+    fine = (F.col("measured") == F.col("label")) | ((F.col("label") == "O(n)") & (F.col("measured") == "O(1)") & (F.col("last") <= few))
+    return m.where(~fine).select("key", "label", "measured")
+
+
 def union_chunks(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES, agree, canonical, once, rank
+from ..session import cut
+from .quantiles import exact_quantiles
 
 MAX_SHIFT = 5
+#: Rounds of asking; lines that are not settled by then raise an error.
+MOST_ROUNDS = 10_000
 
 
 def score_programs(predictions: DataFrame) -> DataFrame:
@@ -21,36 +26,46 @@ def score_programs(predictions: DataFrame) -> DataFrame:
     return p
 
 
-def align_lines(actual: DataFrame, expected: DataFrame, max_shift: int = MAX_SHIFT) -> DataFrame:
+def align_lines(actual: DataFrame, expected: DataFrame, max_shift: int = MAX_SHIFT, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Pair the lines of each program: equal numbers first, then the nearest free line within ``max_shift``.
 
     Expected lines go in order and try +1, -1, +2, -2 and so on. Both inputs have
     program, lineno, label, one row a line. The result has a row for each line shown:
     ``lineno``, ``expected_line``, ``expected``, ``actual``; an expected line that moved
-    shows at the line it found, and what finds no partner stays. A program is one group, the bound of its size.
+    shows at the line it found, and what finds no partner stays.
     """
-    both = actual.select("program", "lineno", F.lit(True).alias("is_actual"), "label").unionByName(expected.select("program", "lineno", F.lit(False).alias("is_actual"), "label"))
-    lines = F.collect_list(F.struct("lineno", "is_actual", "label"))
-
-    @F.pandas_udf("array<struct<lineno:long,expected_line:long,expected:string,actual:string>>")
-    def pair(programs: pd.Series) -> pd.Series:
-        return programs.map(lambda p: _align([(x["lineno"], x["is_actual"], x["label"]) for x in p], max_shift))
-
-    return both.groupBy("program").agg(lines.alias("lines")).select("program", F.explode(pair("lines")).alias("l")).select("program", "l.*")
-
-
-def _align(lines: list[tuple[int, bool, str]], max_shift: int) -> list[dict]:
-    got = {n: label for n, is_actual, label in lines if is_actual}
-    want = {n: label for n, is_actual, label in lines if not is_actual}
-    free, moved = set(got) - set(want), {}
-    for line in sorted(set(want) - set(got)):
-        tries = (line + sign * k for k in range(1, max_shift + 1) for sign in (1, -1))
-        if (at := next((t for t in tries if t in free), None)) is not None:
-            moved[at] = line
-            free.discard(at)
-    shown = sorted(set(got) | (set(want) - set(moved.values())))
-    places = [(n, moved.get(n, n if n in want else None)) for n in shown]
-    return [{"lineno": n, "expected_line": e, "expected": want.get(e), "actual": got.get(n)} for n, e in places]
+    side = lambda df, label, mark: df.select("program", "lineno", F.col("label").alias(label), F.lit(True).alias(mark))
+    met = cut(side(actual, "actual", "is_actual").join(side(expected, "expected", "is_expected"), ["program", "lineno"], "full_outer"))
+    free = met.where("is_expected is null").select("program", F.col("lineno").alias("to"), "actual")
+    wanted = met.where("is_actual is null").select("program", F.col("lineno").alias("line"), "expected")
+    tries = [(2 * k - 1 if step > 0 else 2 * k, step) for k in range(1, max_shift + 1) for step in (k, -k)]
+    steps = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), (F.col("line") + d).alias("to")) for p, d in tries]))
+    pairs = wanted.select("program", "line", steps.alias("t")).select("program", "line", "t.*").join(free.select("program", "to"), ["program", "to"], "left_semi")
+    found = _accepted(pairs, most_rounds)
+    moved = found.join(wanted, ["program", "line"]).join(free, ["program", "to"]).select("program", F.col("to").alias("lineno"), F.col("line").alias("expected_line"), "expected", "actual")
+    used = found.select("program", F.col("line").alias("lineno")).unionByName(found.select("program", F.col("to").alias("lineno")))
+    rest = met.join(used, ["program", "lineno"], "left_anti").select("program", "lineno", F.when(F.col("is_expected"), F.col("lineno")).alias("expected_line"), "expected", "actual")
+    return rest.unionByName(moved)
+
+
+def _accepted(pairs: DataFrame, most_rounds: int) -> DataFrame:
+    """(program, line, to): what the serial rule gives, in rounds over all lines at once.
+
+    In a round every line asks for the best ``to`` that has not turned it down, and each ``to`` keeps the lowest line that asks
+    and turns the others down for good. Since all prefer the lowest line, this ends where the lines in order, one
+    after the other, would.
+    """
+    asks = Window.partitionBy("program", "line")
+    keeps = Window.partitionBy("program", "to")
+    left = cut(pairs)
+    for _ in range(most_rounds):
+        asked = left.withColumn("asks", F.col("place") == F.min("place").over(asks))
+        told = asked.withColumn("no", F.col("asks") & (F.col("line") > F.min(F.when(F.col("asks"), F.col("line"))).over(keeps)))
+        told = cut(told)
+        if told.where("no").isEmpty():
+            return told.where("asks").select("program", "line", "to")
+        left = told.where("not no").select(pairs.columns)
+    raise RuntimeError(f"lines still ask for others after {most_rounds} rounds")
 
 
 def score_lines(predicted: DataFrame, expected: DataFrame, code: DataFrame) -> DataFrame:
@@ -147,12 +162,30 @@ def capped_mismatches(scored: DataFrame, cap: int = 25) -> DataFrame:
 
 
 def latency_stats(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, median, 95th percentile (interpolated), maximum, and programs and lines a second."""
+    """Mean, median, 95th percentile (interpolated) and maximum of times, programs and lines a second, peak and mean memory.
+
+    The two quantiles are exact and are found by counting, so no task holds a group's values.
+    """
     seconds = F.sum("ms") / 1000
-    return runs.groupBy(*by).agg(
-        F.avg("ms").alias("mean_ms"), F.percentile("ms", 0.5).alias("median_ms"), F.percentile("ms", 0.95).alias("p95_ms"), F.max("ms").alias("max_ms"),
-        (F.count("*") / seconds).alias("programs_per_s"), (F.sum("n_lines") / seconds).alias("lines_per_s"),
+    rest = runs.groupBy(*by).agg(
+        F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"), (F.count("*") / seconds).alias("programs_per_s"), (F.sum("n_lines") / seconds).alias("lines_per_s"),
+        F.max("memory_mb").alias("peak_mb"), F.avg("memory_mb").alias("mean_mb"),
     )
+    places = exact_quantiles(runs, by, "ms", {"median_ms": 0.5, "p95_ms": 0.95})
+    names = places.select(*[F.col(c).alias(f"__{c}") for c in by], "median_ms", "p95_ms")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return rest.join(names, reduce(lambda a, b: a & b, same, F.lit(True)), "left").drop(*[f"__{c}" for c in by])
+
+
+RESULT_TABS = ("all", "overall_pass", "line_pass", "overall_mismatch", "line_mismatch")
+
+
+def results_tab(results: DataFrame, tab: str) -> DataFrame:
+    """Programs of a result tab; ``results`` has ``correct``, and how many lines have a truth (``truth_lines``) and miss it (``failed_lines``)."""
+    if tab not in RESULT_TABS:
+        raise ValueError(f"{tab} is none of {RESULT_TABS}")
+    keep = {"overall_pass": F.col("correct"), "overall_mismatch": ~F.col("correct"), "line_pass": (F.col("truth_lines") > 0) & (F.col("failed_lines") == 0), "line_mismatch": F.col("failed_lines") > 0}
+    return results if tab == "all" else results.where(keep[tab])
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:

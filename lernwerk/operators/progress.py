@@ -77,13 +77,6 @@ def recent_items(items: DataFrame, owner: str, k: int, *order: Column) -> DataFr
     return items.withColumn("__n", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
 
 
-def page(df: DataFrame, keys: list[str], size: int, number: int) -> DataFrame:
-    """One page of the order of ``keys``; a number beyond the last gives the last page."""
-    n = df.count()
-    number = max(1, min(number, -(-n // size)))
-    return df.orderBy(*keys).offset((number - 1) * size).limit(size)
-
-
 def enforce_quota(items: DataFrame, quota: int) -> DataFrame:
     """Add ``accepted``: the first ``quota`` distinct client ids of an owner in order of arrival; one sent again is the same item."""
     first = items.groupBy("owner", "client_id").agg(F.min("seq").alias("seq"))

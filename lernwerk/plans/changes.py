@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cohort
 from ..operators import graph as G
 from ..operators import merge as M
+from ..operators import evaluation as E
 from ..operators import progress as P
+from ..operators import quantiles as Q
+from ..session import cut
 from ..sources import tables as T
 from ..streaming import rules as R
-from .catalog import query
-from .learners import METRICS, ROWS
+from .catalog import query, shared
+from .learners import METRICS, PAIRS, ROWS, pre_post
 from .views import NINE, view
 
 # progress
@@ -87,7 +89,26 @@ def _(a):
 
 @query("win6_page", "v_users", sql="SELECT email, name FROM v_users WHERE status = 'active' ORDER BY email LIMIT 20 OFFSET 40")
 def _(u):
-    return P.page(u.where("status = 'active'").select("email", "name"), ["email"], 20, 3)
+    return Q.page(u.where("status = 'active'").select("email", "name"), ["email"], 20, 3)
+
+
+LINED = """(SELECT program, bool_and(ok) AS correct, count(expected) AS truth_lines, count(*) FILTER (expected IS NOT NULL AND NOT ok) AS failed_lines
+    FROM (SELECT program, p.label AS predicted, e.label AS expected, e.label IS NULL OR coalesce(p.label = e.label, false) AS ok FROM v_predicted_lines p FULL JOIN v_expected_lines e USING (program, lineno)) GROUP BY program)"""
+TABS = {"all": "true", "overall_pass": "correct", "line_pass": "truth_lines > 0 AND failed_lines = 0", "overall_mismatch": "NOT correct", "line_mismatch": "failed_lines > 0"}
+
+
+@query("win6_result_tabs", "v_predicted_lines", "v_expected_lines", sql=" UNION ALL ".join(
+    f"SELECT '{t}' AS tab, program, place FROM (SELECT program, row_number() OVER (ORDER BY program) AS place FROM {LINED} WHERE {w}) WHERE place > 100 AND place <= 150" for t, w in TABS.items()))
+def _(p, e):
+    both = p.select("program", "lineno", F.col("label").alias("predicted")).join(e.select("program", "lineno", F.col("label").alias("expected")), ["program", "lineno"], "full_outer")
+    ok = F.col("expected").isNull() | F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False))
+    results = cut(both.groupBy("program").agg(F.bool_and(ok).alias("correct"), F.count("expected").alias("truth_lines"), F.count_if(~ok).alias("failed_lines")))
+    out = []
+    for tab in E.RESULT_TABS:
+        third = Q.page(E.results_tab(results, tab).select("program"), ["program"], 50, 3)
+        place = F.row_number().over(Window.orderBy("program")).cast("long") + 100  # of the fifty rows of a page
+        out.append(third.select(F.lit(tab).alias("tab"), "program", place.alias("place")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("win7_enforce_quota", "v_changes", sql="SELECT owner, client_id, seq, row_number() OVER (PARTITION BY owner ORDER BY seq) <= 20 AS accepted FROM (SELECT email AS owner, item || '-' || CAST(seq % 30 AS VARCHAR) AS client_id, min(seq) AS seq FROM v_changes GROUP BY ALL)")
@@ -135,13 +156,19 @@ def _(a):
 KEYS = ["email", "item"]
 
 
-@query("mrg1_upsert_progress", "v_changes", sql="SELECT email, item, arg_max(score, seq) AS score, max(seq) AS seq FROM v_changes GROUP BY email, item")
+ORACLE_PROGRESS = "SELECT email, item, arg_max(score, seq) AS score, max(seq) AS seq FROM v_changes GROUP BY email, item"
+
+
+@query("mrg1_upsert_progress", "v_changes", sql=ORACLE_PROGRESS)
 def _(c):
     return M.last_arrival(c, KEYS, ["score"])
 
 
-@query("mrg2_merge_assessments", "v_changes", sql="""WITH a AS (SELECT *, max(attempts) OVER (PARTITION BY email, item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v_changes), k AS (SELECT * FROM a WHERE attempts IS NULL OR top IS NULL OR attempts >= top)
-    SELECT email, item, arg_max(score, seq) FILTER (score IS NOT NULL) AS score, CAST(arg_max(correct, seq) FILTER (correct IS NOT NULL) AS DOUBLE) AS correct, CAST(arg_max(attempts, seq) FILTER (attempts IS NOT NULL) AS DOUBLE) AS attempts FROM k GROUP BY email, item""")
+ORACLE_ASSESSMENTS = """WITH a AS (SELECT *, max(attempts) OVER (PARTITION BY email, item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM v_changes), k AS (SELECT * FROM a WHERE attempts IS NULL OR top IS NULL OR attempts >= top)
+    SELECT email, item, arg_max(score, seq) FILTER (score IS NOT NULL) AS score, CAST(arg_max(correct, seq) FILTER (correct IS NOT NULL) AS DOUBLE) AS correct, CAST(arg_max(attempts, seq) FILTER (attempts IS NOT NULL) AS DOUBLE) AS attempts FROM k GROUP BY email, item"""
+
+
+@query("mrg2_merge_assessments", "v_changes", sql=ORACLE_ASSESSMENTS)
 def _(c):
     return M.merge_columns(c, KEYS, ["score", "correct"]).withColumns({n: F.col(n).cast("double") for n in ("correct", "attempts")})
 
@@ -271,12 +298,22 @@ def _(s, u):
 
 # streams
 
-@query("str2_rate_limit", "v_requests", sql="SELECT account, route, time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS n, count(*) > CASE route WHEN 'view' THEN 2 WHEN 'click' THEN 2 ELSE 1 END AS limited FROM v_requests GROUP BY account, route, time_bucket(INTERVAL '1 minute', ts)")
-def _(r):
-    return R.rate_limit(r)
+@query("str2_rate_limit", sql="SELECT bucket, route, time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS n, count(*) > CASE route WHEN 'view' THEN 2 WHEN 'click' THEN 2 ELSE 1 END AS limited FROM v_requests GROUP BY bucket, route, time_bucket(INTERVAL '1 minute', ts)")
+def _(spark, sf_dir):
+    r = view(spark, sf_dir, "v_requests").withColumn("bucket", R.bucket(F.col("token_valid"), F.col("account"), F.col("forwarded")))
+    return R.limited_windows(r, shared(spark, "requests"))
+
+
+LOCKOUTS = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ms, event_id) AS i FROM v_logins),
+    s(account, i, event_id, ms, failure, rejected, failures, final, until) AS (SELECT DISTINCT account, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, false, CAST(0 AS INT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM n
+    UNION ALL SELECT account, i, event_id, ms, failure, rejected, c, CASE WHEN rejected THEN final WHEN failure THEN ms ELSE -1 END, CASE WHEN rejected THEN until WHEN NOT failure THEN -1 WHEN c >= 10 THEN ms + 300000 ELSE until END
+      FROM (SELECT n.account, n.i, n.event_id, n.ms, n.failure, n.ms < s.until AS rejected, s.final, s.until,
+                   CASE WHEN n.ms < s.until THEN s.failures WHEN NOT n.failure THEN 0 WHEN s.final < 0 OR n.ms - s.final > 1200000 THEN 1 ELSE s.failures + 1 END AS c
+            FROM s JOIN n ON n.account = s.account AND n.i = s.i + 1))
+    SELECT event_id, account, CASE WHEN rejected THEN 'rejected' WHEN NOT failure THEN 'ok' WHEN failures >= 10 THEN 'locked' ELSE 'failed' END AS outcome, failures FROM s WHERE i > 0"""
 
 
-@query("str3_login_lockout", "v_logins")
+@query("str3_login_lockout", "v_logins", sql=LOCKOUTS)
 def _(x):
     return R.login_lockout(x)
 
@@ -295,24 +332,38 @@ def _(c):
     return R.token_validity(e).select("seq", "valid")
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lernwerk-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("str1_stream_upserts", sql=UPSERT_SQL)
 def _(spark, sf_dir):
-    root = _shared(spark, "changes")
     changes = _changes(view(spark, sf_dir, "v_changes")).select(*KEYS, "score", "version", "seq")
-    changes.repartitionByRange(4, "seq").write.parquet(f"{root}/in")
-    return R.replay(changes, f"{root}/in", f"{root}/state", f"{root}/marks", KEYS, ["score"]).select(*KEYS, "score", "seq")
+    return R.kept_table(changes, KEYS, lambda d: M.upsert_documents(d, KEYS, ["score"]), shared(spark, "documents")).select(*KEYS, "score", "seq")
 
 
-@query("str6_live_cohort", "v_submissions", "v_users", sql=f"SELECT owner, {METRICS} FROM {ROWS} WHERE owner IN (SELECT email FROM v_users WHERE status = 'active') GROUP BY owner")
-def _(s, u):
-    roster = u.where("status = 'active'").select(F.col("email").alias("owner"))
-    rows = cohort.submission_rows(s).join(roster, "owner", "left_semi")
-    return cohort.submission_metrics(rows, [["owner"]]).drop("module", "level")
+@query("str1_stream_progress", sql=ORACLE_PROGRESS)
+def _(spark, sf_dir):
+    changes = view(spark, sf_dir, "v_changes").select(*KEYS, "score", "seq")
+    return R.kept_table(changes, KEYS, lambda d: M.last_arrival(d, KEYS, ["score"]), shared(spark, "progress"))
+
+
+@query("str1_stream_assessments", sql=ORACLE_ASSESSMENTS)
+def _(spark, sf_dir):
+    columns = [*KEYS, "score", "correct", "attempts", "seq"]
+    changes = view(spark, sf_dir, "v_changes").select(*columns)
+    # what is kept of a key comes before all changes to it
+    kept = R.kept_table(changes, KEYS, lambda d: M.merge_columns(d, KEYS, ["score", "correct"]).withColumn("seq", F.lit(-1).cast("long")).select(*columns), shared(spark, "assessments"))
+    return kept.drop("seq").withColumns({n: F.col(n).cast("double") for n in ("correct", "attempts")})
+
+
+@query("str6_live_cohort", sql=f"""WITH live AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY owner, module, activity ORDER BY ts DESC, sub_id DESC, total_tests DESC NULLS LAST, final_aes DESC NULLS LAST) AS place FROM v_submissions) WHERE place = 1)
+    SELECT owner, {METRICS} FROM {ROWS.replace("v_submissions", "live")} WHERE owner IN (SELECT email FROM v_users WHERE status = 'active') GROUP BY owner""")
+def _(spark, sf_dir):
+    root, keys = shared(spark, "cohort"), ["owner", "module", "activity"]
+    subs = view(spark, sf_dir, "v_submissions")
+    newest = F.struct("ts", "sub_id", "total_tests", "final_aes")
+    latest = lambda d: d.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in subs.columns if c not in keys]), newest).alias("v")).select(*keys, "v.*").select(*subs.columns)
+    held, parts = R.BucketedTable(spark, f"{root}/submissions", keys), R.BucketedTable(spark, f"{root}/parts", R.PARTS)
+    R.arrivals(subs, "ts", root, R.cohort_sink(held, parts, latest))
+    roster = view(spark, sf_dir, "v_users").where("status = 'active'").select(F.col("email").alias("owner"))
+    return cohort.roll_up(parts.read().join(roster, "owner", "left_semi"), [["owner"]]).drop("module", "level")
 
 
 # graphs
@@ -388,9 +439,22 @@ def _(s):
     return d.select("owner", F.col("doc.moduleId").alias("module"), F.col("doc.activityId").alias("activity"), "doc.type", "doc.status", "doc.final_aes", "doc.rog", "doc.code_unchanged", F.col("doc.timestamp").alias("ts"))
 
 
-@query("src4_unpack_document", "events", sql="SELECT event_id, user_id, CAST(props->>'$.k' AS INT) AS k FROM events")
+@query("src4_unpack_document", "events", sql="""SELECT event_id, CAST(props->>'$.k' AS INT) AS k, CAST(event_id AS VARCHAR) AS _id, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE 'u' || CAST(user_id AS VARCHAR) END AS title,
+    coalesce(CASE WHEN event_id % 2 = 0 THEN user_id END, event_id % 7) AS "userId", coalesce(event_id % 7, user_id) AS owner_id FROM events""")
 def _(e):
-    return T.unpack_document(e.select("event_id", "user_id", F.lit(0).alias("k"), "props"), "props", {"k": "int"})
+    doc = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"title":"x",'), F.substr("props", F.lit(2)))).otherwise(F.col("props"))
+    rows = e.select("event_id", F.lit(0).alias("k"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("userId"), (F.col("event_id") % 7).alias("owner_id"), doc.alias("doc"))
+    return T.unpack_document(rows, "doc", {"k": "int", "title": "string"}, id_col="event_id", owners=("userId", "owner_id"))
+
+
+@query("fn3_json", "v_changes", sql="""SELECT seq, seq % 10 AS a, CASE WHEN seq % 2 = 0 THEN 'new' ELSE 'old' END AS b, CAST(props->>'$.k' AS BIGINT) AS k, seq % 5 AS deep, CASE WHEN seq % 3 = 0 THEN 7 END AS kept FROM v_changes""")
+def _(c):
+    old = S.json_merge(F.to_json(F.struct((F.col("seq") % 10).alias("a"), F.lit("old").alias("b"))), F.col("props"))
+    doc = S.json_merge(old, F.when(F.col("seq") % 2 == 0, F.lit('{"b":"new"}')))
+    doc = S.json_set(F.when(F.col("seq") % 3 == 0, S.json_merge(doc, F.lit('{"m":{"n":{"kept":7}}}'))).otherwise(doc), ["m", "n", "deep"], (F.col("seq") % 5).cast("string"))
+    v = F.parse_json(doc)
+    got = lambda path, kind: F.try_variant_get(v, path, kind)
+    return c.select("seq", got("$.a", "long").alias("a"), got("$.b", "string").alias("b"), got("$.k", "long").alias("k"), got("$.m.n.deep", "long").alias("deep"), got("$.m.n.kept", "int").alias("kept"))
 
 
 BLOB = "SELECT email, item, CASE WHEN min(seq) % 4 = 0 THEN 'bad' ELSE CAST(min(seq) AS VARCHAR) END AS v FROM v_changes GROUP BY email, item"
@@ -416,19 +480,83 @@ def _(c, u):
 
 @query("src1_snk1_chunks", sql="SELECT CAST(doc_id AS VARCHAR) AS id, lang AS name, source AS code FROM v_code")
 def _(spark, sf_dir):
-    root = _shared(spark, "chunks")
+    root = shared(spark, "chunks")
     rows = view(spark, sf_dir, "v_code").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"), F.col("source").alias("code"))
     T.write_chunks(rows.where("cast(id as long) % 2 = 0").withColumn("code", F.lit("old")), f"{root}/a", "id")
     T.write_chunks(rows, f"{root}/b", "id", old=spark.read.schema("id string, name string, code string").json(f"{root}/a"))
     return spark.read.schema("id string, name string, code string").json(f"{root}/b")
 
 
-@query("snk2_report_tables", sql=f"SELECT coalesce(module, 'unknown') AS module, {METRICS} FROM {ROWS} GROUP BY 1")
-def _(spark, sf_dir):
-    root = _shared(spark, "report")
+def _sheet(spark: SparkSession, sf_dir: str, sheet: str) -> DataFrame:
+    """A sheet of two days, of which the second was written twice."""
+    root = shared(spark, "report")
     rows = cohort.submission_rows(view(spark, sf_dir, "v_submissions"))
-    T.write_report_tables(T.report_tables(rows, cohort.submission_metrics(rows)), root)
-    return spark.read.parquet(f"{root}/by_module").drop("owner")
+    tables = T.report_tables(rows, cohort.submission_metrics(rows), view(spark, sf_dir, "v_users"), *pre_post(view(spark, sf_dir, "v_assessments")))
+    one = {sheet: tables[sheet]}
+    T.write_report_tables(one, root, "2026-01-01")
+    T.write_report_tables({sheet: tables[sheet].limit(0 if sheet == "summary" else 1)}, root, "2026-01-02")
+    T.write_report_tables(one, root, "2026-01-02")
+    return spark.read.parquet(f"{root}/{sheet}").withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
+def _dated(sql: str) -> str:
+    return f"SELECT * FROM ({sql}) CROSS JOIN (SELECT unnest(['2026-01-01', '2026-01-02']) AS snapshot_date)"
+
+
+NAMED_ROWS = f"(SELECT * REPLACE (coalesce(module, 'unknown') AS module) FROM {ROWS})"
+
+
+@query("snk2_report_tables", sql=_dated(f"SELECT module, {METRICS} FROM {NAMED_ROWS} GROUP BY 1"))
+def _(spark, sf_dir):
+    return _sheet(spark, sf_dir, "by_module").drop("owner")
+
+
+@query("snk2_summary", sql=_dated(f"SELECT {METRICS} FROM {ROWS}"))
+def _(spark, sf_dir):
+    return _sheet(spark, sf_dir, "summary").drop("owner", "module")
+
+
+@query("snk2_by_respondent", sql=_dated(f"SELECT owner, {METRICS} FROM {ROWS} GROUP BY 1"))
+def _(spark, sf_dir):
+    return _sheet(spark, sf_dir, "by_respondent").drop("module")
+
+
+@query("snk2_detail", sql=_dated(f"SELECT owner, module, {METRICS} FROM {NAMED_ROWS} GROUP BY 1, 2"))
+def _(spark, sf_dir):
+    return _sheet(spark, sf_dir, "detail")
+
+
+@query("snk2_submissions", sql=_dated(f"SELECT sub_id, owner, module, activity, final_aes, tsr_passed, tsr_total, rog_value, done FROM {ROWS}"))
+def _(spark, sf_dir):
+    return _sheet(spark, sf_dir, "submissions").select("sub_id", "owner", "module", "activity", "final_aes", "tsr_passed", "tsr_total", "rog_value", "done", "snapshot_date")
+
+
+@query("snk2_pairs", sql=_dated(f"SELECT email, pre, post, post - pre AS difference FROM (SELECT email FROM v_users) LEFT JOIN ({PAIRS}) USING (email)"))
+def _(spark, sf_dir):
+    return _sheet(spark, sf_dir, "pairs")
+
+
+@query("src1_scan_ground_truth", sql="SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 6 < 4 THEN 'processed' ELSE 'raw' END AS name, 'ground_truth_chunk_' || CAST(doc_id % 6 AS VARCHAR) || '.json' AS source_file, len(code) AS n_chars FROM v_code")
+def _(spark, sf_dir):
+    """Two folders of chunk files; four of six chunks are in both."""
+    root = shared(spark, "truth")
+    rows = view(spark, sf_dir, "v_code").withColumn("chunk", F.col("doc_id") % 6)
+    for name, where in (("raw", "true"), ("processed", "chunk < 4")):
+        record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit(name).alias("name"), "code"))
+        T.write_arrays(rows.where(where).select("chunk", record.alias("record")), f"{root}/{name}", "ground_truth_chunk_{}.json")
+    found = T.scan_ground_truth(spark, [f"{root}/processed", f"{root}/raw"])
+    return found.select("id", "name", "source_file", F.char_length("code").cast("long").alias("n_chars"))
+
+
+@query("src2_scan_csv", sql=f"SELECT doc_id, ({NINE})[doc_id % 9 + 1] AS time, ({NINE})[doc_id % 7 + 1] AS space FROM v_code WHERE doc_id % 10 <> 9")
+def _(spark, sf_dir):
+    """Codes with quotes, commas and line ends, written as a CSV file and read again."""
+    path = shared(spark, "labelled")
+    pick = lambda k: F.element_at(F.array(*map(F.lit, NINE)), (F.col("doc_id") % k + 1).cast("int"))
+    c = view(spark, sf_dir, "v_code")
+    text = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit('\nprint("a, b")\n'), F.regexp_replace(F.coalesce("code", F.lit("")), r"O\(", ""), F.lit(","), pick(9), F.lit(","), F.when(F.col("doc_id") % 10 == 9, "O(odd)").otherwise(pick(7)))
+    c.select(text.alias("code")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return T.scan_labelled_csv(spark, path, NINE).select(F.col("name").cast("long").alias("doc_id"), "time", "space")
 
 
 @query("fn3_scalars", "v_changes", sql="""SELECT seq, replace(upper(trim(' ' || item || ' ')), 'K', 'q') AS text, contains(email, '@x') AS inside, string_split(email, '@')[2] AS host, regexp_extract(email, '[0-9]+') AS digits,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import datasets as D
 from ..operators import evaluation as E
-from .catalog import query
+from .catalog import query, shared
 from .learners import golden_sql
+from .views import view
 
 COLUMNS = ("expected_time", "expected_space", "predicted_time", "predicted_space")
 NAMES = f"names AS (SELECT label, {golden_sql('label', 2)} AS folded FROM ({' UNION '.join(f'SELECT {c} AS label FROM v_predictions' for c in COLUMNS)}))"
@@ -94,7 +95,7 @@ def _(p):
 LATENCY = ("mean_ms", "median_ms", "p95_ms", "max_ms", "programs_per_s", "lines_per_s")
 
 
-@query("agg20_latency_stats", "v_predictions", sql="SELECT source_file, round(avg(ms), 9) AS mean_ms, round(quantile_cont(ms, 0.5), 9) AS median_ms, round(quantile_cont(ms, 0.95), 9) AS p95_ms, round(max(ms), 9) AS max_ms, round(count(*) / (sum(ms) / 1000), 9) AS programs_per_s, round(sum(n_lines) / (sum(ms) / 1000), 9) AS lines_per_s FROM v_predictions GROUP BY source_file")
+@query("agg20_latency_stats", "v_predictions", sql="SELECT source_file, round(avg(ms), 9) AS mean_ms, round(quantile_cont(ms, 0.5), 9) AS median_ms, round(quantile_cont(ms, 0.95), 9) AS p95_ms, round(max(ms), 9) AS max_ms, round(count(*) / (sum(ms) / 1000), 9) AS programs_per_s, round(sum(n_lines) / (sum(ms) / 1000), 9) AS lines_per_s, max(memory_mb) AS peak_mb, round(avg(memory_mb), 9) AS mean_mb FROM v_predictions GROUP BY source_file")
 def _(p):
     return E.latency_stats(p, ["source_file"]).withColumns({c: F.round(c, 9) for c in LATENCY})
 
@@ -145,7 +146,23 @@ def _(p):
     return E.busiest_strata(p, "source_file", 3)
 
 
-@query("jn5_align_lines", "v_predicted_lines", "v_expected_lines")
+ALIGNED = """WITH RECURSIVE a AS (SELECT program, lineno, label FROM v_predicted_lines), e AS (SELECT program, lineno, label FROM v_expected_lines),
+    free AS (SELECT program, list(lineno) AS lines FROM a ANTI JOIN e USING (program, lineno) GROUP BY program),
+    want AS (SELECT program, lineno, row_number() OVER (PARTITION BY program ORDER BY lineno) AS i FROM e ANTI JOIN a USING (program, lineno)),
+    s(program, i, taken, line, got) AS (SELECT program, CAST(0 AS BIGINT), CAST([] AS INT[]), CAST(NULL AS INT), CAST(NULL AS INT) FROM free
+      UNION ALL SELECT program, i, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got) END, line, got FROM (
+        SELECT s.program, want.i, s.taken, CAST(want.lineno AS INT) AS line,
+               CAST(list_filter([want.lineno + 1, want.lineno - 1, want.lineno + 2, want.lineno - 2, want.lineno + 3, want.lineno - 3, want.lineno + 4, want.lineno - 4, want.lineno + 5, want.lineno - 5],
+                                lambda x: list_contains(free.lines, x) AND NOT list_contains(s.taken, x))[1] AS INT) AS got
+        FROM s JOIN want ON s.program = want.program AND want.i = s.i + 1 JOIN free ON free.program = s.program)),
+    moved AS (SELECT program, got AS lineno, line FROM s WHERE got IS NOT NULL),
+    rest AS (SELECT program, lineno, a.label AS actual, e.label AS expected, coalesce(e.there, false) AS wanted FROM a FULL JOIN (SELECT *, true AS there FROM e) e USING (program, lineno))
+    SELECT program, lineno, CASE WHEN wanted THEN lineno END AS expected_line, expected, actual FROM rest
+    WHERE (program, lineno) NOT IN (SELECT program, lineno FROM moved UNION ALL SELECT program, line FROM moved)
+    UNION ALL SELECT m.program, m.lineno, m.line, e.label, a.label FROM moved m JOIN e ON m.program = e.program AND m.line = e.lineno JOIN a ON m.program = a.program AND m.lineno = a.lineno"""
+
+
+@query("jn5_align_lines", "v_predicted_lines", "v_expected_lines", sql=ALIGNED)
 def _(a, e):
     return E.align_lines(a, e)
 
@@ -164,6 +181,13 @@ def _(c):
     return D.drop_niche(D.drop_blank(c, "code"), "source", ["src1$", "src7"]).select("doc_id", "lang")
 
 
+@query("prj24_observed_counts", sql="SELECT count(*) AS rows, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND niche) AS niche, count(*) FILTER (NOT blank AND NOT niche) AS kept FROM (SELECT trim(coalesce(code, '')) = '' AS blank, regexp_matches(replace(lower(source), ' ', ''), 'src1$|src7') AS niche FROM v_code)")
+def _(spark, sf_dir):
+    rows, seen = D.clean(view(spark, sf_dir, "v_code"), "code", "source", ["src1$", "src7"])
+    rows.write.parquet(shared(spark, "clean"))
+    return spark.createDataFrame([seen.get], "rows long, blank long, niche long, kept long")
+
+
 @query("prj25_source_lines", "v_code", sql="SELECT doc_id, len(string_split(code, chr(10))) AS n_lines, len(list_filter(string_split(code, chr(10)), lambda l: NOT regexp_matches(l, '^\\s*(#|$)'))) AS code_lines FROM v_code")
 def _(c):
     kept = D.code_lines(c).groupBy("doc_id").agg(F.count("*").alias("k"))
@@ -196,6 +220,19 @@ def _(a):
     return rounded(D.growth_class(c), "slope")
 
 
+DRIVEN = "SELECT owner AS key, CAST(substr(activity, 2) AS INT) + 5 AS n, CAST(aes AS BIGINT) % 3 AS driver, count(*) AS count FROM v_attempts GROUP BY ALL"
+
+
+@query("agg24_label_mismatches", "v_attempts", sql=f"""WITH c AS (SELECT key, n, max(count) AS count FROM ({DRIVEN}) GROUP BY key, n),
+      g AS (SELECT key, CASE WHEN regr_sxx(ln(count), ln(n)) > 0 THEN regr_slope(ln(count), ln(n)) END AS slope, arg_max(count, n) AS last, list(count ORDER BY n DESC)[2] AS before FROM c GROUP BY key),
+      m AS (SELECT key, last, CASE WHEN last / before >= 5 THEN 'O(n!)' WHEN slope < 0.4 THEN 'O(1)' WHEN slope < 1.5 THEN 'O(n)' ELSE 'O(n^2)' END AS measured, CASE WHEN last % 2 = 0 THEN 'O(n)' ELSE 'O(1)' END AS label FROM g)
+      SELECT key, label, measured FROM m WHERE NOT (label = measured OR (label = 'O(n)' AND measured = 'O(1)' AND last <= 8))""")
+def _(a):
+    c = a.groupBy(F.col("owner").alias("key"), (F.substring("activity", 2, 9).cast("int") + 5).alias("n"), (F.col("aes").cast("long") % 3).alias("driver")).agg(F.count("*").alias("count"))
+    top = c.groupBy("key", "n").agg(F.max("count").alias("count")).groupBy("key").agg(F.max_by("count", "n").alias("last"))
+    return D.label_mismatches(c, top.select("key", F.when(F.col("last") % 2 == 0, "O(n)").otherwise("O(1)").alias("label")))
+
+
 @query("agg31_dedupe_identical", "v_code", sql="SELECT doc_id, lang FROM v_code WHERE doc_id IN (SELECT min(doc_id) FROM v_code GROUP BY coalesce(code, ''))")
 def _(c):
     return D.dedupe_identical(c, "code", "doc_id").select("doc_id", "lang")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # The nine classes, in their canonical order, and spellings met in labels.
@@ -17,7 +19,7 @@ def pick(expr: str, values: list[str]) -> str:
 
 SUB_ID = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
 
-#: Texts hold {table} and {view} names, and {ms:column} for epoch milliseconds.
+#: Texts hold {table} and {view} names, {ms:column} for epoch milliseconds and {at:column} for their timestamp.
 VIEWS: dict[str, str] = {
     "v_users": """
         SELECT c_custkey AS user_key, 'u' || CAST(c_custkey AS STRING) || '@x.org' AS email, c_name AS name,
@@ -65,7 +67,7 @@ VIEWS: dict[str, str] = {
                {pick("l_partkey", NINE)} AS expected_time, {pick("l_suppkey", NINE)} AS expected_space,
                CASE WHEN l_linenumber % 3 = 0 THEN {pick("(l_partkey + l_linenumber)", SPELLINGS)} ELSE {pick("l_partkey", NINE)} END AS predicted_time,
                CASE WHEN l_linenumber % 2 = 0 THEN {pick("(l_suppkey + l_linenumber)", SPELLINGS)} ELSE {pick("l_suppkey", NINE)} END AS predicted_space,
-               l_partkey % 37 = 0 AS failed, l_extendedprice / 1000 AS ms, CAST(l_quantity AS INT) AS n_lines
+               l_partkey % 37 = 0 AS failed, l_extendedprice / 1000 AS ms, CAST(l_quantity AS INT) AS n_lines, l_quantity / 2 + l_discount * 100 AS memory_mb
         FROM {{lineitem}}""",
     "v_expected_lines": f"SELECT l_orderkey AS program, l_linenumber AS lineno, max({pick('l_partkey', NINE)}) AS label FROM {{lineitem}} WHERE l_partkey % 5 <> 0 GROUP BY l_orderkey, l_linenumber",
     "v_predicted_lines": f"SELECT l_orderkey AS program, l_linenumber AS lineno, max({pick('(l_partkey + l_linenumber % 2)', NINE)}) AS label, max(l_suppkey % 6 = 0) AS is_comment FROM {{lineitem}} WHERE l_partkey % 4 <> 0 GROUP BY l_orderkey, l_linenumber",
@@ -80,11 +82,19 @@ VIEWS: dict[str, str] = {
                value AS score, CASE WHEN event_id % 11 = 0 THEN CAST(0 AS BIGINT) WHEN event_id % 13 = 0 THEN NULL ELSE {ms:ts} + event_id * 7919 % 100000000 END AS version,
                event_id AS seq, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id * 31 % 6 AS INT) END AS attempts,
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 10 AS INT) END AS correct, event_id % 5 = 0 AS passed, event_type, props FROM {events}""",
-    "v_requests": "SELECT event_id, ts, {ms:ts} AS ms, 'u' || CAST(user_id AS STRING) AS account, event_type AS route FROM {events}",
-    "v_logins": """SELECT event_id, ts, {ms:ts} AS ms, 'u' || CAST(user_id AS STRING) AS account, event_type = 'error' AS failure
-                   FROM {events} WHERE event_type IN ('error', 'signup')""",
-    "v_edges": """SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS program, CAST(l_partkey % 40 AS INT) AS caller, CAST((l_partkey * 7 + l_linenumber) % 40 AS INT) AS callee
-                  FROM {lineitem}""",
+    # Events of a month within hours, of few accounts: quotas are met often. Every fourth request has no valid token.
+    "v_requests": """SELECT event_id, {at:ms} AS ts, ms, account, address || ', 192.168.0.1' AS forwarded, event_id % 4 <> 0 AS token_valid, route,
+                     CASE WHEN event_id % 4 <> 0 THEN account ELSE address END AS bucket
+                     FROM (SELECT event_id, 1700000000000 + {ms:ts} % 2592000000 % 9000000 AS ms, 'u' || CAST(user_id % 40 AS STRING) AS account,
+                           '10.0.0.' || CAST(user_id % 9 AS STRING) AS address, event_type AS route FROM {events}) r""",
+    # Every third account fails nearly always.
+    "v_logins": """SELECT event_id, {at:ms} AS ts, ms, account, failure FROM (SELECT event_id, 1700000000000 + {ms:ts} % 2592000000 % 18000000 AS ms, 'u' || CAST(user_id AS STRING) AS account,
+                   CASE WHEN user_id % 3 = 0 THEN event_id % 20 <> 0 ELSE event_type = 'error' END AS failure FROM {events}) l""",
+    # Programs of thousands of functions: modules of 25 that call within, and into the next of their four.
+    "v_edges": """SELECT DISTINCT program, CAST(caller AS INT) AS caller,
+                  CAST(caller - caller % 25 + CASE WHEN l_linenumber > 5 AND caller % 100 < 75 THEN 25 ELSE 0 END + (l_orderkey * 3 + l_suppkey + l_linenumber * 5) % 25 AS INT) AS callee
+                  FROM (SELECT CAST(l_suppkey - l_suppkey % 10 AS BIGINT) AS program, (l_partkey * 37 + l_orderkey * 11 + l_linenumber * 7) % 5000 AS caller, l_orderkey, l_suppkey, l_linenumber
+                        FROM {lineitem}) e""",
     "v_calls": """SELECT CAST(l_suppkey AS BIGINT) AS program, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE 'f' || CAST(l_partkey % 40 AS STRING) END AS caller,
                   CASE WHEN l_linenumber = 7 THEN 'print' ELSE 'f' || CAST((l_partkey * 7 + l_linenumber) % 40 AS STRING) END AS callee, l_linenumber AS line FROM {lineitem}""",
     "v_code": "SELECT doc_id, text AS code, lang, source FROM {documents}",
@@ -95,19 +105,18 @@ def _names(text: str) -> set[str]:
     return {n for n in (*TABLES, *VIEWS) if "{" + n + "}" in text}
 
 
+def _macro(text: str, name: str, form: str) -> str:
+    """Put ``form`` in place of {name:column}."""
+    return re.sub(r"\{" + name + r":(\w+)\}", lambda m: form.format(m[1]), text)
+
+
 def spark_text(text: str) -> str:
-    while "{ms:" in text:
-        a, _, rest = text.partition("{ms:")
-        column, _, b = rest.partition("}")
-        text = f"{a}(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column}) DIV 1000){b}"
-    return text
+    text = _macro(text, "ms", "(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {}) DIV 1000)")
+    return _macro(text, "at", "timestampadd(MILLISECOND, {}, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
 
 
 def duck_text(text: str) -> str:
-    while "{ms:" in text:
-        a, _, rest = text.partition("{ms:")
-        column, _, b = rest.partition("}")
-        text = f"{a}(epoch_us({column}) // 1000){b}"
+    text = _macro(_macro(text, "ms", "(epoch_us({}) // 1000)"), "at", "make_timestamp({} * 1000)")
     for n in _names(text):
         text = text.replace("{" + n + "}", n)
     return text

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +10,42 @@ TRUTH = "id string, name string, code string, expected_overall_time string, expe
 SUBMISSION = "moduleId string, activityId string, type string, status string, final_aes double, rog double, code_unchanged boolean, timestamp long"
 
 
+def files_by_precedence(spark: SparkSession, folders: list[str], pattern: str) -> list[str]:
+    """Paths of the files that match; of files with one name only that of the first folder. Names are listed, nothing is opened."""
+    jvm, conf, first = spark._jvm, spark._jsc.hadoopConfiguration(), {}
+    for folder in folders:
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+        for found in where.getFileSystem(conf).globStatus(where) or []:
+            first.setdefault(found.getPath().getName(), found.getPath().toString())
+    return [first[n] for n in sorted(first)]
+
+
 def scan_ground_truth(spark: SparkSession, folders: list[str], pattern: str = "ground_truth_chunk_*.json") -> DataFrame:
-    """Records of all chunk files, each with its file's name; of files with one name only those of the first folder."""
-    parts = [spark.read.schema(TRUTH).option("multiLine", True).option("pathGlobFilter", pattern).json(f).withColumn("source_file", F.col("_metadata.file_name")).withColumn("place", F.lit(i)) for i, f in enumerate(folders)]
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    first = rows.groupBy("source_file").agg(F.min("place").alias("place"))
-    return rows.join(first, ["source_file", "place"], "left_semi").drop("place")
+    """Records of all chunk files, each with its file's name; of files with one name only those of the first folder, the others are not opened.
+
+    Each file holds one JSON array; records without an id are passed over. Without any file it is an error.
+    """
+    if not (paths := files_by_precedence(spark, folders, pattern)):
+        raise FileNotFoundError(f"no {pattern} in {folders}")
+    return spark.read.schema(TRUTH).option("multiLine", True).json(paths).withColumn("source_file", F.col("_metadata.file_name")).where("id is not null")
+
+
+def write_arrays(rows: DataFrame, folder: str, name: str) -> None:
+    """One file for each ``chunk``, named by ``name``, that holds its JSON texts (``record``) as one array, a line each.
+
+    A chunk goes to one file and so through one task, which streams it; the driver renames as many files as there are chunks.
+    """
+    spark = rows.sparkSession
+    opening = rows.select("chunk").distinct().select("chunk", F.lit(0).alias("at"), F.lit("[").alias("line"))
+    body = rows.select("chunk", F.lit(1).alias("at"), F.concat("record", F.lit(",")).alias("line"))
+    closing = opening.select("chunk", F.lit(2).alias("at"), F.lit("{}]").alias("line"))  # an empty record ends the list
+    whole = opening.unionByName(body).unionByName(closing).repartition("chunk").sortWithinPartitions("chunk", "at")
+    whole.select("chunk", "line").write.partitionBy("chunk").text(f"{folder}-parts")
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = path(folder).getFileSystem(conf)
+    fs.mkdirs(path(folder))
+    for found in fs.globStatus(path(f"{folder}-parts/chunk=*/part-*")):
+        fs.rename(found.getPath(), path(f"{folder}/{name.format(found.getPath().getParent().getName().split('=')[1])}"))
 
 
 def split_labels(df: DataFrame, text: str, known: list[str]) -> DataFrame:
@@ -43,10 +71,22 @@ def scan_documents(df: DataFrame, column: str = "data", schema: str = SUBMISSION
     return df.withColumn("doc", F.from_json(column, schema)).drop(column)
 
 
-def unpack_document(df: DataFrame, column: str, members: dict[str, str]) -> DataFrame:
-    """Lift members of a JSON document to columns; they replace columns of their name."""
-    parsed = df.withColumn("__doc", F.from_json(column, ", ".join(f"`{k}` {t}" for k, t in members.items())))
-    return parsed.select(*[c for c in df.columns if c not in (*members, column)], *[F.col(f"__doc.{m}").alias(m) for m in members])
+def unpack_document(df: DataFrame, column: str, members: dict[str, str], id_col: str | None = None, owners: tuple[str, str] | None = None) -> DataFrame:
+    """Lift members of a JSON document to columns; a member that the document holds replaces a column of its name, null too.
+
+    With ``id_col`` there is ``_id``, its text. Of the two columns named by ``owners`` each fills the other where it is null or missing.
+    Documents are read as VARIANT, so a member of another type is null and the rest stays.
+    """
+    doc = df.withColumn("__doc", F.try_parse_json(column)).withColumn("__has", F.coalesce(F.json_object_keys(column), F.array().cast("array<string>")))
+    lifted = lambda m, kind: F.try_variant_get("__doc", f"$.{m}", kind)
+    one = lambda m, kind: F.when(F.array_contains("__has", m), lifted(m, kind)).otherwise(F.col(m).cast(kind)) if m in df.columns else lifted(m, kind)
+    out = doc.select(*[c for c in df.columns if c not in (*members, column)], *[one(m, k).alias(m) for m, k in members.items()])
+    if id_col is not None:
+        out = out.withColumn("_id", F.col(id_col).cast("string"))
+    if owners is not None:
+        a, b = ([F.col(c)] if c in out.columns else [] for c in owners)
+        out = out.withColumns({owners[0]: F.coalesce(*a, *b), owners[1]: F.coalesce(*b, *a)})
+    return out
 
 
 def migrate_blobs(legacy: DataFrame, users: DataFrame, target: DataFrame) -> DataFrame:
@@ -71,15 +111,16 @@ def write_chunks(df: DataFrame, path: str, key: str, size: int = 10, old: DataFr
     rows.write.option("maxRecordsPerFile", size).mode("overwrite").json(path)
 
 
-def report_tables(rows: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
-    """The sheets of the export, each from the submission grain."""
+def report_tables(rows: DataFrame, metrics: DataFrame, respondents: DataFrame, pre: DataFrame, post: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of the export, each from the submission grain but for ``pairs``: a row a respondent, with scores and their difference where both are there."""
     names = {3: "summary", 1: "by_module", 2: "by_respondent", 0: "detail"}
     out = {n: metrics.where(F.col("level") == k).drop("level") for k, n in names.items()}
-    return out | {"submissions": rows}
+    both = pre.join(post, "email").withColumn("difference", F.col("post") - F.col("pre"))
+    return out | {"submissions": rows, "pairs": respondents.select("email").join(both.select("email", "pre", "post", "difference"), "email", "left")}
 
 
-def write_report_tables(tables: dict[str, DataFrame], path: str) -> None:
+def write_report_tables(tables: dict[str, DataFrame], path: str, snapshot_date: str) -> None:
+    """One Parquet table a sheet, partitioned by ``snapshot_date``; writing a date again replaces that date alone."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
+        dated = df.withColumn("snapshot_date", F.lit(snapshot_date))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(f"{path}/{name}")

@@ -1,12 +1,15 @@
 """Golden rows, invariants and stream against batch."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from lernwerk import plans
-from lernwerk.functions import labels, student_t
-from lernwerk.operators import cohort, evaluation, graph, stats
+from lernwerk.functions import labels, scalars, student_t
+from lernwerk.operators import cohort, evaluation, graph, merge, quantiles, stats
 from lernwerk.plans.views import view
+from lernwerk.sources import tables
 from lernwerk.streaming import rules
 from oracle import SMALL
 from pyspark.sql import functions as F
@@ -155,9 +158,83 @@ def test_growth_limits(spark):
     assert n * np.log2(n) <= 1e7 < (n + 1) * np.log2(n + 1)
 
 
-def test_align_takes_nearest_free_line():
-    got = evaluation._align([(3, True, "a"), (4, True, "b"), (9, True, "c"), (3, False, "A"), (5, False, "B"), (20, False, "C")], 5)
-    assert [(r["lineno"], r["expected_line"], r["expected"], r["actual"]) for r in got] == [(3, 3, "A", "a"), (4, 5, "B", "b"), (9, None, None, "c"), (20, 20, "C", None)]
+def test_align_takes_nearest_free_line(spark):
+    line = "program int, lineno int, label string"
+    got = evaluation.align_lines(spark.createDataFrame([(1, 3, "a"), (1, 4, "b"), (1, 9, "c")], line), spark.createDataFrame([(1, 3, "A"), (1, 5, "B"), (1, 20, "C")], line))
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert sorted((r["lineno"], r["expected_line"], r["expected"], r["actual"]) for r in got.collect()) == [(3, 3, "A", "a"), (4, 5, "B", "b"), (9, None, None, "c"), (20, 20, "C", None)]
+
+
+def test_lines_in_rounds_as_one_after_the_other(spark):
+    rng = np.random.default_rng(12)
+    lines = {side: {p: sorted(rng.choice(60, 25, replace=False).tolist()) for p in range(6)} for side in "ae"}
+    want = set()
+    for p in range(6):
+        a, e = set(lines["a"][p]), set(lines["e"][p])
+        free = a - e
+        for line in sorted(e - a):
+            at = next((t for k in range(1, 6) for t in (line + k, line - k) if t in free), None)
+            if at is not None:
+                free.discard(at)
+                want.add((p, at, line))
+    tables = [spark.createDataFrame([(p, n, "x") for p in range(6) for n in lines[side][p]], "program int, lineno int, label string") for side in "ae"]
+    got = {tuple(r) for r in evaluation.align_lines(*tables).where("lineno <> expected_line").select("program", "lineno", "expected_line").collect()}
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize(("cells", "finish"), [(64, 20), (1024, 4096)])
+def test_quantiles_by_counting(spark, cells, finish):
+    rng = np.random.default_rng(13)
+    groups = {"a": rng.normal(0, 1, 500), "b": np.exp(rng.normal(0, 3, 300)), "c": np.repeat([1.0, 2.0], [200, 3]), None: np.array([5.0]), "d": np.array([-1e308, 1e308, 0.0, 1.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None), ("a", float("nan")), ("a", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["m"], r["p"]) for r in quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5, "p": 0.95}, cells, finish).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0.5, 0.95])) if k != "d" else (0.5, 0.85e308), rel=1e-9)
+    whole = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}, cells, finish).first()["m"]
+    assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+
+
+def test_pages_by_ranges(spark):
+    df = spark.createDataFrame([((i * 7) % 50, f"k{i}") for i in range(103)], "a int, b string").unionByName(spark.createDataFrame([(None, "z"), (None, "y")], "a int, b string"))
+    index = quantiles.page_index(df, ["a", "b"], 8)
+    order = [tuple(r) for r in df.orderBy("a", "b").collect()]
+    assert index.rows == 105
+    for n in (1, 2, 6, 11, 99):
+        got = [tuple(r) for r in quantiles.page(df, ["a", "b"], 10, n, index).collect()]
+        at = (min(n, 11) - 1) * 10
+        assert got == order[at : at + 10]
+    assert quantiles.page(df.limit(0), ["a"], 10, 1).count() == 0
+    with pytest.raises(ValueError):
+        evaluation.results_tab(df, "odd")
+
+
+def test_files_of_the_first_folder_hold(spark, tmp_path):
+    for folder, names in (("one", ["a", "b"]), ("two", ["b", "c"])):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / f"ground_truth_chunk_{n}.json").write_text(f'[{{"id": "{n}", "name": "{folder}"}},\n{{"id": "{n}2", "name": "{folder}"}}]')
+    folders = [str(tmp_path / f) for f in ("one", "two")]
+    got = {(r["id"], r["name"], r["source_file"]) for r in tables.scan_ground_truth(spark, folders).collect()}
+    assert got == {(f"{n}{k}", f, f"ground_truth_chunk_{n}.json") for n, f in (("a", "one"), ("b", "one"), ("c", "two")) for k in ("", "2")}
+    (tmp_path / "two/ground_truth_chunk_b.json").write_text("not read")
+    assert tables.scan_ground_truth(spark, folders).count() == 6
+    with pytest.raises(FileNotFoundError):
+        tables.scan_ground_truth(spark, [str(tmp_path)])
+
+
+def test_json_merge_and_set(spark):
+    docs = [('{"a":1,"b":{"c":2}}', '{"b":null,"d":[1]}'), (None, '{"x":1}'), ("[1]", None), ("bad", '{"x":1}')]
+    df = spark.createDataFrame(docs, "o string, n string")
+    assert [r[0] for r in df.select(scalars.json_merge(F.col("o"), F.col("n"))).collect()] == ['{"a":1,"b":null,"d":[1]}', '{"x":1}', "{}", '{"x":1}']
+    assert [r[0] for r in df.select(scalars.json_set(F.col("o"), ["b", "c"], F.lit("7"))).collect()] == ['{"a":1,"b":{"c":7}}', *['{"b":{"c":7}}'] * 3]
+
+
+def test_a_date_written_again_is_replaced_alone(spark, tmp_path):
+    for date, n in (("2026-01-01", 3), ("2026-01-02", 5), ("2026-01-01", 2)):
+        tables.write_report_tables({"sheet": spark.range(n)}, str(tmp_path), date)
+    assert Counter(str(r["snapshot_date"]) for r in spark.read.parquet(str(tmp_path / "sheet")).collect()) == {"2026-01-01": 2, "2026-01-02": 5}
 
 
 def test_graph_on_a_cycle(spark):
@@ -194,6 +271,61 @@ def test_session_gap_at_its_edge_continues(spark):
     assert sorted(r["n"] for r in rules.failure_bursts(df).collect()) == [1, 2]
 
 
+def test_bucket_of_a_request(spark):
+    rows = [(True, "Ann", "1.1.1.1, 2.2.2.2"), (False, "Ann", " 1.1.1.1 , 2.2.2.2"), (True, None, "3.3.3.3"), (False, "x", None), (None, "x", "")]
+    df = spark.createDataFrame(rows, "token_valid boolean, account string, forwarded string")
+    got = [r[0] for r in df.select(rules.bucket(F.col("token_valid"), F.col("account"), F.col("forwarded"))).collect()]
+    assert got == ["ann", "1.1.1.1", "3.3.3.3", "127.0.0.1", "127.0.0.1"]
+
+
+def test_late_requests_are_not_counted(spark, tmp_path):
+    at = lambda rows: spark.createDataFrame([("a", "view", t) for t in rows], "bucket string, route string, t string").select("bucket", "route", F.to_timestamp("t").alias("ts"))
+    days = [["2024-01-01 00:00:10", "2024-01-01 00:00:50", "2024-01-01 00:00:59", "2024-01-01 01:00:00"], ["2024-01-01 00:00:30", "2024-01-01 00:58:00"], ["2024-01-02 00:00:00"]]
+    for rows in days:  # the second batch has one row behind the watermark of ten minutes, and one within it
+        at(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("bucket string, route string, ts timestamp").parquet(str(tmp_path / "in"))
+        rules.run_to_end(rules.rate_limit(stream, watermark="10 minutes"), str(tmp_path / "out"), str(tmp_path / "marks"))
+    got = {(str(r["start"]), r["n"], r["limited"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-01 00:00:00", 3, True), ("2024-01-01 00:58:00", 1, False), ("2024-01-01 01:00:00", 1, False)}
+
+
+def test_fixtures_of_streams_meet_their_rules(spark):
+    assert plans.QUERIES["str2_rate_limit"](spark, SMALL).where("limited").count() > 20
+    outcomes = Counter(r["outcome"] for r in plans.QUERIES["str3_login_lockout"](spark, SMALL).collect())
+    assert outcomes["locked"] > 50 and outcomes["rejected"] > 50 and outcomes["ok"] > 50
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    table = rules.BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    rows = lambda ks, seq: spark.createDataFrame([(k, float(seq), seq) for k in ks], "k string, v double, seq long")
+    last = lambda d: merge.last_arrival(d, ["k"], ["v"])
+    names = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    table.merge(rows("abcdefgh", 0), last, 0)
+    first = names()
+    table.merge(rows("a", 1), last, 1)
+    table.merge(rows("a", 1), last, 1)  # the same batch again
+    assert first.items() <= names().items() and len({n for n in names() if "generation=1" in n}) == 1
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {("a", 1.0), *((k, 0.0) for k in "bcdefgh")}
+    table.merge(rows("a", 2), last, 2)
+    table.merge(rows("a", 3), last, 3)
+    assert {g for g in table.generations().values() for g in g} == {0, 2, 3} and {r["v"] for r in table.read().where("k = 'a'").collect()} == {3.0}
+
+
+def test_every_generation_of_the_cohort_equals_the_batch(spark, tmp_path):
+    keys = ["owner", "module", "activity"]
+    subs = view(spark, SMALL, "v_submissions").where("owner < 'u12'").cache()
+    latest = lambda d: d.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in subs.columns if c not in keys]), F.struct("ts", "sub_id", "total_tests", "final_aes")).alias("v")).select(*keys, "v.*").select(*subs.columns)
+    held, parts = rules.BucketedTable(spark, str(tmp_path / "s"), keys), rules.BucketedTable(spark, str(tmp_path / "p"), rules.PARTS)
+    sink = rules.cohort_sink(held, parts, latest)
+    seen = subs.limit(0)
+    for n in range(3):
+        batch = subs.where(F.pmod(F.xxhash64("sub_id"), F.lit(3)) == n)
+        seen = seen.unionByName(batch)
+        sink(batch, n)
+        sums = lambda df: {(r["module"], r["owner"], r["level"]): (r["attempted"], r["passed"], r["functional_total"], *(None if r[c] is None else round(r[c], 6) for c in ("aes", "rog", "tsr"))) for r in df.collect()}
+        assert sums(cohort.roll_up(parts.read())) == sums(cohort.submission_metrics(cohort.submission_rows(latest(seen))))
+
+
 def test_stream_upserts_equal_batch(spark):
     stream = {tuple(r) for r in plans.QUERIES["str1_stream_upserts"](spark, SMALL).collect()}
     assert stream == {tuple(r) for r in plans.QUERIES["mrg3_upsert_submissions"](spark, SMALL).collect()}
@@ -208,8 +340,78 @@ def test_sql_functions(spark):
 
 
 def test_edges_are_of_all_line_items(spark):
-    want = view(spark, SMALL, "lineitem").selectExpr("l_suppkey", "l_partkey % 40", "(l_partkey * 7 + l_linenumber) % 40").distinct().count()
-    assert view(spark, SMALL, "v_edges").count() == want
+    e = view(spark, SMALL, "v_edges")
+    want = view(spark, SMALL, "lineitem").selectExpr("l_suppkey - l_suppkey % 10 AS p", "(l_partkey * 37 + l_orderkey * 11 + l_linenumber * 7) % 5000 AS c").distinct()
+    assert e.select("program", "caller").distinct().count() == want.count()
+
+
+def test_fixtures_meet_their_rules(spark):
+    sizes = plans.QUERIES["gr5_clusters"](spark, SMALL).groupBy("program", "cluster").count().where("count > 1").count()
+    layers = plans.QUERIES["gr6_dependency_order"](spark, SMALL).agg(F.max("layer")).first()[0]
+    assert sizes > 20 and layers > 5
+    assert plans.QUERIES["gr3_dead_functions"](spark, SMALL).count() > 100 and plans.QUERIES["set3_set_difference"](spark, SMALL).count() > 100
+
+
+def brute_clusters(edges):
+    """Cluster, layer and way to a cycle of each node, by plain search."""
+    out, reach = {}, {}
+    names = {(p, n) for p, a, b in edges for n in (a, b)}
+    for p, n in names:
+        seen, todo = set(), [n]
+        while todo:
+            x = todo.pop()
+            for q, a, b in edges:
+                if (q, a) == (p, x) and a != b and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[p, n] = seen
+    cluster = {(p, n): min([n, *(m for m in reach[p, n] if n in reach[p, m])]) for p, n in names}
+    layer = {}
+
+    def height(p, c):
+        if (p, c) not in layer:
+            down = {cluster[p, b] for q, a, b in edges if q == p and cluster[p, a] == c} - {c}
+            layer[p, c] = 1 + max((height(p, d) for d in down), default=-1)
+        return layer[p, c]
+
+    for p, n in names:
+        out[p, n] = (cluster[p, n], height(p, cluster[p, n]), any(m in reach[p, m] for m in reach[p, n] | {n}))
+    return out
+
+
+def test_clusters_layers_and_cycles_by_search(spark):
+    rng = np.random.default_rng(9)
+    edges = {(int(p), int(a), int(b)) for p, a, b in zip(rng.integers(0, 4, 120), rng.integers(0, 40, 120), rng.integers(0, 40, 120), strict=True)}
+    edges |= {(9, i, i + 1) for i in range(12)} | {(9, 12, 0), (9, 3, 20), (9, 20, 3), (9, 30, 31), (9, 31, 32), (9, 32, 30), (9, 40, 0), (9, 7, 50)}
+    e = spark.createDataFrame(sorted(edges), "program long, caller int, callee int")
+    want = brute_clusters(edges)
+    named = {k: v[0] for k, v in want.items()}
+    assert {(r["program"], r["node"]): r["cluster"] for r in graph.clusters(e).collect()} == named
+    assert {(r["program"], r["node"]): r["cluster"] for r in graph.clusters(e, most_local=28).collect()} == named  # some by joins
+    assert {(r["program"], r["cluster"]): r["layer"] for r in graph.dependency_order(e).collect()} == {(p, v[0]): v[1] for (p, _), v in want.items()}
+    leads = {k for k, v in want.items() if v[2]}
+    assert {(r["program"], r["node"]) for r in graph.recursive_functions(e).where("indirect").collect()} == leads
+
+
+def test_joins_and_tasks_agree_on_a_large_program(spark):
+    e = spark.createDataFrame([(9, i, i + 1) for i in range(8)] + [(9, 8, 0), (9, 3, 20), (9, 20, 3), (9, 40, 0), (9, 7, 50), (9, 50, 51)], "program long, caller int, callee int")
+    roots = spark.createDataFrame([(9, 50)], "program long, node int")
+    both = lambda f: [Counter(tuple(sorted(r.asDict().items())) for r in f(n).collect()) for n in (0, 1 << 17)]
+    for f in (lambda n: graph.recursive_functions(e, n), lambda n: graph.dependency_order(e, most_local=n), lambda n: graph.reachable(e, roots, most_local=n)):
+        one, other = both(f)
+        assert one == other and one
+
+
+@pytest.mark.parametrize("most_local", [1000, 1 << 17])
+def test_a_chain_of_ten_thousand(spark, most_local):
+    n = 10_000
+    chain = spark.range(n).selectExpr("id % 1 AS program", "id AS caller", "id + 1 AS callee")
+    if most_local > n:
+        whole = graph.clusters(chain, most_local)
+        assert whole.count() == n + 1 and whole.where("node <> cluster").isEmpty()
+    ring = chain.unionByName(spark.createDataFrame([(0, n, 0), (0, 500, n + 7), (0, n + 7, 500)], chain.schema))
+    got = graph.clusters(ring, most_local)
+    assert got.count() == n + 2 and got.where("cluster <> 0").isEmpty()
 
 
 def test_live_and_dead_functions_by_search(spark):
@@ -263,18 +465,11 @@ def test_lockout_holds_one_batch_of_an_account(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_lockout_rows_are_merged_from_runs():
-    rng = np.random.default_rng(8)
-    rows = pd.DataFrame({"account": "a", "event_id": np.arange(2000), "ms": rng.integers(0, 500, 2000), "failure": True})
-    got = list(rules._sorted_rows(rows[i : i + 300] for i in range(0, 2000, 300)))
-    assert got == sorted(rows.itertuples(index=False, name=None), key=lambda r: (r[2], r[1]))
-
-
 def test_bounds_raise_and_do_not_shorten(spark):
     chain = spark.createDataFrame([(1, i, i + 1) for i in range(6)], "program long, caller int, callee int")
     roots = spark.createDataFrame([(1, 0)], "program long, node int")
-    assert graph.reachable(chain, roots, most_rounds=7).count() == 7
-    assert graph.dependency_order(chain, most_rounds=7).agg(F.max("layer")).first()[0] == 6
-    for short in (lambda: graph.reachable(chain, roots, most_rounds=3), lambda: graph.dependency_order(chain, most_rounds=3)):
+    assert graph.reachable(chain, roots, most_rounds=7, most_local=0).count() == 7
+    assert graph.dependency_order(chain, most_rounds=7, most_local=0).agg(F.max("layer")).first()[0] == 6
+    for short in (lambda: graph.reachable(chain, roots, most_rounds=3, most_local=0), lambda: graph.dependency_order(chain, most_rounds=3, most_local=0)):
         with pytest.raises(RuntimeError):
             short()
