@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 #: Steps of one call, one colour or one layer. A loop that is not done by then raises an error and gives no short result.
 MOST_STEPS = 100_000
@@ -221,7 +221,7 @@ def _solved(edges: DataFrame) -> DataFrame:
 def _trimmed(e: DataFrame) -> DataFrame:
     """Edges between nodes that are both called and calling; what falls off lies on no cycle."""
     both = e.select("program", F.col("caller").alias("node")).intersect(e.select("program", F.col("callee").alias("node")))
-    return cut(e.join(both.withColumnRenamed("node", "caller"), ["program", "caller"], "left_semi").join(both.withColumnRenamed("node", "callee"), ["program", "callee"], "left_semi"))
+    return written(e.join(both.withColumnRenamed("node", "caller"), ["program", "caller"], "left_semi").join(both.withColumnRenamed("node", "callee"), ["program", "callee"], "left_semi"))
 
 
 def _contracted(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -231,7 +231,7 @@ def _contracted(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Pointers along the paths double in every round. A thin node belongs to its ends' cluster if both have the same, else to none.
     """
     one = lambda side, other, name: e.groupBy("program", F.col(side).alias("node")).agg(F.count("*").alias("n"), F.min(other).alias(name)).where("n = 1").drop("n")
-    thin = cut(one("callee", "caller", "back").join(one("caller", "callee", "ahead"), ["program", "node"]).withColumn("low", F.col("node")))
+    thin = written(one("callee", "caller", "back").join(one("caller", "callee", "ahead"), ["program", "node"]).withColumn("low", F.col("node")))
     names = thin.select("program", F.col("node").alias("caller"))
     wide = e.join(names, ["program", "caller"], "left_anti").join(names.withColumnRenamed("caller", "callee"), ["program", "callee"], "left_anti")
     for _ in range(max(1, thin.count()).bit_length() + 1):
@@ -239,12 +239,12 @@ def _contracted(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         aft = thin.select("program", F.col("node").alias("back"), F.col("back").alias("back2"))
         far = thin.join(fore, ["program", "ahead"], "left").join(aft, ["program", "back"], "left")
         moved = F.col("ahead2").isNotNull() | F.col("back2").isNotNull()
-        thin = cut(far.select("program", "node", F.coalesce("back2", "back").alias("back"), F.coalesce("ahead2", "ahead").alias("ahead"), F.least("low", F.coalesce("low2", "low")).alias("low"), moved.alias("moved")))
+        thin = written(far.select("program", "node", F.coalesce("back2", "back").alias("back"), F.coalesce("ahead2", "ahead").alias("ahead"), F.least("low", F.coalesce("low2", "low")).alias("low"), moved.alias("moved")))
         if thin.where("moved").isEmpty():
             break
     paths = thin.where("not moved").select("program", "node", "back", "ahead")
     again = paths.select("program", F.col("back").alias("caller"), F.col("ahead").alias("callee")).where("caller <> callee")
-    return cut(wide.unionByName(again).distinct()), paths, thin.where("moved").select("program", "node", F.col("low").alias("cluster"))
+    return written(wide.unionByName(again).distinct()), paths, thin.where("moved").select("program", "node", F.col("low").alias("cluster"))
 
 
 def _coloured(e: DataFrame, most_rounds: int) -> DataFrame | None:
@@ -256,22 +256,22 @@ def _coloured(e: DataFrame, most_rounds: int) -> DataFrame | None:
         if e.isEmpty():
             return out
         # the largest name that reaches a node is its colour; a colour's own node and what reaches it inside the colour are a cluster
-        colours = cut(nodes(e).withColumn("colour", F.col("node")))
+        colours = written(nodes(e).withColumn("colour", F.col("node")))
         for _ in range(most_rounds):
             passed = e.join(colours.withColumnRenamed("node", "caller"), ["program", "caller"]).groupBy("program", F.col("callee").alias("node")).agg(F.max("colour").alias("sent"))
-            now = cut(colours.join(passed, ["program", "node"], "left").select("program", "node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("more")))
+            now = written(colours.join(passed, ["program", "node"], "left").select("program", "node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("more")))
             colours = now.drop("more")
             if now.where("more").isEmpty():
                 break
         else:
             raise RuntimeError(f"colours are still spreading after {most_rounds} rounds")
         same = e.join(colours.withColumnRenamed("node", "caller"), ["program", "caller"]).join(colours.withColumnRenamed("node", "callee"), ["program", "callee", "colour"])
-        back = cut(same.select("program", F.col("callee").alias("node"), F.col("caller").alias("callee")))
+        back = written(same.select("program", F.col("callee").alias("node"), F.col("caller").alias("callee")))
         roots = colours.where("node = colour").select("program", "node")
         whole = _reached(back, roots, most_rounds).join(colours, ["program", "node"]).select("program", "node", F.col("colour").alias("cluster"))
-        out = add(cut(whole))
+        out = add(written(whole))
         gone = whole.select("program", F.col("node").alias("caller"))
-        e = cut(e.join(gone, ["program", "caller"], "left_anti").join(gone.withColumnRenamed("caller", "callee"), ["program", "callee"], "left_anti"))
+        e = written(e.join(gone, ["program", "caller"], "left_anti").join(gone.withColumnRenamed("caller", "callee"), ["program", "callee"], "left_anti"))
     raise RuntimeError(f"nodes are still without a colour after {most_rounds} rounds")
 
 
@@ -280,7 +280,7 @@ def coloured_clusters(edges: DataFrame, most_rounds: int = MOST_STEPS) -> DataFr
 
     What is held is a row a node and a row an edge; no pairs of nodes that reach each other are made.
     """
-    e, undo, cycles = cut(edges.where("caller <> callee").select("program", "caller", "callee").distinct()), [], []
+    e, undo, cycles = written(edges.where("caller <> callee").select("program", "caller", "callee").distinct()), [], []
     size = None
     while size is None or (now := e.count()) < 0.9 * size:
         size = e.count() if size is None else now
@@ -295,7 +295,7 @@ def coloured_clusters(edges: DataFrame, most_rounds: int = MOST_STEPS) -> DataFr
         ends = paths.join(label("back"), ["program", "back"], "left").join(label("ahead"), ["program", "ahead"], "left")
         one = F.when(F.col("back") == F.col("ahead"), F.coalesce("of_back", "back")).otherwise(F.when(F.col("of_back") == F.col("of_ahead"), F.col("of_back")))
         inside = ends.select("program", "node", one.alias("cluster"), "back").where("cluster is not null")
-        found = cut(found.unionByName(inside.select("program", "node", "cluster")).unionByName(inside.select("program", F.col("back").alias("node"), "cluster")).distinct())
+        found = written(found.unionByName(inside.select("program", "node", "cluster")).unionByName(inside.select("program", F.col("back").alias("node"), "cluster")).distinct())
     least = found.groupBy("program", "cluster").agg(F.min("node").alias("least"))
     named = found.join(least, ["program", "cluster"]).select("program", "node", "least")
     return nodes(edges).join(named, ["program", "node"], "left").select("program", "node", F.coalesce("least", "node").alias("cluster"))

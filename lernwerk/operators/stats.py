@@ -121,5 +121,3 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataF
     """Correlation; null where either side does not vary."""
     varies = (F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0)
     return df.groupBy(*(by or [])).agg(F.when(varies, F.corr(a, b)).alias("r"))
-
-

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared
 from .views import view, with_views
 
+__all__ = ["ORACLES", "QUERIES", "query", "shared"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,9 +25,3 @@ def query(name: str, *views: str, sql: str | None = None) -> Callable:
         return f
 
     return register
-
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lernwerk-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lernwerk-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``cut`` for long loops: by a table, of whose columns the optimiser knows nothing.
+
+    A checkpoint carries on what was derived of its columns, and over many rounds of ``coalesce`` that grows until planning stands still.
+    """
+    path = shared(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     """A session for one machine; on a cluster the caller's own session is used as it is."""
     return (
