@@ -21,7 +21,11 @@ TRIM = ".,;:!?\"'()[]{}%&*$#|<>-_"
 #: Labelled documents of either class that fit the model, at most: those first by a hash of the id.
 FIT_ROWS = 1500
 SEGMENT = 48
-ROUNDS, RATE, DECAY = 80, 0.5, 1e-4
+RATE, DECAY = 2.0, 1e-4
+#: The fit ends when so many rounds have raised the training rows' likelihood by less than this share, or after the most rounds.
+PATIENCE, TOLERANCE, MOST_ROUNDS = 20, 5e-3, 2000
+#: Bytes of text that fit the model, at most; texts come in the order of a hash until they are reached.
+FIT_BYTES = 128 << 20
 #: A word is taken for offending where at least so many toxic documents hold it, in so many times the share of others, and where
 #: the log likelihood of that split over a split by chance reaches a level. Levels are tried on folds of the training texts.
 LEAST_COUNT, LEAST_ODDS = 3, 20.0
@@ -109,17 +113,22 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(ahead + back, -500, 500)))
 
     def fit(self, lengths: np.ndarray, features: np.ndarray, y: np.ndarray) -> None:
-        """Maximise the likelihood of labelled tokens by AdaGrad over all segments at once."""
+        """Maximise the likelihood of labelled tokens by AdaGrad over all segments at once, until it stands still."""
         first = np.zeros(len(features), bool)
         first[np.cumsum(lengths) - lengths] = True
         inner = np.flatnonzero(~first)
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[inner - 1], y[inner]), 1)
         sums = [np.full_like(self.words, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
-        n = self.words.shape[1]
-        for _ in range(ROUNDS):
+        n, last, told = self.words.shape[1], (np.cumsum(lengths) - 1), []
+        for _ in range(MOST_ROUNDS):
             s = self.emissions(lengths, features)
             ahead, back = self.logits(lengths, s)
+            # the forward pass in log odds leaves the plain state's sum as a factor at each step
+            reached = np.logaddexp(self.steps[0, 0], self.steps[1, 0] + ahead[inner - 1]).sum() + np.logaddexp(0, ahead[last]).sum()
+            told.append(float(y @ s + (seen * self.steps).sum() - reached))
+            if len(told) > PATIENCE and told[-1] - told[-1 - PATIENCE] < TOLERANCE * abs(told[-1]):
+                break
             p = 1 / (1 + np.exp(-np.clip(ahead + back, -500, 500)))
             # pairs of states: forward log odds before, step, emission and backward log odds after
             before, after = ahead[inner - 1], s[inner] + back[inner]
@@ -238,17 +247,21 @@ def held_out(id_: Column) -> Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, seed: int = 42) -> Crf:
-    """Fit on at most ``fit_rows`` labelled documents of either class, none of them held out."""
+    """Fit on at most ``fit_rows`` labelled documents of either class and ``FIT_BYTES`` of distinct texts, none of them held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("toxic").alias("toxic"))
     first = [known.where(F.col("toxic") == g).orderBy(F.xxhash64("__label_id", F.lit(seed)), "__label_id").limit(fit_rows) for g in (0, 1)]
     sample = F.broadcast(first[0].unionByName(first[1]))  # at most twice fit_rows rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, F.col("__id") == F.col("__label_id")).select("__id", "text", "toxic").collect()
+    mine = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, F.col("__id") == F.col("__label_id"))
     # copies of a text count once, with the label that most of them have: a large group must not make its own words offending
-    votes: dict[str, list[int]] = {}
-    for r in rows:
-        votes.setdefault(r[1], []).append(r[2])
+    voted = mine.groupBy("text").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    order = F.xxhash64("text", F.lit(seed))
+    sizes = voted.select(F.md5("text").alias("key"), F.octet_length("text").alias("size"), order.alias("place")).orderBy("place", "key").limit(2 * fit_rows).collect()
+    upto = np.cumsum([r["size"] for r in sizes] or [0])
+    kept = docs.sparkSession.createDataFrame([(r["key"],) for r, at in zip(sizes, upto, strict=False) if at <= FIT_BYTES], "key string")
+    rows = voted.withColumn("key", F.md5("text")).join(F.broadcast(kept), "key", "left_semi").collect()  # of the bytes above at most
+    votes = {r["text"]: int(2 * r["toxic"] > r["n"]) for r in rows}
     texts = sorted(votes)
-    return train(texts, [int(2 * sum(votes[t]) > len(votes[t])) for t in texts])
+    return train(texts, [votes[t] for t in texts])
 
 
 def tag(text: Column, crf: Crf) -> Column:
@@ -289,8 +302,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     A model is fitted on a bounded sample of labelled documents, none of them held out,
     then every whole text is tagged where it is, without a shuffle. The score uses the text
-    alone. Empty and null texts get the score of a text without toxic words. Without labels of both classes
-    all scores are alike. Null ids are scored like others. An empty table gives an empty result.
+    alone, so repeated rows have one score. Empty and null texts get the score of a text without toxic words. Without labels of both
+    classes all scores are alike. Null ids are scored like others. A very long text is tagged as a whole, as a run of its own. An empty
+    table gives an empty result.
     """
     crf = train_on(docs, labels, id_col, text_col, fit_rows)
     d = bound_batches(docs).drop("held_out", "score", "spans", "predicted")
