@@ -27,7 +27,7 @@ BY_TAG, BY_CLASS = 4.5, 4.0
 OUTER_CONTENT, OUTER_CHROME = 0.2, 0.6
 
 # Names of HTML, and words that name parts of pages in class, id and role attributes.
-SKIPPED = frozenset("script style noscript template title svg math iframe object select option button textarea canvas audio video map dialog".split())
+SKIPPED = frozenset("script style noscript template title svg iframe object select option button textarea canvas audio video map dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("html body caption td th tr tbody thead tfoot li dd dt legend summary".split())
@@ -40,8 +40,8 @@ CHROME_WORDS = frozenset(
     "disqus footer foot gdpr head header login masthead menu menubar message modal nav navbar navigation newsletter notice notification pager pagination paywall popup privacy promo promoted promotion rail "
     "recommended related replies reply respond search share sharing sidebar side signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
-#: Words that turn a class into a statement about its element: has-sidebar, no-comments, ad-free.
-MODIFIERS = frozenset("has have no not without with hide hidden show shown is free less enabled disabled".split())
+#: Words that turn a class into a statement about its element, or name what a part leads to: has-sidebar, no-comments, ad-free, side-by-side, search-results.
+MODIFIERS = frozenset("has have no not without with hide hidden show shown is free less enabled disabled by result results".split())
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 
@@ -142,6 +142,8 @@ class _Blocks(HTMLParser):
         """What an element says of its blocks; its own tag comes before its names. ``inside`` an article a header is the article's own."""
         content = chrome = hidden = False
         for k, v in attrs:
+            if k == "id" and (tag == "section" or tag in HEADINGS):
+                continue  # an anchor, which says what the text is about
             if k in ("class", "id", "role", "aria-label", "itemprop") and v:
                 says = named(v)
                 content, chrome = content or says[0], chrome or says[1]
@@ -342,7 +344,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     reader comments), and so does its text by a model that is fitted on a bounded sample; edges
     between neighbours in page order and in one container make the labels
     smooth. The minimum cut decides; where little stands around a block, its neighbours outvote its text. A null or empty page, or one without content, gives an
-    empty text. Rows with null ids are worked like others. Nothing is shuffled. An empty table gives an empty result.
+    empty text. Rows with null ids are worked like others. Nothing is shuffled. Repeated rows have the same text each; a very long page is worked on whole,
+    as one row of a task. An empty table gives an empty result.
     """
     weights = train_on(pages, id_col, html_col, fit_pages)
     return bound_batches(pages).withColumn(out_col, main_text(F.col(html_col), weights))

@@ -286,3 +286,13 @@ def test_words_of_a_small_language_are_offending():
     p = crf.marginals(lengths, crf.features(numbers, forms))
     assert [int(x) for x in np.flatnonzero(p >= toxicity.SPAN_MARGINAL)] == [3, 14]
     assert (crf.scores(crf.summaries(lengths, p)) >= 0.5).tolist() == [True, False, True]
+
+
+def test_names_that_say_nothing_of_a_part():
+    weights = np.zeros(6)
+    body = "<p>The first sentence of it stands here.</p><p>And here is another one.</p>"
+    want = "The first sentence of it stands here.\nAnd here is another one."
+    for page in (f'<main><div class="search-results">{body}</div></main>', f'<article><section id="privacy">{body}</section></article>', f'<article><div class="side-by-side">{body}</div></article>'):
+        assert extraction.extract(f"<nav><a href=x>Home</a></nav>{page}<footer>Left out</footer>", weights) == want, page
+    assert extraction.extract('<article><h2 id="comments">On comments</h2><p>A sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is known.</p></article>', weights) == "On comments\nA sum a+b is known."
+    assert extraction.extract(f'<main>{body}<div id="comments"><p>I liked it.</p></div><section class="related-posts"><p>More.</p></section></main>', weights) == want
