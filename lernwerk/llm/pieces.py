@@ -124,7 +124,8 @@ def encode(text: Column, model: str) -> Column:
 
     Inside a task, the marked words of about two million characters at a time form a
     table of distinct words; each is segmented once, and the ids come back by
-    position. Empty texts have the begin and end id alone.
+    position. Empty texts have the begin and end id alone. Every row is worked on by itself, so repeated rows have equal
+    ids and an empty table gives none; a very long text has a table of its own.
     """
 
     @F.pandas_udf("array<int>")
@@ -162,7 +163,7 @@ def encode_and_decode(text: Column, model: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with an array column of ids; a column of that name is replaced. Nothing is shuffled."""
+    """``docs`` with an array column of ids; a column of that name is replaced. Nothing is shuffled. Odd rows are as in ``encode``."""
     return bound_batches(docs).withColumn(ids_col, encode(F.col(text_col), model))
 
 

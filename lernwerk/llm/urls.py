@@ -145,8 +145,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     A rule fits its host and all hosts under it, when the url's path starts with the
     rule's; the longest fitting rule decides. A url that no entry of the list fits
     gets ``default``. A null url, or one without ``://``, has an empty host and path, which no
-    rule with a host fits. Nothing is shuffled; the html is not read. An empty
-    table gives an empty result.
+    rule with a host fits. Nothing is shuffled; the html is not read. Repeated rows
+    have one verdict. An empty table gives an empty result.
     """
     d = pages.drop("host", "path", "rule", "verdict")
     d = d.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
