@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Canonical classes, their order, and spellings of each (small letters, without spaces and the outer O()).
 CLASSES = ["O(1)", "O(log n)", "O(sqrt n)", "O(n)", "O(n log n)", "O(n^2)", "O(2^n)", "O(n!)", "O(V + E)"]
 SPELLINGS = {
@@ -62,15 +64,23 @@ MOST_LABELS = 256
 def once(df: DataFrame, columns: dict[str, str], rule: Callable[[Column], Column], labels: DataFrame | None = None, most: int = MOST_LABELS) -> DataFrame:
     """Add ``rule`` of label columns (new name: column), worked out once for each of ``most`` distinct labels.
 
-    The labels are those of ``labels`` (``df`` itself by default). Their values are broadcast, ``most`` rows at
-    most, and looked up by joins that move no fact; a row with any further label has the rule worked out
-    where it is. So the broadcast is bounded and the result does not depend on it.
+    The labels are those of ``labels`` (``df`` itself by default, whose labels they must hold). Up to ``most`` of them, null with them,
+    are worked out in a job of their own, so that the rule is not part of the plan that follows, and looked up by broadcast joins that move no
+    fact. With more labels, the first ``most`` are looked up and a row with any further label has the rule worked out where it is. So the
+    broadcast is bounded and the result does not depend on it.
     """
     label, used = F.col("label"), [F.col(c) for c in columns.values()]
-    few = (df if labels is None else labels).select(F.explode(F.array_distinct(F.array(*columns.values()))).alias("label")).where(label.isNotNull()).distinct().limit(most)
-    few = few.select("label", rule(label).alias("value"))
+    met = (df if labels is None else labels).select(F.explode(F.array_distinct(F.array(*columns.values()))).alias("label")).where(label.isNotNull()).distinct().limit(most + 1)
+    null = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("label"))
+    few = cut(met.unionByName(null).select("label", rule(label).alias("value")))
+    whole = few.count() <= most + 1
+    few = few if whole else few.where(label.isNotNull()).limit(most)
     for i, c in enumerate(used):
-        df = df.join(F.broadcast(few.select(label.alias(f"__label{i}"), F.col("value").alias(f"__value{i}"))), c == F.col(f"__label{i}"), "left")
+        named = few.select(label.alias(f"__label{i}"), F.col("value").alias(f"__value{i}"))
+        df = df.join(F.broadcast(named), c.eqNullSafe(F.col(f"__label{i}")) if whole else c == F.col(f"__label{i}"), "left")
+    if whole:
+        found = {name: F.col(f"__value{i}") for i, name in enumerate(columns)}
+        return df.withColumns(found).drop(*[f"__{part}{i}" for i in range(len(used)) for part in ("label", "value")])
     unknown = reduce(lambda a, b: a | b, [c.isNotNull() & F.col(f"__value{i}").isNull() for i, c in enumerate(used)])
     df = df.withColumn("__rest", F.when(unknown, F.transform(F.array(*used), rule)))
     none = rule(F.lit(None).cast("string"))
