@@ -61,7 +61,8 @@ def candidates(docs: DataFrame, rarest: DataFrame, slop: int = 0, text_col: str
     its copies. The two terms may be ``slop`` words nearer or farther than in the phrase.
     """
     sought = cut(rarest.select(F.explode(F.array("t1", "t2")).alias("term")).where("term <> ''").distinct())
-    tokens = docs.select(text_key(F.col(text_col)).alias("key"), F.posexplode(words(F.col(text_col))).alias("at", "term"))
+    keyed = docs.select(text_key(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))  # once a text, and not once a word
+    tokens = keyed.select("key", F.posexplode("w").alias("at", "term"))
     postings = cut(tokens.join(bounded(sought), "term").select("term", "key", "at").distinct())
     pairs = bounded(cut(rarest.select(F.col("t1").alias("term"), "t2", "gap").distinct()))
     first = postings.join(pairs, "term").select(F.col("term").alias("t1"), "t2", "gap", "key", "at")
@@ -83,18 +84,16 @@ def matches(docs: DataFrame, phrases: DataFrame, slop: int = 0, text_col: str =
     found by a broadcast of their keys up to ``MOST_BROADCAST`` and by a join beyond.
     """
     rarest = cut(rarest_terms(phrases, docs, text_col))
-    lists = cut(candidates(docs, rarest, slop, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("c")))
+    lists = cut(candidates(docs, rarest, slop, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "length", "phrase", F.split("phrase", " ").alias("p"))).alias("c")))
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
     keys = bounded(lists.select("key"))
     held = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")).select("key", words(F.col("t")).alias("w"))
 
     def stands(c: Column, reach: int) -> Column:
-        p = F.split(c["phrase"], " ")
-        if not reach:
-            return (c["start"] >= 0) & (F.slice("w", F.greatest(c["start"] + 1, F.lit(1)), c["length"]) == p)
-        place = lambda i: c["start"] + i
-        around = lambda i: F.slice("w", F.greatest(place(i) + 1 - reach, F.lit(1)), F.greatest(F.least(F.lit(2 * reach + 1), place(i) + 1 + reach), F.lit(0)))
-        return F.forall(F.sequence(F.lit(0), c["length"] - 1), lambda i: F.array_contains(around(i), F.get(p, i)))
+        # single words are fetched: a slice would copy the whole text for each candidate
+        word = lambda at: F.get("w", at)
+        there = (lambda at, p: word(at) == p) if not reach else (lambda at, p: F.exists(F.sequence(at - reach, at + reach), lambda x: F.coalesce(word(x) == p, F.lit(False))))
+        return F.forall(F.sequence(F.lit(0), c["length"] - 1), lambda i: F.coalesce(there(c["start"] + i, F.get(c["p"], i)), F.lit(False)))
 
     told = lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"), c["phrase"].alias("phrase"), stands(c, 0).alias("exact"))
     checked = held.join(lists, "key").select("key", F.size("w").alias("n_words"), F.transform(F.filter("c", lambda c: stands(c, slop)), told).alias("hits"))
