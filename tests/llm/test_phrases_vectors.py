@@ -164,7 +164,7 @@ def test_local_support_is_a_share():
 def test_collocations_on_awkward_tables(spark, tmp_path):
     texts = ["Ab, cd ef! gh\tij kl\x0bmn", "ab cd ef gh ij kl", "Äb ÄB äb"] * 20
     docs = clashing(awkward(spark).unionByName(spark.createDataFrame(rows(texts, 100), SCHEMA)), ["phrase", "n", "rank", "size", "a"])
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.where("char_length(text) < 1000 or text is null").write.parquet(str(tmp_path / "documents.parquet"))  # DuckDB's text copies a piece for each of its words
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     same(queries.op13_collocations(spark, str(tmp_path)), con, queries.oracle_sql()["op13_collocations"])
