@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from .common import bound_batches, cut, partitions
 
@@ -49,26 +49,10 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
-#: A near copy shares 0.8 of its five-word shingles or more. The 512 bits of such texts differ in about 76 at 0.8 and in fewer above,
-#: with a deviation of 8; those of unlike texts differ in 256. Pairs that differ in ``SURE_BITS`` or fewer are taken as they are,
-#: those up to ``PRINT_BITS`` are held against their shingles. The README has the recall and precision.
-PRINT_WORDS, PRINT_LONGS, PRINT_BITS, SURE_BITS, LEAST_ALIKE = 5, 8, 100, 48, 0.8
-#: Of each long, the bits at which two bytes side by side begin that are indexed.
-PAIRS_AT = (0, 16, 32, 48, 8)
-PRINT_COLUMNS = [f"p{k}" for k in range(PRINT_LONGS)]
-_STEP, _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of rows of longs: the bits set in over half of them."""
-    set_bits = np.zeros(hashes.shape[1] * 64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 14)])
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * set_bits > len(hashes)).view(np.uint64)
-
-
-def shingle_digests(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
+def shingle_digests(text: str | None, words: int = 5) -> np.ndarray:
     """A 64-bit digest of each word shingle of a text, repeats included (ASCII case and white space apart); fewer words are one."""
     split = (text or "").encode().lower().split()
     if not split:
@@ -83,29 +67,6 @@ def shingle_digests(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
     return s
 
 
-def wide_print(text: str | None, words: int = PRINT_WORDS) -> np.ndarray:
-    """512-bit SimHash of a text's word shingles, as longs; zeros without words."""
-    s = shingle_digests(text, words)
-    if not len(s):
-        return np.zeros(PRINT_LONGS, np.uint64)
-    with np.errstate(over="ignore"):
-        wide = s[:, None] + _STEP * np.arange(1, PRINT_LONGS + 1, dtype=np.uint64)
-        wide = (wide ^ (wide >> np.uint64(30))) * _MIX
-        wide = (wide ^ (wide >> np.uint64(27))) * _MIX2
-    return _majority(wide ^ (wide >> np.uint64(31)))
-
-
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in PRINT_COLUMNS]))
-def _wide_prints(texts: pd.Series) -> pd.DataFrame:
-    found = np.array([wide_print(t) for t in texts], np.uint64).reshape(-1, PRINT_LONGS)
-    return pd.DataFrame(found.view(np.int64), columns=PRINT_COLUMNS)
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def _shingle_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingle_digests(t)).view(np.int64) for t in texts], dtype=object)
-
-
 def shared_bytes(xor: np.ndarray) -> np.ndarray:
     """How many of the eight positional bytes two fingerprints share, from their exclusive or."""
     return np.bitwise_count(~((xor & LOW) + LOW | xor | LOW))
@@ -146,32 +107,6 @@ class Run:
                 yield (*used, a, b), at
 
 
-class WideRun(Run):
-    """Wide prints to compare, a row of longs each."""
-
-    def part(self, at: np.ndarray) -> WideRun:
-        return WideRun(self.values[at], self.distance)
-
-    def levels(self) -> list[Run]:
-        return [WideRun(self.values, b) for b in (SURE_BITS, (SURE_BITS + self.distance) // 2, self.distance) if b <= self.distance]
-
-    def bits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.values[a] ^ self.values[b]).sum(1, dtype=np.int16)
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Few enough differing bits, counted over one half first: unlike prints differ in more there already."""
-        half = self.values.shape[1] // 2
-        bits = sum(np.bitwise_count(self.values[a, k] ^ self.values[b, k]).astype(np.int16) for k in range(half))
-        out = bits <= self.distance
-        if out.any():
-            x, y = (np.broadcast_to(i, out.shape)[out] for i in (a, b))
-            out[out] = bits[out] + np.bitwise_count(self.values[x, half:] ^ self.values[y, half:]).sum(1) <= self.distance
-        return out
-
-    def refined(self, used: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
-        return iter(())
-
-
 def links(run: Run, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions in a run that join all values linked.
 
@@ -308,37 +243,6 @@ def near_edges(prints: DataFrame, distance: int = 3) -> DataFrame:
     return _linked_runs(index, lambda v: Run(v.ravel(), distance), lambda key: sets[key >> width]).drop("bits")
 
 
-def wide_edges(prints: DataFrame, bits: int = PRINT_BITS) -> DataFrame:
-    """``src``, ``dst``, ``bits``: pairs of ``node`` that join prints (``p0`` and so on) within ``bits`` that share two bytes side by side, closer ones first.
-
-    An index entry is the place of one of 40 pairs of bytes with its bytes. At a similarity of 0.8 a pair is shared once in 14
-    times, and so some pair nineteen times in twenty; more alike texts share more. Unlike texts share one of 65,536.
-    """
-    pair = [F.shiftrightunsigned(c, at).bitwiseAND(0xFFFF) for c in PRINT_COLUMNS for at in PAIRS_AT]
-    keys = [F.lit(j << 16).cast("long") + p for j, p in enumerate(pair)]
-    return _linked_runs(prints.select(F.explode(F.array(*keys)).alias("key"), "node", *PRINT_COLUMNS), lambda v: WideRun(v, bits))
-
-
-def verified(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``src``, ``dst``: the pairs ``found`` that are near copies by their shingles (``texts`` has node and text).
-
-    Those within ``SURE_BITS`` are joined as they are. Of the others, only pairs between different groups so joined are looked
-    at: the shingle sets of their nodes meet in two joins, and a pair stays if it shares ``LEAST_ALIKE`` of both sets' union. Nodes
-    without such a pair send no text.
-    """
-    sure = cut(components(found.where(F.col("bits") <= SURE_BITS)))
-    group = lambda end: sure.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    open_pairs = found.where(F.col("bits") > SURE_BITS).select("src", "dst").distinct().join(group("src"), "src", "left").join(group("dst"), "dst", "left")
-    open_pairs = cut(open_pairs.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"))
-    nodes = open_pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    sets = cut(sets.select("node", _shingle_sets("text").alias("s")))
-    both = open_pairs.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    alike = both.where(shared >= LEAST_ALIKE * (F.size("a") + F.size("b") - shared))
-    return sure.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(alike.select("src", "dst"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: every node of ``edges`` (``src``, ``dst`` longs) with the least node it reaches.
 
@@ -406,21 +310,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = _component_ids(rows, ["fp"], lambda prints: near_edges(prints, distance))
     back = [F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]
     return rows.join(named, "fp").select(*back, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = PRINT_BITS) -> DataFrame:
-    """Add ``component_id``: the smallest id that links between near copies reach from a document, itself included.
-
-    Two texts are near copies if 0.8 or more of their five-word shingles are shared. The inverted index of byte positions finds
-    candidates, their 512-bit SimHashes tell which are close (``bits``), and shingles settle what the bits leave open. Texts of fewer than
-    five words are one shingle, so they link only if equal. Equal prints are one node. Null and empty texts have
-    prints of zeros and are copies of each other. Null ids are passed over; a component of nothing but
-    null ids has a null ``component_id``. Repeated rows are copies. An input column named component_id is
-    replaced. An empty table gives an empty result.
-    """
-    docs = bound_batches(docs).drop("component_id")
-    mine = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("__id"), _wide_prints(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
-    rows = cut(mine.select("*", "p.*").drop("p"))
-    texts = rows.select(F.xxhash64(*PRINT_COLUMNS).alias("node"), F.col(f"__c{docs.columns.index(text_col)}").alias("text"))
-    named = _component_ids(rows, PRINT_COLUMNS, lambda prints: verified(cut(wide_edges(prints, bits)), texts))
-    return rows.join(named, PRINT_COLUMNS).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "component_id")

@@ -91,110 +91,6 @@ def test_links_lose_nothing_in_dense_runs(monkeypatch, distance, used, short):
     assert len({(find(i), want[i]) for i in range(len(values))}) == len(set(want))
 
 
-def five_words(text):
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def plain_near(texts):
-    """Union of all pairs whose prints are close, share two bytes side by side and, if not very close, 0.8 of their shingles, in plain Python."""
-    sets = [five_words(t) for t in texts]
-    prints = np.array([simhash.wide_print(t) for t in texts])
-    pairs = np.concatenate([prints >> np.uint64(at) & np.uint64(0xFFFF) for at in simhash.PAIRS_AT], axis=1)
-    parent = list(range(len(texts)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(texts)):
-        bits = np.bitwise_count(prints[:i] ^ prints[i]).sum(1)
-        for j in np.flatnonzero((bits <= simhash.PRINT_BITS) & (pairs[:i] == pairs[i]).any(1)).tolist():
-            if bits[j] <= simhash.SURE_BITS or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                parent[find(i)] = find(j)
-    return [find(i) for i in range(len(texts))]
-
-
-def test_near_copies_against_all_pairs(spark, monkeypatch):
-    rng = random.Random(4)
-    texts = [r["text"] for r in table(spark, SMALL, "documents").select("text").collect()]
-    for t in texts[:40]:  # edits of several sizes
-        words = (t or "").split()
-        for share in (0.005, 0.01, 0.03, 0.3):
-            texts.append(" ".join(w if rng.random() > share else "edited" for w in words))
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
-    roots = plain_near(texts)
-    least = {}
-    for i, r in enumerate(roots):
-        least.setdefault(r, i)
-    assert got == {i: least[r] for i, r in enumerate(roots)}
-
-
-def test_prints_tell_texts_apart():
-    a = " ".join(f"w{i}" for i in range(300))
-    wide = simhash.wide_print
-    assert (wide(a) == wide(a.upper().replace(" ", "\n"))).all() and not wide(None).any() and not wide(" ").any()
-    assert np.bitwise_count(wide("a b c") ^ wide("a b d")).sum() > 160
-    assert np.bitwise_count(wide(a) ^ wide(" ".join(reversed(a.split())))).sum() > 160
-
-
-@pytest.mark.parametrize("short", [4, 512])
-def test_wide_links_lose_nothing(monkeypatch, short):
-    monkeypatch.setattr(simhash, "SHORT", short)
-    rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 63, (3, 8)).astype(np.uint64)
-    values = np.concatenate([base[i % 3][None] ^ (np.uint64(1) << rng.integers(0, 64, (1, 8)).astype(np.uint64)) ** np.uint64(1) for i in range(90)])
-    values = np.concatenate([values, rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64)])
-    run = simhash.WideRun(values, simhash.PRINT_BITS)
-    pairs = [simhash.spanning(simhash.links(run)), simhash.short_links(np.zeros(len(values), np.int64), run)][short == 512 :]
-    for x, y in pairs[:1]:
-        assert len(x) == 87 and (np.bitwise_count(values[x] ^ values[y]).sum(1) <= simhash.PRINT_BITS).all()
-
-
-def test_recall_of_near_copies(spark):
-    """Pairs of sf0.1 that share 0.8 of their five-word shingles, found by an inverted list of shingles, end in one component."""
-    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()
-    first = {}
-    for r in docs:
-        first.setdefault((r["text"] or "").lower(), r["doc_id"])
-    shingles, holders = {}, defaultdict(list)
-    for text, d in first.items():
-        words = text.encode().split()
-        shingles[d] = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set()
-        for s in shingles[d]:
-            holders[s].append(d)
-    common = defaultdict(int)
-    for ids in holders.values():
-        if len(ids) <= 200:  # passages that very many documents share are a small part of any
-            for i, a in enumerate(ids):
-                for b in ids[i + 1 :]:
-                    common[a, b] += 1
-    alike = {p: n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) for p, n in common.items()}
-    alike = {(a, b): len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for (a, b), j in alike.items() if j > 0.6}
-    wanted = [p for p, j in alike.items() if j >= 0.8]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")).collect()}
-    assert len(wanted) > 30 and np.mean([found[a] == found[b] for a, b in wanted]) >= 0.9
-    groups = defaultdict(list)
-    for d in first.values():
-        groups[found[d]].append(d)
-    # a group may hold pairs below 0.8, linked by way of a third text, but nothing joins it without a partner at 0.8
-    partner = [max(len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b])) for b in ids if b != a) for ids in groups.values() if len(ids) > 1 for a in ids]
-    assert len(partner) > 30 and np.mean([j >= 0.8 for j in partner]) >= 0.98
-    unlike = [a for a, c in found.items() if c != a and shingles.get(a) and shingles.get(c) and len(shingles[a] & shingles[c]) / len(shingles[a] | shingles[c]) < 0.5]
-    assert len(unlike) <= 0.002 * len(first)
-
-
-def test_near_copies_edges(spark):
-    a = awkward(spark)
-    out = simhash.near_copies(clashing(a, ["fp", "p0", "first", "node", "root", "component_id", "key", "p"]))
-    assert out.count() == a.count() and out.where("lang = 'en'").count() > 0
-    rows = {(r["doc_id"], r["text"]): r["component_id"] for r in out.collect()}
-    assert rows[1, ""] == rows[0, None] == rows[2, " "] == 0 and rows[4, "ONE"] == rows[3, "one"] == 3 and rows[None, "no id at all"] is None
-    assert simhash.near_copies(empty(spark)).count() == 0
-
-
 def test_shared_bytes():
     rng = random.Random(8)
     for _ in range(500):

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lernwerk.llm import exact, mixing, pieces, queries, simhash
+from lernwerk.llm import exact, mixing, near, pieces, queries
 from lernwerk.llm.common import table
 from llm_helpers import awkward, empty
 from oracle import SMALL
@@ -22,9 +22,9 @@ def test_stages_keep_columns_and_decide(spark):
     one = corpus_pipeline.exact_dedup(spark, docs, SMALL)
     lower = F.lower("text")
     assert one.count() == docs.select(lower).distinct().count()
-    near = simhash.near_copies(one)
+    grouped = near.near_copies(one)
     left = corpus_pipeline.near_dedup(spark, one, SMALL)
-    assert left.count() == near.select("component_id").distinct().count()
+    assert left.count() == grouped.select("component_id").distinct().count()
     mixed = corpus_pipeline.mix(spark, left, SMALL)
     assert mixed.groupBy("doc_id").count().where("count > 2").count() == 0
     words = mixed.select(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0]
