@@ -42,14 +42,14 @@ def delete(spark: SparkSession, path: str) -> None:
 BATCH_BYTES = 8 << 20
 
 
-def bound_batches(df: DataFrame) -> DataFrame:
-    """Bound what a Python worker holds at once: lower the session's Arrow batch size to ``BATCH_BYTES``.
+def bound_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """Bound what a Python worker holds at once: lower the session's Arrow batch size to ``most`` bytes.
 
     A setting that is lower already stays. Gives ``df`` back.
     """
     session, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if session._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get(name)) > BATCH_BYTES:
-        session.conf.set(name, str(BATCH_BYTES))
+    if session._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get(name)) > most:
+        session.conf.set(name, str(most))
     return df
 
 
