@@ -40,3 +40,10 @@ def test_tests_are_counted_in_their_text(spark):
         assert r["complexity_passed"] == sum(s == "passed" and (not known or c == "complexity") for c, s in (items if known else items[-2:])), r
         assert r["functional_total"] == (sum(c == "functional" for c, _ in items) if known else max(len(items) - 2, 0)), r
         assert r["hidden_passed"] == min(1, sum(x == ("hidden", "passed") for x in items)), r
+
+
+def test_a_sheet_is_worked_out_once(spark, monkeypatch):
+    read, write = [], tables.write_report_tables
+    monkeypatch.setattr(changes.T, "write_report_tables", lambda t, *to: (read.extend(f for df in t.values() for f in df.inputFiles()), write(t, *to)))
+    assert plans.QUERIES["snk2_detail"](spark, SMALL).count() > 0
+    assert read and not any("lineitem" in f for f in read)
