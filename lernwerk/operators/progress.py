@@ -93,7 +93,11 @@ def module_mastery(subs: DataFrame) -> DataFrame:
     """Activities tried and done, mean score and mean gain of each learner in each module, and a rank title."""
     done = F.coalesce(F.col("final_aes") >= 50, F.lit(False)) | (F.col("status") == "passed")
     gain = F.when((F.col("type") == "optimization") & F.col("final_aes").isNotNull(), F.coalesce("rog", F.lit(0.0)))
-    g = subs.groupBy("owner", "module").agg(F.countDistinct("activity").alias("tried"), F.countDistinct(F.when(done, F.col("activity"))).alias("finished"), F.avg("final_aes").alias("aes"), F.avg(gain).alias("rog"))
+    # one row an activity first: counts of distinct activities beside means would multiply the rows
+    sums = [x for n, c in (("aes", F.col("final_aes")), ("rog", gain)) for x in (F.sum(c).alias(f"{n}_sum"), F.count(c).alias(f"{n}_count"))]
+    each = subs.groupBy("owner", "module", "activity").agg(F.max(F.coalesce(done, F.lit(False))).alias("done"), *sums)
+    mean = lambda n: F.try_divide(F.sum(f"{n}_sum"), F.sum(f"{n}_count")).alias(n)
+    g = each.groupBy("owner", "module").agg(F.count("activity").alias("tried"), F.count(F.when(F.col("done"), F.col("activity"))).alias("finished"), mean("aes"), mean("rog"))
     title = F.when((F.col("finished") >= 5) & (F.col("aes") >= 60), "expert").when(F.col("finished") >= 3, "skilled").otherwise("novice")
     return g.withColumn("rank", title)
 

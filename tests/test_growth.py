@@ -42,6 +42,14 @@ def test_tests_are_counted_in_their_text(spark):
         assert r["hidden_passed"] == min(1, sum(x == ("hidden", "passed") for x in items)), r
 
 
+def test_mastery_does_not_multiply_rows(spark):
+    rows = [("o", None, "a", 60.0, "failed", "optimization", None), ("o", None, "a", None, "failed", "activity", 3.0), ("o", None, None, 80.0, "passed", "optimization", 4.0), ("o", "m", "b", None, None, None, None)]
+    df = progress.module_mastery(spark.createDataFrame(rows, "owner string, module string, activity string, final_aes double, status string, type string, rog double"))
+    assert "Expand" not in plan(df)
+    got = {r["module"]: (r["tried"], r["finished"], r["aes"], r["rog"]) for r in df.collect()}
+    assert got == {None: (1, 1, 70.0, 2.0), "m": (1, 0, None, None)}
+
+
 def test_a_sheet_is_worked_out_once(spark, monkeypatch):
     read, write = [], tables.write_report_tables
     monkeypatch.setattr(changes.T, "write_report_tables", lambda t, *to: (read.extend(f for df in t.values() for f in df.inputFiles()), write(t, *to)))
