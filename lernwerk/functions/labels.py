@@ -48,7 +48,7 @@ NAMED = {"o(constant)": "o(1)", "o(cubic)": "o(n^3)", "o(quartic)": "o(n^4)", "o
 SIZE_LETTERS = "kmpqrs"
 
 
-def _let(value: Column, f) -> Column:
+def let(value: Column, f) -> Column:
     """``f(value)`` with the value worked out once; a plain expression would repeat it wherever it is named."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -100,7 +100,7 @@ def normalize(c: Column) -> Column:
     named = lambda s: F.coalesce(F.element_at(_lookup(spelled), s), F.concat(F.lit("O("), s, F.lit(")")))
     squeezed = F.replace(F.trim(F.lower(c)), F.lit(" "), F.lit(""))
     # labels in canonical spelling, the most common by far, are left before any work
-    return F.when(c.isNull() | c.isin("", "-"), F.lit("-")).when(c.isin(*SPELLINGS), c).otherwise(_let(_let(squeezed, bare), named))
+    return F.when(c.isNull() | c.isin("", "-"), F.lit("-")).when(c.isin(*SPELLINGS), c).otherwise(let(let(squeezed, bare), named))
 
 
 def fold(c: Column) -> Column:
@@ -135,10 +135,10 @@ def fold(c: Column) -> Column:
         return (
             F.when(compact.contains("V+E") | compact.contains("E+V"), F.lit("O(V + E)"))
             .when(s.isin(*CLASSES, *PASSTHROUGH), s)
-            .otherwise(_let(body, lambda x: F.when((x == "") | ~fits(x), s).otherwise(_let(polynomial(F.split(x, r"\+")), named(s)))))
+            .otherwise(let(body, lambda x: F.when((x == "") | ~fits(x), s).otherwise(let(polynomial(F.split(x, r"\+")), named(s)))))
         )
 
-    return F.when(c.isNull() | c.isin(*CLASSES, *PASSTHROUGH), c).otherwise(_let(F.trim(c), folded))
+    return F.when(c.isNull() | c.isin(*CLASSES, *PASSTHROUGH), c).otherwise(let(F.trim(c), folded))
 
 
 def canonical(c: Column) -> Column:
@@ -191,14 +191,14 @@ def growth(c: Column) -> Column:
                 F.array_max(F.transform(F.filter(factors, lambda f: f.startswith("n")), exponent)).alias("power"), F.size(terms).alias("terms"), F.forall(terms, lambda t: t["read"]).alias("read"), (s != text).alias("wrapped"),
             )
 
-        return _let(F.transform(F.split(text, r"\+"), term), whole)
+        return let(F.transform(F.split(text, r"\+"), term), whole)
 
     squeezed = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
     for sign, plain in (("²", "^2"), ("³", "^3"), ("ⁿ", "^n"), ("√", "sqrt")):
         squeezed = F.replace(squeezed, F.lit(sign), F.lit(plain))
     tight = lambda label: label.lower().replace(" ", "")
     solved = _lookup({tight(k): tight(v) for k, v in RECURRENCES.items()})
-    return _let(F.coalesce(F.element_at(solved, squeezed), squeezed), lambda s: _let(F.coalesce(F.nullif(F.regexp_extract(s, r"^o\((.*)\)$", 1), F.lit("")), s), lambda text: fields(s, text)))
+    return let(F.coalesce(F.element_at(solved, squeezed), squeezed), lambda s: let(F.coalesce(F.nullif(F.regexp_extract(s, r"^o\((.*)\)$", 1), F.lit("")), s), lambda text: fields(s, text)))
 
 
 def _in_n(g: Column) -> Column:
@@ -229,7 +229,7 @@ def weight(c: Column, default: int = 0) -> Column:
             .when(g["wrapped"] & (g["degree"] == 0), 1)
         )
 
-    return F.coalesce(_let(growth(c), by_growth), F.lit(default))
+    return F.coalesce(let(growth(c), by_growth), F.lit(default))
 
 
 def bucket(c: Column) -> Column:
@@ -251,7 +251,7 @@ def bucket(c: Column) -> Column:
         return F.coalesce(F.when(g["wrapped"], found), F.lit("unknown"))
 
     tight = F.regexp_replace(F.lower(c), r"\s+", "")
-    return _let(growth(F.coalesce(F.element_at(_lookup(NAMED), tight), c)), by_growth)
+    return let(growth(F.coalesce(F.element_at(_lookup(NAMED), tight), c)), by_growth)
 
 
 def _ladder(d: Column, logs: Column) -> Column:
@@ -277,7 +277,7 @@ def rank(c: Column) -> Column:
             .when(g["wrapped"] & (d == 0), 1)
         )
 
-    return F.coalesce(F.when(c == "Dead Code", -1).when(c == "Definition", 1).otherwise(_let(growth(c), by_growth)), F.lit(0)).cast("double")
+    return F.coalesce(F.when(c == "Dead Code", -1).when(c == "Definition", 1).otherwise(let(growth(c), by_growth)), F.lit(0)).cast("double")
 
 
 def space_rank(c: Column) -> Column:
@@ -288,7 +288,7 @@ def space_rank(c: Column) -> Column:
         rest = F.when(g["sizes"].contains("v"), 3.0).when(g["degree"] == 0.5, 0.7).when((g["log_power"] > 0) & (g["power"].isNotNull() | (g["letters"] == 0)), 0.5).when(g["power"].isNotNull(), 1.0)
         return F.when(g["kind"] == "fact", 5.0).when(g["kind"] == "exp", F.when(g["base"] == 2, 4.0).otherwise(1.0)).otherwise(F.coalesce(power, rest))
 
-    return F.coalesce(_let(growth(c), by_growth), F.lit(0.0))
+    return F.coalesce(let(growth(c), by_growth), F.lit(0.0))
 
 
 def _shape(c: Column, f) -> Column:
@@ -299,7 +299,7 @@ def _shape(c: Column, f) -> Column:
         graph = (g["sizes"] == "ev") & (g["degree"] == 1)
         return F.when(g["wrapped"] & (plain | graph | (g["kind"] == "fact")), f(g))
 
-    return F.when(~F.lower(c).contains("t("), _let(growth(c), known))
+    return F.when(~F.lower(c).contains("t("), let(growth(c), known))
 
 
 def growth_eval(c: Column, n: Column) -> Column:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .labels import let
+
 GUEST_SUFFIX = "@guest.local"
 
 
@@ -72,6 +74,7 @@ def json_merge(old: Column, new: Column) -> Column:
 def json_set(doc: Column, path: list[str], value: Column) -> Column:
     """A JSON object with the member at ``path`` set to ``value`` (JSON text); what is no object on the way becomes one."""
     name, *rest = path
-    if rest:
-        value = json_set(F.get_json_object(doc, f"$['{name}']"), rest, value)
-    return json_merge(doc, F.concat(F.lit("{" + json.dumps(name) + ":"), value, F.lit("}")))
+    member = lambda v: F.concat(F.lit("{" + json.dumps(name) + ":"), v, F.lit("}"))
+    if not rest:
+        return json_merge(doc, member(value))
+    return let(doc, lambda d: json_merge(d, member(json_set(F.get_json_object(d, f"$['{name}']"), rest, value))))

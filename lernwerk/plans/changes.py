@@ -450,10 +450,11 @@ def _(e):
 @query("fn3_json", "v_changes", sql="""SELECT seq, seq % 10 AS a, CASE WHEN seq % 2 = 0 THEN 'new' ELSE 'old' END AS b, CAST(props->>'$.k' AS BIGINT) AS k, seq % 5 AS deep, CASE WHEN seq % 3 = 0 THEN 7 END AS kept FROM v_changes""")
 def _(c):
     old = S.json_merge(F.to_json(F.struct((F.col("seq") % 10).alias("a"), F.lit("old").alias("b"))), F.col("props"))
-    doc = S.json_merge(old, F.when(F.col("seq") % 2 == 0, F.lit('{"b":"new"}')))
-    doc = S.json_set(F.when(F.col("seq") % 3 == 0, S.json_merge(doc, F.lit('{"m":{"n":{"kept":7}}}'))).otherwise(doc), ["m", "n", "deep"], (F.col("seq") % 5).cast("string"))
-    v = F.parse_json(doc)
-    got = lambda path, kind: F.try_variant_get(v, path, kind)
+    # each step is a column of its own, which the next names more than once and Spark works out once
+    c = c.select("seq", S.json_merge(old, F.when(F.col("seq") % 2 == 0, F.lit('{"b":"new"}'))).alias("doc"))
+    c = c.withColumn("doc", F.when(F.col("seq") % 3 == 0, S.json_merge(F.col("doc"), F.lit('{"m":{"n":{"kept":7}}}'))).otherwise(F.col("doc")))
+    c = c.withColumn("v", F.parse_json(S.json_set(F.col("doc"), ["m", "n", "deep"], (F.col("seq") % 5).cast("string"))))
+    got = lambda path, kind: F.try_variant_get("v", path, kind)
     return c.select("seq", got("$.a", "long").alias("a"), got("$.b", "string").alias("b"), got("$.k", "long").alias("k"), got("$.m.n.deep", "long").alias("deep"), got("$.m.n.kept", "int").alias("kept"))
 
 

@@ -55,3 +55,7 @@ def test_a_sheet_is_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(changes.T, "write_report_tables", lambda t, *to: (read.extend(f for df in t.values() for f in df.inputFiles()), write(t, *to)))
     assert plans.QUERIES["snk2_detail"](spark, SMALL).count() > 0
     assert read and not any("lineitem" in f for f in read)
+
+
+def test_json_is_merged_once_a_step(spark):
+    assert plan(plans.QUERIES["fn3_json"](spark, SMALL)).count("map_zip_with") <= 8
