@@ -10,42 +10,60 @@ TRUTH = "id string, name string, code string, expected_overall_time string, expe
 SUBMISSION = "moduleId string, activityId string, type string, status string, final_aes double, rog double, code_unchanged boolean, timestamp long"
 
 
+#: Files of a name that is written in parts lie in folders of the parts.
+PARTS = "part-*"
+
+
 def files_by_precedence(spark: SparkSession, folders: list[str], pattern: str) -> list[str]:
-    """Paths of the files that match; of files with one name only that of the first folder. Names are listed, nothing is opened."""
+    """Paths of the files that match, in a folder or its parts; of files with one name only those of the first folder. Names are listed, nothing is opened."""
     jvm, conf, first = spark._jvm, spark._jsc.hadoopConfiguration(), {}
     for folder in folders:
-        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-        for found in where.getFileSystem(conf).globStatus(where) or []:
-            first.setdefault(found.getPath().getName(), found.getPath().toString())
-    return [first[n] for n in sorted(first)]
+        mine: dict[str, list[str]] = {}
+        for where in (jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}") for p in (pattern, f"{PARTS}/{pattern}")):
+            for found in where.getFileSystem(conf).globStatus(where) or []:
+                mine.setdefault(found.getPath().getName(), []).append(found.getPath().toString())
+        first = mine | first
+    return [p for n in sorted(first) for p in first[n]]
 
 
 def scan_ground_truth(spark: SparkSession, folders: list[str], pattern: str = "ground_truth_chunk_*.json") -> DataFrame:
     """Records of all chunk files, each with its file's name; of files with one name only those of the first folder, the others are not opened.
 
-    Each file holds one JSON array; records without an id are passed over. Without any file it is an error.
+    Each file holds one JSON array; large chunks are files of one name in folders of parts, all of which are read. Records without an id are passed over. Without any file it is an error.
     """
     if not (paths := files_by_precedence(spark, folders, pattern)):
         raise FileNotFoundError(f"no {pattern} in {folders}")
     return spark.read.schema(TRUTH).option("multiLine", True).json(paths).withColumn("source_file", F.col("_metadata.file_name")).where("id is not null")
 
 
-def write_arrays(rows: DataFrame, folder: str, name: str) -> None:
-    """One file for each ``chunk``, named by ``name``, that holds its JSON texts (``record``) as one array, a line each.
+#: Bytes of records that one file of ``write_arrays`` holds, about.
+FILE_BYTES = 64 << 20
+
+
+def write_arrays(rows: DataFrame, folder: str, name: str, most: int = FILE_BYTES) -> None:
+    """Files for each ``chunk``, named by ``name``, that hold its JSON texts (``record``) as arrays, a line each.
 
-    A chunk goes to one file and so through one task, which streams it; the driver renames as many files as there are chunks.
+    A file goes through one task, and is read by one, so a chunk of more than ``most`` bytes is dealt by a hash of the record over several files
+    of its name, each in a folder of its part. The driver renames as many files as there are.
     """
     spark = rows.sparkSession
-    opening = rows.select("chunk").distinct().select("chunk", F.lit(0).alias("at"), F.lit("[").alias("line"))
-    body = rows.select("chunk", F.lit(1).alias("at"), F.concat("record", F.lit(",")).alias("line"))
-    closing = opening.select("chunk", F.lit(2).alias("at"), F.lit("{}]").alias("line"))  # an empty record ends the list
-    whole = opening.unionByName(body).unionByName(closing).repartition("chunk").sortWithinPartitions("chunk", "at")
-    whole.select("chunk", "line").write.partitionBy("chunk").text(f"{folder}-parts")
+    sizes = rows.groupBy("chunk").agg(F.sum(F.octet_length("record")).alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("chunks")).first()
+    parts = max(1, -(-(sizes["n"] or 0) // most))
+    rows = rows.select("chunk", F.pmod(F.xxhash64("record"), F.lit(parts)).alias("part"), "record")
+    opening = rows.select("chunk", "part").distinct().select("chunk", "part", F.lit(0).alias("at"), F.lit("[").alias("line"))
+    body = rows.select("chunk", "part", F.lit(1).alias("at"), F.concat("record", F.lit(",")).alias("line"))
+    closing = opening.select("chunk", "part", F.lit(2).alias("at"), F.lit("{}]").alias("line"))  # an empty record ends the list
+    tasks = max(2 * parts * sizes["chunks"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = opening.unionByName(body).unionByName(closing).repartition(tasks, "chunk", "part").sortWithinPartitions("chunk", "part", "at")
+    whole.select("chunk", "part", "line").write.partitionBy("chunk", "part").text(f"{folder}-parts")
     path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     fs = path(folder).getFileSystem(conf)
     fs.mkdirs(path(folder))
-    for found in fs.globStatus(path(f"{folder}-parts/chunk=*/part-*")):
-        fs.rename(found.getPath(), path(f"{folder}/{name.format(found.getPath().getParent().getName().split('=')[1])}"))
+    for found in fs.globStatus(path(f"{folder}-parts/chunk=*/part=*/part-*")):
+        part = found.getPath().getParent()
+        into = folder if parts == 1 else f"{folder}/{part.getName().replace('=', '-')}"
+        fs.mkdirs(path(into))
+        fs.rename(found.getPath(), path(f"{into}/{name.format(part.getParent().getName().split('=')[1])}"))
 
 
 def split_labels(df: DataFrame, text: str, known: list[str]) -> DataFrame:

@@ -59,3 +59,13 @@ def test_a_sheet_is_worked_out_once(spark, monkeypatch):
 
 def test_json_is_merged_once_a_step(spark):
     assert plan(plans.QUERIES["fn3_json"](spark, SMALL)).count("map_zip_with") <= 8
+
+
+def test_large_chunks_go_to_several_files(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 2).alias("chunk"), F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.repeat(F.lit("x"), F.lit(90)).alias("code"))).alias("record"))
+    tables.write_arrays(rows, str(tmp_path / "first"), "ground_truth_chunk_{}.json", most=4000)
+    tables.write_arrays(rows, str(tmp_path / "next"), "ground_truth_chunk_{}.json")
+    files = list((tmp_path / "first").glob("part-*/ground_truth_chunk_*.json"))
+    assert len(files) >= 6 and max(f.stat().st_size for f in files) < 8000
+    got = tables.scan_ground_truth(spark, [str(tmp_path / "first"), str(tmp_path / "next")])
+    assert sorted((int(r["id"]), r["source_file"]) for r in got.collect()) == [(n, f"ground_truth_chunk_{n % 2}.json") for n in range(300)]
