@@ -69,3 +69,14 @@ def test_large_chunks_go_to_several_files(spark, tmp_path):
     assert len(files) >= 6 and max(f.stat().st_size for f in files) < 8000
     got = tables.scan_ground_truth(spark, [str(tmp_path / "first"), str(tmp_path / "next")])
     assert sorted((int(r["id"]), r["source_file"]) for r in got.collect()) == [(n, f"ground_truth_chunk_{n % 2}.json") for n in range(300)]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        table = rules.BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=1)
+        rows = spark.range(40000, numPartitions=8).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        table.merge(rows, lambda d: d, 0)
+        assert len(list((tmp_path / "t/generation=0/bucket=0").glob("part-*"))) > 1 and table.read().count() == 40000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
