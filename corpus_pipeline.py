@@ -42,8 +42,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id.
 
-    Near copies share 0.8 or more of their five-word shingles, as operator 1's index of positional bytes finds and the shingles
-    confirm. Null texts equal empty ones. Rows without an id have no group to stand for and stay, as do rows that repeat
+    Near copies share 0.8 or more of their five-word shingles. Operator 1's SimHash links are taken first, an index of the shingles' minima
+    finds the pairs that three bits do not tell, and the shingles confirm both. Null texts equal empty ones. Rows without an id have no group to stand for and stay, as do rows that repeat
     the id that stays. An empty table gives an empty one.
     """
     grouped = near.near_copies(bound_batches(docs, BATCH_BYTES))

@@ -1,6 +1,6 @@
-"""Near copies by five-word shingles: an inverted index of positional bytes with count filtering, verified before any link is dropped.
+"""Near copies by five-word shingles: operator 1's SimHash links and an inverted index of positional bytes with count filtering, both verified before any link is dropped.
 
-The prints are the bytes of 256 minima of a text's shingles, not SimHash bits: two texts share a byte at a position as
+Operator 1's three differing bits tell few of the pairs at a similarity of 0.8, so a second print finds the rest. Its prints are the bytes of 256 minima of a text's shingles, not SimHash bits: two texts share a byte at a position as
 often as they share shingles, so a count of shared bytes tells the similarity, and six minima together are a key that
 unlike texts do not share, however many there are.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import bound_batches, cut
-from .simhash import _component_ids, components, shingle_digests
+from .simhash import _component_ids, components, shingle_digests, simhash_bits
+from .simhash import near_edges as simhash_edges
 
 #: Positions (bytes) of a print, and the index: 24 keys of six positions each find a pair at a similarity of 0.8 in all but 7 of 10,000 cases.
 POSITIONS, KEY_POSITIONS, KEYS = 256, 6, 24
@@ -46,14 +47,15 @@ def byte_print(digests: np.ndarray) -> tuple[bytes, np.ndarray]:
     return octets.tobytes(), keys.view(np.int64)
 
 
-@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("octets", BinaryType()), StructField("keys", ArrayType(LongType()))]))
+@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("bits", LongType()), StructField("octets", BinaryType()), StructField("keys", ArrayType(LongType()))]))
 def _prints(texts: pd.Series) -> pd.DataFrame:
     found = []
     for t in texts:
         digests = np.unique(shingle_digests(t))
         fp = np.uint64(xxhash.xxh64_intdigest(digests.tobytes())).astype(np.int64)
-        found.append((int(fp), *byte_print(digests)))
-    return pd.DataFrame(found, columns=["fp", "octets", "keys"])
+        bits = np.uint64(simhash_bits(digests.byteswap().view(np.uint8).reshape(-1, 8))).astype(np.int64)
+        found.append((int(fp), int(bits), *byte_print(digests)))
+    return pd.DataFrame(found, columns=["fp", "bits", "octets", "keys"])
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -95,10 +97,23 @@ def _verified(pairs: DataFrame, prints: DataFrame, sets: DataFrame, joined: bool
     return sure.unionByName(both.where(common >= LEAST_ALIKE * (F.size("src_set") + F.size("dst_set") - common)).select("src", "dst"))
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """``src``, ``dst``: pairs of nodes that join all whose SimHashes (``bits``) differ in three bits or fewer, as operator 1 links them.
+
+    The least node of equal SimHashes stands for them.
+    """
+    leads = cut(prints.groupBy("bits").agg(F.min("node").alias("lead")))
+    equal = prints.select("bits", "node").join(leads, "bits").where("node <> lead").select(*_pair("node", "lead"))
+    linked = simhash_edges(leads.select(F.col("bits").alias("fp")))
+    for end in ("src", "dst"):
+        linked = linked.join(leads.select(F.col("bits").alias(end), F.col("lead").alias(f"{end}_lead")), end)
+    return equal.unionByName(linked.select(*_pair("src_lead", "dst_lead"))).distinct()
+
+
 def near_edges(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """``src``, ``dst``: links that join all near copies among ``prints`` (node, octets, keys); ``texts`` has node and text.
+    """``src``, ``dst``: links that join all near copies among ``prints`` (node, bits, octets, keys); ``texts`` has node and text.
 
-    Nodes that share a key are a group. One leader of each group is held against its members; whatever then is of one component in a
+    Pairs that operator 1's SimHash links are candidates, and so are pairs of the index. Nodes that share a key are a group. One leader of each group is held against its members; whatever then is of one component in a
     group needs no further look. Groups still apart go on with more leaders each round, until every member of a different
     component has been held against every other. So no pair found by the index is lost, and only pairs between
     components are ever listed.
@@ -106,9 +121,11 @@ def near_edges(prints: DataFrame, texts: DataFrame) -> DataFrame:
     index = prints.select(F.explode("keys").alias("key"), "node")
     sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("lead")).where("n > 1")
     groups = cut(index.join(sizes, "key"))
-    held = texts.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    simple = cut(simhash_pairs(prints))
+    met = groups.select("node").unionByName(simple.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    held = texts.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     sets = cut(held.select("node", _shingle_sets("text").alias("shingles")))
-    pairs = cut(groups.where("node <> lead").select(*_pair("node", "lead")).distinct())
+    pairs = cut(groups.where("node <> lead").select(*_pair("node", "lead")).unionByName(simple).distinct())
     groups, tested, leaders = groups.select("key", "node", "n").where("n > 2"), pairs, 1
     roots = cut(components(_verified(pairs, prints, sets, joined=True)))
     while True:
@@ -143,7 +160,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = bound_batches(docs).drop("component_id")
     mine = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("__id"), _prints(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
     rows = cut(mine.select("*", "p.*").drop("p"))
-    prints = cut(rows.groupBy(F.col("fp").alias("node")).agg(F.first("octets").alias("octets"), F.first("keys").alias("keys")))
+    prints = cut(rows.groupBy(F.col("fp").alias("node")).agg(F.first("bits").alias("bits"), F.first("octets").alias("octets"), F.first("keys").alias("keys")))
     texts = rows.select(F.col("fp").alias("node"), F.col(f"__c{docs.columns.index(text_col)}").alias("text"))
     named = _component_ids(rows, ["fp"], lambda _: near_edges(prints, texts))
     return rows.join(named, "fp").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "component_id")

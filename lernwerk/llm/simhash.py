@@ -38,10 +38,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_digest
     hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(n, BYTES)
+    return simhash_bits(hashes)
+
+
+def simhash_bits(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes (rows of eight bytes); 0 without any."""
     set_bits = np.zeros(BYTES * 8, np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(hashes), 1 << 14):
         set_bits += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")
 
 
 @F.pandas_udf(LongType())

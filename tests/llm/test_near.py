@@ -112,3 +112,21 @@ def test_near_copies_edges(spark):
     rows = {(r["doc_id"], r["text"]): r["component_id"] for r in out.collect()}
     assert rows[1, ""] == rows[0, None] == rows[2, " "] == 0 and rows[4, "ONE"] == rows[3, "one"] == 3 and rows[None, "no id at all"] is None
     assert near.near_copies(empty(spark)).count() == 0
+
+
+def test_simhash_links_are_candidates(spark):
+    """Operator 1's step: equal SimHashes and those within three bits are joined, whatever the index of minima says."""
+    bits = {1: 0b1011, 2: 0b1011, 3: 0b1000, 4: 1 << 40 | 0xFFFF00, 5: 0b1011 | 1 << 63}
+    rows = spark.createDataFrame([(n, b - (1 << 64) if b >> 63 else b) for n, b in bits.items()], "node long, bits long")
+    found = {(r["src"], r["dst"]) for r in near.simhash_pairs(rows).collect()}
+    root = {n: n for n in bits}
+    for a, b in sorted(found):
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {n: new if r == old else r for n, r in root.items()}
+    assert root == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1} and all((bits[a] ^ bits[b]).bit_count() <= 3 for a, b in found)
+    p = near.byte_print(np.zeros(0, np.uint64))
+    text, other = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(399))
+    octets = [near.byte_print(np.unique(shingle_digests(t)))[0] for t in (text, other)]
+    prints = spark.createDataFrame([(1, 7, bytearray(octets[0]), []), (2, 7, bytearray(octets[1]), []), (3, 7, bytearray(p[0]), [])], "node long, bits long, octets binary, keys array<long>")
+    texts = spark.createDataFrame([(1, text), (2, other), (3, "")], "node long, text string")
+    assert {(r["src"], r["dst"]) for r in near.near_edges(prints, texts).collect() if r["src"] != r["dst"]} == {(2, 1)}
