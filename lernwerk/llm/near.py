@@ -24,8 +24,6 @@ LEAST_ALIKE = 0.8
 #: At a similarity of 0.8 some 205 bytes are shared, with a deviation of 6.4. From ``LEAST_BYTES`` on a pair is held against its
 #: shingles (4.5 deviations below), from ``SURE_BYTES`` on it is taken as it is (5.5 above).
 LEAST_BYTES, SURE_BYTES = 176, 240
-#: Leaders of a group that is still apart, from one round to the next.
-WIDEN = 8
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,27 +72,22 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, sets: DataFrame, joined: bool) -> DataFrame:
-    """``src``, ``dst``: the pairs that are near copies, by the count of shared bytes and, where it leaves it open, by their shingles.
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs whose shingles are alike."""
+    both = pairs.select("src", "dst")
+    for end in ("src", "dst"):
+        both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")), end)
+    common = F.size(F.array_intersect("src_set", "dst_set"))
+    return both.where(common >= LEAST_ALIKE * (F.size("src_set") + F.size("dst_set") - common)).select("src", "dst")
 
-    With ``joined``, open pairs inside one group of sure pairs are left out: they change no group.
-    """
+
+def _verified(pairs: DataFrame, prints: DataFrame, sets: DataFrame) -> DataFrame:
+    """``src``, ``dst``: the pairs that are near copies, by the count of shared bytes and, where it leaves it open, by their shingles."""
     ends = pairs
     for end in ("src", "dst"):
         ends = ends.join(prints.select(F.col("node").alias(end), F.col("octets").alias(f"{end}_octets")), end)
     counted = cut(ends.select("src", "dst", shared_bytes("src_octets", "dst_octets").alias("shared")).where(F.col("shared") >= LEAST_BYTES))
-    sure, open_pairs = counted.where(F.col("shared") >= SURE_BYTES).select("src", "dst"), counted.where(F.col("shared") < SURE_BYTES)
-    if joined:
-        roots = cut(components(sure))
-        for end in ("src", "dst"):
-            open_pairs = open_pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        open_pairs = open_pairs.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst"))
-        sure = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
-    both = open_pairs.select("src", "dst")
-    for end in ("src", "dst"):
-        both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")), end)
-    common = F.size(F.array_intersect("src_set", "dst_set"))
-    return sure.unionByName(both.where(common >= LEAST_ALIKE * (F.size("src_set") + F.size("dst_set") - common)).select("src", "dst"))
+    return counted.where(F.col("shared") >= SURE_BYTES).select("src", "dst").unionByName(_alike(counted.where(F.col("shared") < SURE_BYTES), sets))
 
 
 def simhash_pairs(prints: DataFrame) -> DataFrame:
@@ -110,42 +103,58 @@ def simhash_pairs(prints: DataFrame) -> DataFrame:
     return equal.unionByName(linked.select(*_pair("src_lead", "dst_lead"))).distinct()
 
 
+def rare_pairs(words: DataFrame, sized: DataFrame) -> DataFrame:
+    """``src``, ``dst``: candidates that hold every pair of different roots with a similarity of 0.8; no pair is left out, whatever the size of a group.
+
+    ``words`` (shingle, node, f) are the shingles that several nodes hold and how many do, ``sized`` (node, root, size, own) the nodes with the number
+    of their shingles and of those that no other node holds. Shingles are ranked from the rarest on, and ``rest`` counts those of a
+    text from a shingle on. Two texts share nothing before their first common shingle, so there both rests hold all that they share:
+    four fifths of either text at least, and four ninths of both sizes. Members of the root that most hold a shingle are not held against each other.
+    """
+    ranked = words.join(sized, "node").groupBy("node", "root", "size", "own").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("ranked"))
+    entries = ranked.select("node", "root", "size", "own", F.posexplode("ranked").alias("at", "word")).withColumn("rest", F.col("size") - F.col("own") - F.col("at"))
+    entries = cut(entries.where("5 * rest >= 4 * size").select(F.col("word.shingle").alias("shingle"), "node", "root", "size", "rest"))
+    by_root = entries.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max(F.expr("9 * rest - 4 * size")).alias("most"))
+    shared = by_root.groupBy("shingle").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min("least").alias("least"), F.max("most").alias("most"))
+    met = cut(entries.join(shared.where("roots > 1"), "shingle").where("9 * rest - 4 * size >= 4 * least and 4 * size <= most").select(*entries.columns, "main"))
+    other = met.where("root <> main").select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "rest")])
+    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("other_node"))
+    enough = 9 * F.least("rest", "other_rest") >= 4 * (F.col("size") + F.col("other_size"))
+    return met.join(other, "shingle").where((F.col("root") != F.col("other_root")) & once & enough).select(*_pair("node", "other_node")).distinct()
+
+
 def near_edges(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """``src``, ``dst``: links that join all near copies among ``prints`` (node, bits, octets, keys); ``texts`` has node and text.
 
-    Pairs that operator 1's SimHash links are candidates, and so are pairs of the index. Nodes that share a key are a group. One leader of each group is held against its members; whatever then is of one component in a
-    group needs no further look. Groups still apart go on with more leaders each round, until every member of a different
-    component has been held against every other. So no pair found by the index is lost, and only pairs between
-    components are ever listed.
+    Pairs that operator 1's SimHash links are candidates, and so are pairs of the index. Nodes that share a key are a group. One leader of each group
+    is held against its members: that with the least share of shingles that no other node of a group holds, since it is nearest to the text that the
+    others were made from. Whatever then is of one component in a group needs no further look. The nodes of groups still apart are held
+    against each other by their rare shingles (``rare_pairs``). So no pair found by the index is lost, and no group is listed pair by pair.
     """
     index = prints.select(F.explode("keys").alias("key"), "node")
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("lead")).where("n > 1")
-    groups = cut(index.join(sizes, "key"))
+    groups = cut(index.join(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     simple = cut(simhash_pairs(prints))
     met = groups.select("node").unionByName(simple.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     held = texts.join(met, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     sets = cut(held.select("node", _shingle_sets("text").alias("shingles")))
-    pairs = cut(groups.where("node <> lead").select(*_pair("node", "lead")).unionByName(simple).distinct())
-    groups, tested, leaders = groups.select("key", "node", "n").where("n > 2"), pairs, 1
-    roots = cut(components(_verified(pairs, prints, sets, joined=True)))
-    while True:
-        named = groups.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        groups = cut(named.join(apart, "key", "left_semi"))
-        if groups.isEmpty():
-            return roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
-        leaders *= WIDEN
-        step = F.greatest(F.floor(F.col("n") / leaders), F.lit(1))
-        ahead = groups.where(F.pmod(F.xxhash64("node", "key"), step) == 0).select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-        pairs = groups.join(ahead, "key").where("root <> lead_root").select(*_pair("node", "lead")).distinct()
-        pairs = cut(pairs.join(tested, ["src", "dst"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        # a group of no more members than leaders has had them all
-        groups = groups.where(F.col("n") > leaders).select("key", "node", "n")
-        if pairs.isEmpty():
-            continue
-        found = _verified(pairs, prints, sets, joined=False)
-        roots = cut(components(found.unionByName(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")))))
+    twos, crowded = groups.where("n = 2").groupBy("key").agg(F.min("node").alias("src"), F.max("node").alias("dst")).select("src", "dst"), groups.where("n > 2")
+    inside = sets.join(crowded.select("node").distinct(), "node", "left_semi")
+    words = inside.select("node", F.explode("shingles").alias("shingle"))
+    counts = cut(words.groupBy("shingle").agg(F.count("*").alias("f"), F.min("node").alias("node")))
+    own = counts.where("f = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sized = cut(inside.select("node", F.size("shingles").alias("size")).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own")))
+    crowded = cut(crowded.join(sized, "node").select("key", "node", (F.col("own") / F.col("size")).alias("share")))
+    leads = crowded.groupBy("key").agg(F.min_by("node", F.struct("share", F.xxhash64("key", "node"))).alias("lead"))
+    led = crowded.join(leads, "key").where("node <> lead").select(*_pair("node", "lead"))
+    roots = cut(components(_verified(cut(led.unionByName(twos).unionByName(simple).distinct()), prints, sets)))
+    edges = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    named = crowded.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = cut(named.join(apart, "key", "left_semi").select("node", "root").distinct().join(sized, "node").where("5 * (size - own) >= 4 * size"))
+    if left.isEmpty():
+        return edges
+    words = words.join(left.select("node"), "node", "left_semi").join(counts.where("f > 1").select("shingle", "f"), "shingle")
+    return edges.unionByName(_alike(cut(rare_pairs(words, left)), sets))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

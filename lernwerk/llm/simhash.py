@@ -23,6 +23,8 @@ BYTES = 8
 SHORT = 512
 BLOCK = 1024
 LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+#: Links that one task takes in a round of ``components``; a small graph goes through few tasks.
+LINKS_A_TASK = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -254,28 +256,28 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until nothing moves, which takes a
     number of rounds that grows with the logarithm of the longest chain. Every
     step is a grouped minimum (combined before its shuffle) and a join that adaptive
-    execution splits at a crowded node (the minima are dealt out anew, so that both sides are shuffled
-    for the join); lineage is cut after each round.
+    execution splits at a crowded node (the minima are put together anew, so that both sides are shuffled
+    for the join); lineage is cut after each round. A round over few links goes through few tasks.
     """
-    n = partitions(edges)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        both = e.unionByName(back)
+        both = e.unionByName(back).coalesce(n)
         around = both if large else both.where("dst < src")
         least = around.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("at"), F.least("m", "src").alias("m"))
-        moved = around.join(least.repartition(n), F.col("src") == F.col("at"))
+        moved = around.join(least.coalesce(n), F.col("src") == F.col("at"))
         if large:
             out = moved.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         else:
             out = moved.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(least.select(F.col("at").alias("src"), F.col("m").alias("dst")))
-        return out.where("src <> dst").distinct()
+        return out.where("src <> dst").coalesce(n).distinct()
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(src, dst))")).first())
 
     now = cut(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
     seen = mark(now)
+    n = min(partitions(edges), max(2, seen[0] // LINKS_A_TASK))  # one would be no shuffle
     while seen[0]:
         now = cut(star(star(now, True), False))
         if (then := mark(now)) == seen:

@@ -130,3 +130,46 @@ def test_simhash_links_are_candidates(spark):
     prints = spark.createDataFrame([(1, 7, bytearray(octets[0]), []), (2, 7, bytearray(octets[1]), []), (3, 7, bytearray(p[0]), [])], "node long, bits long, octets binary, keys array<long>")
     texts = spark.createDataFrame([(1, text), (2, other), (3, "")], "node long, text string")
     assert {(r["src"], r["dst"]) for r in near.near_edges(prints, texts).collect() if r["src"] != r["dst"]} == {(2, 1)}
+
+
+def test_unlike_family_is_not_listed_pair_by_pair(spark, monkeypatch):
+    """Hundreds of edits of one text, less alike than 0.8 but for a few pairs: the candidates grow with the texts, not with their square."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    texts = [[f"u{i}x{k}" if k in cut else w for k, w in enumerate(base)] for i in range(240) for cut in [set(rng.sample(range(300), 10))]]
+    texts += [[f"again{i}" if k == 7 * i else w for k, w in enumerate(texts[i])] for i in range(20)]
+    texts = [" ".join(t) for t in texts]
+    held = []
+    for name in ("_verified", "_alike"):
+        if hasattr(near, name):
+            monkeypatch.setattr(near, name, lambda pairs, *a, f=getattr(near, name), **b: held.append(pairs.count()) or f(pairs, *a, **b))
+    got = {r["doc_id"]: r["component_id"] for r in near.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets, root = [five_words(t) for t in texts], list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and alike(s, sets[j]) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) > 150 and all(root[240 + i] == root[i] for i in range(20))
+    assert sum(held) < near.KEYS * len(texts)
+
+
+def test_rare_pairs_hold_every_pair(spark):
+    """Against all pairs of sets of many sizes, with common and rare members, and roots of one and of many nodes."""
+    rng = random.Random(6)
+    sets, roots = {}, {}
+    for family in range(6):
+        base = rng.sample(range(1000 * family, 1000 * family + 200), rng.choice((4, 20, 90))) + rng.sample(range(6000, 6020), 5)
+        for _ in range(25):
+            n = len(sets)
+            sets[n] = set(rng.sample(base, len(base) - rng.randrange(1 + len(base) // 6))) | {rng.randrange(7000, 9000) for _ in range(rng.randrange(1 + len(base) // 6))}
+            roots[n] = rng.choice((n, 1000 + family, 1000 + family))
+    f = defaultdict(int)
+    for s in sets.values():
+        for x in s:
+            f[x] += 1
+    words = spark.createDataFrame([(x, n, f[x]) for n, s in sets.items() for x in s if f[x] > 1], "shingle long, node long, f long")
+    sized = spark.createDataFrame([(n, roots[n], len(s), sum(f[x] == 1 for x in s)) for n, s in sets.items()], "node long, root long, size int, own long")
+    found = {(r["src"], r["dst"]) for r in near.rare_pairs(words, sized).collect()}
+    true = {(a, b) for a in sets for b in sets if a < b and roots[a] != roots[b] and alike(sets[a], sets[b]) >= 0.8}
+    assert len(true) > 50 and true <= found and all(roots[a] != roots[b] for a, b in found)
