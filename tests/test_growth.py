@@ -1,6 +1,9 @@
 """What large tables asked for: texts counted without lists, sheets worked out once, files and buckets of bounded size."""
 
 import random
+import time
+from decimal import Decimal
+from pathlib import Path
 
 from lernwerk import plans
 from lernwerk.operators import cohort, progress
@@ -80,3 +83,58 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
         assert len(list((tmp_path / "t/generation=0/bucket=0").glob("part-*"))) > 1 and table.read().count() == 40000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_buckets_are_merged_some_at_a_time(spark, tmp_path):
+    last = lambda d: d.groupBy("k").agg(F.max(F.struct("seq", "v")).alias("x")).select("k", "x.*")
+    rows = lambda n, seq: spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit(seq).alias("seq"), (F.col("id") * seq).alias("v"))
+    table = rules.BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=4, group_rows=300)
+    for spread in (False, True):
+        sizes = []
+        seen = lambda d: sizes.append(d.count()) or last(d)
+        groups = table.merge(rows(1000, 1 + 2 * spread), seen, 2 * spread, spread)
+        table.merge(rows(500, 2 + 2 * spread), last, 1 + 2 * spread, spread)
+        assert sorted(b for g in groups for b in g) == [0, 1, 2, 3] and len(groups) == len(sizes) == 4 and max(sizes) < 700
+        want = {(n or None, (2 if n < 500 else 1) + 2 * spread) for n in range(1000)}
+        assert {(r["k"], r["seq"]) for r in table.read().collect()} == want and table.read().count() == 1000
+    (tmp_path / "t/generation=3/_SUCCESS").unlink()  # a batch that ended between its groups does not count, and is run again
+    assert {r["seq"] for r in table.read().collect()} == {3}
+    table.merge(rows(500, 4), last, 3, True)
+    assert {(r["k"], r["seq"]) for r in table.read().collect()} == want and table.read().count() == 1000
+
+
+def test_what_a_stream_took_in_is_deleted(spark, tmp_path):
+    def shuffles():
+        return sum(1 for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _ in Path(d.getPath()).rglob("shuffle_*"))
+
+    home = Path(spark.conf.get("spark.checkpoint.dir"))
+    folders, kept, taken = {p.name for p in home.glob("*")}, shuffles(), []
+    changes = spark.range(3000).select((F.col("id") % 70).alias("k"), F.when(F.col("id") > 4, F.col("id")).alias("seq"))
+
+    def sink(batch, number):
+        batch.groupBy("k").agg(F.max("seq").alias("seq")).write.parquet(str(tmp_path / f"out/{number}"))
+        taken.append((batch.count(), sum(p.stat().st_size for p in (tmp_path / "root/arrived").rglob("*.parquet"))))
+
+    rules.arrivals(changes, "seq", str(tmp_path / "root"), sink)
+    assert [n for n, _ in taken] == [999, 999, 997] and taken[2][1] < 1.5 * taken[0][1]
+    assert not list((tmp_path / "root/arrived").rglob("*.parquet")) and {p.name for p in home.glob("*")} == folders
+    until = time.time() + 20
+    while shuffles() > kept and time.time() < until:
+        time.sleep(0.5)
+    assert shuffles() <= kept and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_sums_that_are_taken_away_leave_no_digit(spark):
+    row = lambda p, t: (None, "o", None, None, None, None, float(p), float(t))
+    flat = lambda rows: spark.createDataFrame(rows, "module string, owner string, final_aes double, rog_value double, code_unchanged boolean, done boolean, tsr_passed double, tsr_total double").withColumns({f"{c}_n": F.lit(0.1) for c in cohort.COUNTED})
+    both = cohort.metric_parts(flat([row(1, 3), row(2, 3), row(1, 7)]), 1).unionByName(cohort.metric_parts(flat([row(1, 3)]), -1))
+    got = cohort.add_parts(both).first()
+    assert got["tsr_sum"] == Decimal("0.809523809523810") and got["attempted"] == 2 and got["functional_total"] == Decimal("0.2")
+
+
+def test_the_live_cohort_leaves_its_tables_alone(spark):
+    home = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(home.glob("*"))
+    assert plans.QUERIES["str6_live_cohort"](spark, SMALL).count() > 0
+    new = set(home.glob("*")) - before
+    assert [p.name.split("-")[0] for p in new] == ["cohort"] and {p.name for p in new.pop().iterdir()} == {"arrived", "marks", "parts", "submissions"}
